@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
@@ -25,10 +28,31 @@ def drawn(id_col: str, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(DRAW)) < share * DRAW
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each session's context: they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestar_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="lodestar-code-")) / "lodestar_code.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._lodestar_shipped = True
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with the package on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
+    """A string column as Python strings, null as empty."""
+    return [x or "" for x in batch.column(batch.schema.get_field_index(col)).to_pylist()]
+
+
 class Memo(dict):
     """A dict that makes missing values and starts anew when full, so that a worker's memory is bounded."""
 
