@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import langid, quality
+from lodestar.llm import decontaminate, langid, packing, quality
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
 
+def vocabulary() -> str:
+    """Where the public vocabulary of the packing query lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that occurs in it with at most a tenth of its bytes edited."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of fold 0 of 5 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -26,5 +43,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op6_quality": op6_quality, "op7_language": op7_language}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language}
 ORACLES: dict[str, str] = {}
