@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -55,8 +56,11 @@ def tokens(text: str, memo: Memo) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), ends
 
 
-def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
-    """Which of the cuts (increasing, the last being the stream's end) to take; gaps must be at most size."""
+def cuts(ends: np.ndarray, penalties: np.ndarray, size: int, last: bool = True) -> list[int]:
+    """Which of the cuts (increasing, the last being the stretch's end) to take; gaps must be at most size.
+
+    Where more is to follow (not last), the final window stays open and its padding isn't counted.
+    """
     at, costs = [0, *ends.tolist()], [0.0, *penalties.tolist()]
     value, back, queue = [0.0] * len(at), [0] * len(at), deque([0])
     for j in range(1, len(at)):
@@ -71,6 +75,8 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
             queue.pop()
         queue.append(j)
     taken, j = [], len(at) - 1
+    if not last:
+        j = min((k for k in range(bisect_left(at, at[-1] - size), len(at))), key=lambda k: value[k] - at[k])
     while j:
         taken.append(at[j])
         j = back[j]
@@ -106,9 +112,7 @@ class Packer:
         if not self.n:
             return []
         ends, costs = np.concatenate(self.ends), np.concatenate(self.costs)
-        taken = cuts(ends, costs, self.size)
-        if not last:
-            taken = taken[:-2]
+        taken = cuts(ends, costs, self.size, last)
         out, d, used, ids = [], 0, 0, b"".join(self.ids)
         begin = 0
         for stop in taken:
