@@ -17,6 +17,7 @@ repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,25 +39,28 @@ EVIDENCE = 20
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # longest order first
+    words: dict[str, tuple[float, ...]]
+    grams: list[dict[str, tuple[float, ...]]]  # longest order first
     orders: tuple[int, ...]
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> tuple[float, ...]:
         """Log-likelihood of one word in each language."""
         if (known := self.words.get(w)) is not None:
             return known
         edged = f"^{w}$"
         for n, table in zip(self.orders, self.grams, strict=True):
-            found = [v for i in range(len(edged) - n + 1) if (v := table.get(edged[i : i + n])) is not None]
+            found = [table[g] for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) in table]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+                k = len(found)
+                return found[0] if k == 1 else tuple([sum(c) / k for c in zip(*found, strict=True)])
+        return (0.0,) * len(self.langs)
 
-    def chunk(self, chunk: str) -> tuple[np.ndarray, int]:
-        """Log-likelihoods of the words in a piece of text without white space, and their number."""
+    def chunk(self, chunk: str) -> tuple[float, ...]:
+        """Log-likelihoods of the words in a piece of text without white space, then their number."""
         found = LETTERS.findall(chunk.lower())
-        return (np.sum([self.word(w) for w in found], axis=0) if found else np.zeros(len(self.langs))), len(found)
+        if len(found) == 1:
+            return (*self.word(found[0]), 1.0)
+        return (*(sum(c) for c in zip(*map(self.word, found), strict=True)), float(len(found))) if found else (0.0,) * (len(self.langs) + 1)
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, per_lang: int = 2000, top_words: int = 20_000, top_grams: int = 8_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
@@ -97,7 +101,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     for n in (0, *orders):
         table, v = {}, len(vocab.get(n, {})) + 1
         for gram, c in vocab.get(n, {}).items():
-            table[gram] = np.log([(c[x] + 0.5) / (totals[x, n] + 0.5 * v) for x in langs])
+            table[gram] = tuple(math.log((c[x] + 0.5) / (totals[x, n] + 0.5 * v)) for x in langs)
         tables[n] = table
     return Model(langs, tables[0], [tables[n] for n in orders], orders)
 
@@ -110,11 +114,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         k = len(m.langs)
-        rows: list[np.ndarray] = []
+        rows: list[tuple[float, ...]] = []
 
         def add(chunk: str) -> int:
-            v, n = m.chunk(chunk)
-            rows.append(np.append(v, n))
+            rows.append(m.chunk(chunk))
             return len(rows) - 1
 
         table, ids = np.zeros((0, k + 1)), Memo(add, most=1 << 62)
