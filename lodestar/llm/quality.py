@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             x = [statistics(t) for t in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = arrow_map(rows, measure, "y double, x array<double>").orderBy("y", "x").collect()
+    got = arrow_map(rows, measure, "y double, x array<double>").collect()
+    got.sort(key=lambda r: (r["y"], r["x"]))
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r["y"] for r in got]), **how)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, langid, packing, quality
+from lodestar.llm import decontaminate, langid, packing, pii, quality
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
@@ -17,6 +17,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _joined(spans) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+
+
+def _digest(spans: DataFrame, base: tuple[str, ...]) -> list[Column]:
+    """Counts of the base kinds, the digest of the base spans, and all spans as text."""
+    of = F.filter("spans", lambda x: x["kind"].isin(*base))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    return [*counts, F.sha2(_joined(of), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")]
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: patterns, and terms that disclose a protected value."""
+    out = pii.spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *_digest(out, pii.KINDS[:4]))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that occurs in it with at most a tenth of its bytes edited."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,5 +64,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language}
+QUERIES = {"op1_pii": op1_pii, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language}
 ORACLES: dict[str, str] = {}
