@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, langid, packing, pii, quality
+from lodestar.llm import decontaminate, langid, packing, pii, quality, suffix_lm
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
@@ -38,6 +38,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_digest(out, pii.KINDS[:4]))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree and unigram scores of every document; fold 0 of 10 is held out."""
+    out = suffix_lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that occurs in it with at most a tenth of its bytes edited."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,5 +70,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language}
+QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language}
 ORACLES: dict[str, str] = {}
