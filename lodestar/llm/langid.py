@@ -120,14 +120,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             rows.append(m.chunk(chunk))
             return len(rows) - 1
 
-        table, ids = np.zeros((0, k + 1)), Memo(add, most=1 << 62)
+        table, ids = np.zeros((1024, k + 1)), Memo(add, most=1 << 62)
         for b in batches:
             langs, scores = [], []
-            for text in texts_of(b, "_text"):
-                chunks = text.split()
-                at = np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks))
-                if len(rows) > len(table):
-                    table = np.concatenate([table, np.array(rows[len(table) :])])
+            if len(ids) > 300_000:
+                ids.clear()
+                rows.clear()
+            found = [np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks)) for chunks in map(str.split, texts_of(b, "_text"))]
+            if len(rows) > len(table):
+                table = np.zeros((2 * len(rows), k + 1))
+            if rows:
+                table[: len(rows)] = rows
+            for at in found:
                 total = table[at].sum(axis=0)
                 if not k or total[k] == 0:
                     langs.append("und")
@@ -138,10 +142,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                     best = int(np.argmax(p))
                     langs.append(m.langs[best])
                     scores.append(float(p[best] / p.sum()))
-                if len(ids) > 300_000:
-                    ids.clear()
-                    rows.clear()
-                    table = np.zeros((0, k + 1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
     schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string, score double"])
