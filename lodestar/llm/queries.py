@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, langid, packing, pii, quality, suffix_lm
+from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, suffix_lm
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
@@ -70,6 +70,26 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.9 or more, by graphs of shards."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = v.vec_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_id
+"""
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -96,5 +116,5 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b)
 """
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op10_jaccard": op10_jaccard}
-ORACLES: dict[str, str] = {"op10_jaccard": OP10_SQL}
+QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op8_hnsw": op8_hnsw, "op10_jaccard": op10_jaccard}
+ORACLES: dict[str, str] = {"op8_hnsw": OP8_SQL, "op10_jaccard": OP10_SQL}
