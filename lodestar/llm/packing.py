@@ -19,7 +19,9 @@ repeated rows are packed once each; null ids are carried on.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
@@ -36,14 +38,44 @@ END = np.array([2], "<u4").tobytes()
 _words: dict[str, Memo] = {}
 
 
+#: A run of Latin letters, and then marks other than the apostrophe: what the pre-tokeniser cuts in just these two.
+PLAIN = re.compile(r"""([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)""")
+
+
+def byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
 def words(vocabulary: str) -> Memo:
-    """Text without spaces to its ids as little-endian bytes; kept between a worker's tasks."""
+    """Text without spaces to its ids as little-endian bytes; kept between a worker's tasks.
+
+    For the plain words of PLAIN the normaliser lowers letters and the pre-tokeniser cuts off
+    the marks; doing these two here leaves the vocabulary's own model to give the ids. All
+    else goes through the whole tokeniser.
+    """
     if vocabulary not in _words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        _words[vocabulary] = Memo(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), most=500_000)
+        model, letters = tokenizer.model, byte_letters()
+
+        def piece(p: str) -> bytes:
+            written = p if p.isascii() else "".join([letters[b] for b in p.encode()])
+            return array("I", [t.id for t in model.tokenize(written)]).tobytes()
+
+        pieces = Memo(piece, most=500_000)
+
+        def chunk(c: str) -> bytes:
+            if m := PLAIN.fullmatch(c):
+                word, marks = m.groups()
+                return pieces[word.lower()] + pieces[marks] if marks else pieces[word.lower()]
+            return array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+
+        _words[vocabulary] = Memo(chunk, most=1_000_000)
     return _words[vocabulary]
 
 
