@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, suffix_lm
+from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, secret_scan, suffix_lm
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
@@ -90,6 +90,12 @@ JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_i
 """
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: patterns, and tokens that Markov models take for random strings."""
+    out = secret_scan.spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *_digest(out, secret_scan.KINDS[:3]))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -116,5 +122,5 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b)
 """
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op8_hnsw": op8_hnsw, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op8_hnsw": op8_hnsw, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op8_hnsw": OP8_SQL, "op10_jaccard": OP10_SQL}
