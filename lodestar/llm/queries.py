@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, secret_scan, suffix_lm
+from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, repeats, secret_scan, suffix_lm
 from lodestar.llm.common import fold
 from lodestar.tables import table
 
@@ -44,6 +44,13 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur twice or more."""
+    out = repeats.removed(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that occurs in it with at most a tenth of its bytes edited."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -122,5 +129,5 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b)
 """
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op8_hnsw": op8_hnsw, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_pii": op1_pii, "op2_suffix_tree": op2_suffix_tree, "op3_repeats": op3_repeats, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op8_hnsw": op8_hnsw, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op8_hnsw": OP8_SQL, "op10_jaccard": OP10_SQL}
