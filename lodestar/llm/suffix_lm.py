@@ -116,37 +116,39 @@ class Tree:
 
 
 def grow(docs: DataFrame, text_col: str = "text", *, depth: int = 5, p_min: float = 2e-6, least: int = 16, divergence: float = 12.0) -> Tree:
-    """Train on all rows."""
+    """Train on all rows. Of all counts only those of candidate contexts, depth / p_min at most, reach the driver."""
     grams = cut(count_grams(docs, text_col, depth))
     total = grams.agg(F.sum("c")).first()[0] or 0
     floor = max(least, p_min * total)
-    kept = None
-    levels = []
+    levels = None
     for d in range(depth + 1):
         code = F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        rows = grams.groupBy(code.alias("g")).agg(F.sum("c").alias("n")).select(F.shiftright("g", 8).alias("s"), F.col("g").bitwiseAND(F.lit(255)).alias("a"), "n")
-        sizes = rows.groupBy("s").agg(F.sum("n").alias("total")).where(F.col("total") >= floor) if d else rows.groupBy("s").agg(F.sum("n").alias("total"))
-        levels.append(rows.join(sizes, "s"))
-    # A context's divergence from the one a byte shorter; a retained context keeps its suffixes.
-    for d in range(1, depth + 1):
-        shorter = levels[d - 1].select(F.col("s").alias("up"), "a", (F.col("n") / F.col("total")).alias("q"))
-        up = F.col("s").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-        both = levels[d].withColumn("up", up).join(shorter, ["up", "a"])
-        kl = both.groupBy("s").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("kl"))
-        mine = kl.where(F.col("kl") > divergence).select(F.lit(d).alias("d"), "s")
-        kept = mine if kept is None else kept.unionByName(mine)
-    kept = cut(kept)
-    closed = kept
-    for k in range(1, depth):
-        mask = F.expr(f"shiftleft(1L, 8 * (d - {k})) - 1")
-        closed = closed.unionByName(kept.where(F.col("d") > k).select((F.col("d") - k).alias("d"), F.col("s").bitwiseAND(mask).alias("s")))
-    closed = closed.distinct()
-    out = levels[0].select(F.lit(0).alias("d"), "s", "a", "n")
-    for d in range(1, depth + 1):
-        out = out.unionByName(levels[d].join(closed.where(F.col("d") == d).select("s"), "s", "left_semi").select(F.lit(d).alias("d"), "s", "a", "n"))
-    got = out.toArrow()
-    columns = [got.column(c).to_numpy() for c in ("s", "d", "a", "n")]
-    return Tree(depth, columns[0].astype(np.uint64), columns[1].astype(np.int64), columns[2].astype(np.int64), columns[3].astype(np.float64))
+        rows = grams.groupBy(F.shiftright(code, 8).alias("s"), code.bitwiseAND(F.lit(255)).alias("a")).agg(F.sum("c").alias("n"))
+        rows = rows.groupBy("s").agg(F.sum("n").alias("total"), F.collect_list(F.struct("a", "n")).alias("next"))  # 256 at most
+        rows = rows.where(F.col("total") >= (floor if d else 0)).select(F.lit(d).alias("d"), "s", F.explode("next").alias("x")).select("d", "s", "x.a", "x.n")
+        levels = rows if levels is None else levels.unionByName(rows)
+    got = levels.toArrow()
+    d, s, a, n = (got.column(c).to_numpy() for c in ("d", "s", "a", "n"))
+    keep = [d == 0]
+    of = [np.flatnonzero(d == k) for k in range(depth + 1)]
+    kept: list[set[int]] = [set() for _ in range(depth + 1)]
+    for k in range(1, depth + 1):
+        # Each context's divergence from the one a byte shorter, whose counts hold all of its symbols.
+        rows, up = of[k][np.argsort(s[of[k]], kind="stable")], of[k - 1]
+        context, inverse = np.unique(s[rows], return_inverse=True)
+        sizes = np.bincount(inverse, n[rows], len(context))
+        key = s[up] << 8 | a[up]
+        order = np.argsort(key)
+        shorter, back = np.unique(s[up], return_inverse=True)
+        share = (n[up] / np.bincount(back, n[up], len(shorter))[back])[order]
+        q = share[np.searchsorted(key[order], (s[rows] & ((1 << 8 * (k - 1)) - 1)) << 8 | a[rows])]
+        kl = np.bincount(inverse, n[rows] * np.log(n[rows] / sizes[inverse] / q), len(context))
+        kept[k] = set(context[kl > divergence].tolist())
+    for k in range(depth, 1, -1):  # a retained context keeps its suffixes
+        kept[k - 1] |= {c & ((1 << 8 * (k - 1)) - 1) for c in kept[k]}
+    keep += [(d == k) & np.isin(s, np.fromiter(kept[k], np.int64, len(kept[k]))) for k in range(1, depth + 1)]
+    rows = np.flatnonzero(np.any(keep, axis=0))
+    return Tree(depth, s[rows].astype(np.uint64), d[rows].astype(np.int64), a[rows].astype(np.int64), n[rows].astype(np.float64))
 
 
 class Automaton:
