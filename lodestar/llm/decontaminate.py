@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestar.checkpoints import cut
 from lodestar.llm.common import arrow_map
 
 BLANK = bytes(32 if i in b"\t\n\v\f\r" else i for i in range(256))
@@ -146,5 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, *, rate: float = 0.1, id_col: str
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents in which no item occurs, with all their columns and repeated rows."""
     id_col = how.get("id_col", "doc_id")
-    hit = matches(docs, items, **how).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = cut(matches(docs, items, **how).select(F.col("doc_id").alias("_hit")).distinct())
+    if hit.count() <= 1_000_000:
+        hit = F.broadcast(hit)
     return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
