@@ -7,8 +7,8 @@ their overlap is at least o(a, b) = ceil(p (a + b) / (100 + p)) for p per cent.
   hashes of its subsets of the sizes o(.) that may matter. Two classes link exactly when
   they share a subset of at least o(a, b) elements, so no sets need be compared.
 * Heavy: all other pairs share an element among the first n - ceil(p n / 100) + 1 of each
-  set, in any order that all sets follow. Elements that are frequent anywhere come last in
-  it, the others go by their hash, so that the inverted lists of these elements are short.
+  set, in any order that all sets follow. Elements with the rarest words come first in it, and
+  elements that repeat last, so that the inverted lists of these elements are short.
   Candidates from a list pass size and position filters, and their sets are compared.
 
 The boundary is the one with the least estimated cost over the sizes at hand: subsets
@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import arrow_map, components, texts_of
-from lodestar.llm.shingles import mix, set_key, shingle_sets
+from lodestar.llm.common import arrow_map, components, drawn, texts_of
+from lodestar.llm.shingles import mix, ranked_sets, set_key, shingle_sets
 
 CHUNK = 4 << 20
-#: Elements seen so often by one task are told to the driver, which broadcasts at most FREQUENT of them.
-OFTEN, FREQUENT = 8, 100_000
+#: How many documents the order of elements is taken from; slots for words' counts; from which count on an element repeats.
+SAMPLE, WORD_TABLE, OFTEN = 20_000, 1 << 20, 3
 #: Of an element in an inverted list against one subset: storing it, and probing its list.
 PROBE = 4
 LARGEST_LIGHT = 24
@@ -87,6 +87,17 @@ def chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array
                 at, size = i + 1, 0
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """A few texts at a time."""
+    for b in batches:
+        texts, at, size = texts_of(b, "text"), 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK or i + 1 == len(texts):
+                yield texts[at : i + 1]
+                at, size = i + 1, 0
+
+
 def classes(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, class) for each row of (doc_id, text)."""
 
@@ -97,44 +108,50 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
 
 
-def frequent_elements(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that many sets hold, sorted, and how many; this only orders elements, results don't depend on it."""
+def rarity(docs: DataFrame, k: int, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How frequent words are (by the low bits of their hash), and which elements repeat, with their counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-
-        def rows() -> pa.RecordBatch:
-            x, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[c >= OFTEN].view(np.int64)), pa.array(c[c >= OFTEN].astype(np.int64))], names=["e", "c"])
-
-        for _, sets in chunks(batches, k):
-            for s in sets:
-                if len(s) and (key := set_key(s)) not in seen:
-                    seen.add(key)
-                    held.append(s)
-            if sum(map(len, held)) > 8_000_000:
-                yield rows()
-        yield rows()
+    From a bounded, repeatable draw of documents, as this only orders a set's elements: any
+    order that all sets follow gives the same results, a good one gives short lists.
+    """
+    n = docs.count()
 
-    found = arrow_map(docs, run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(FREQUENT).toArrow()
-    e = found.column("e").to_numpy().astype(np.int64).view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, elements = np.zeros(WORD_TABLE, np.int64), []
+        for b in batches:
+            for s, _, w in ranked_sets(texts_of(b, "text"), k, None):
+                words += np.bincount(w & np.uint64(WORD_TABLE - 1), minlength=WORD_TABLE) if len(w) > 4096 else 0
+                if len(w) <= 4096:
+                    np.add.at(words, w & np.uint64(WORD_TABLE - 1), 1)
+                elements.append(s)
+        at = np.flatnonzero(words)
+        e, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *elements]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), pa.array(at), pa.array(words[at])], names=["word", "e", "c"])
+        for i in range(0, len(e), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(e[i : i + 100_000]), bool)), pa.array(e[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int64))], names=["word", "e", "c"])
+
+    some = docs.where(drawn("doc_id", min(1.0, rows / max(1, n)))).select("doc_id", "text")
+    found = arrow_map(some.select("doc_id", "text"), run, "word boolean, e long, c long").groupBy("word", "e").agg(F.sum("c").alias("c"))
+    got = found.where((F.col("word")) | (F.col("c") >= OFTEN)).toArrow()
+    word, e, c = (got.column(x).to_numpy() for x in ("word", "e", "c"))
+    table = np.zeros(WORD_TABLE, np.int32)
+    table[e[word]] = np.minimum(c[word], (1 << 31) - 1)
+    e, c = e[~word].view(np.uint64), c[~word]
     order = np.argsort(e)
-    return e[order], found.column("c").to_numpy()[order]
+    return table, e[order], c[order]
 
 
-def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
-    """What classes list: (key, class, n, size) of subsets, and (key, class, n, pos) of elements."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_elements(docs, k))
+def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
+    """What classes list: (light, key, class, packed) with subsets (light) and elements, packed being n << 32 and the size or place."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
+        table, often, counts = shared.value
         seen: set[int] = set()
         limit = 100 * boundary // percent
-        for _, sets in chunks(batches, k):
+        for part in text_chunks(batches):
             keys, owners, sizes, light, places = [], [], [], [], []
-            for s in sets:
+            for s, rank, _ in ranked_sets(part, k, table):
                 n = len(s)
                 if not n or (key := set_key(s)) in seen:
                     continue
@@ -155,9 +172,8 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> tuple[Data
                     p = prefix(n, percent)
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        rank = np.where(often[at] == s, counts[at], 0)
-                        s = s[np.lexsort((s, rank))] if rank.any() else s
-                    keys.append(s[:p])
+                        rank = rank + np.where(often[at] == s, counts[at] << 32, 0)
+                    keys.append(s[np.lexsort((s, rank))[:p]])
                     places.append(np.arange(p))
                     owners.append(key)
                     sizes.append(n)
@@ -169,15 +185,15 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> tuple[Data
             packed = np.repeat(np.array(sizes, np.int64), each) << 32 | place
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(light, bool), each)), pa.array(flat), pa.array(np.repeat(np.array(owners, np.int64), each)), pa.array(packed)], names=["light", "key", "class", "packed"])
 
-    rows = arrow_map(docs, run, "light boolean, key long, class long, packed long")
-    return rows.where("light").drop("light"), rows.where("not light").drop("light")
+    return arrow_map(docs.select("doc_id", "text"), run, "light boolean, key long, class long, packed long")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """The rows whose key at least two classes have, once for each class."""
-    keys = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    out = rows.join(keys, "key", "left_semi").dropDuplicates(["key", "class"])
-    return out.select("key", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    """The rows whose key at least two classes have, once for each class; rows are shuffled once, by their key."""
+    rows = rows.repartition("light", "key")
+    keys = rows.groupBy("light", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("light", "key")
+    out = rows.join(keys.hint("shuffle_hash"), ["light", "key"], "left_semi").dropDuplicates(["light", "key", "class"])
+    return out.select("light", "key", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
 
 
 def at_least(a: str, b: str, percent: int):
@@ -197,11 +213,10 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     histogram = {r["n"]: r["count"] for r in sized.where(F.col("n") <= 100 * LARGEST_LIGHT // percent + 1).groupBy("n").count().collect()}
     more = sized.where(F.col("n") > 100 * LARGEST_LIGHT // percent + 1).limit(1).count()
     boundary = choose_boundary(histogram, percent) if histogram or more else 0
-    light, heavy = postings(docs, k, percent, boundary)
+    every = cut(shared_lists(postings(docs, k, percent, boundary)))
     # Subsets: every class with one is linked with the first of each size; sizes matter, as o(a, b) depends on them.
-    light = cut(shared_lists(light))
-    found = _light(light, percent, boundary)
-    lists = cut(shared_lists(heavy))
+    found = _light(every.where("light"), percent, boundary)
+    lists = every.where("not light").drop("light")
     # The sets of listed classes; few against all, so their ids are sent to the scan where they are few enough.
     wanted = sized.join(lists.select("class").distinct(), "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
     wanted = cut(wanted)

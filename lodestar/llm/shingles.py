@@ -32,34 +32,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; of all words where there are fewer."""
+    return [s for s, _, _ in ranked_sets(texts, k, None)]
+
+
+def ranked_sets(texts: list[str], k: int, table: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """shingle_sets, each element's least word frequency in ``table`` (by the low bits of the word's hash), and all words' hashes."""
     parts = [t.encode("utf-8", "replace").lower() for t in texts]
     x = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     ends_of_text = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     inside = ~SPACE[x]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
+    none = np.zeros(0, np.uint64)
     if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return [(none, np.zeros(0, np.int64), none) for _ in texts]
     with np.errstate(over="ignore"):
         at = np.flatnonzero(inside)
         lengths = ends - starts
-        within = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        begin = np.cumsum(lengths) - lengths
+        within = np.arange(len(at)) - np.repeat(begin, lengths)
         value = BYTE[x[at]] * powers(int(lengths.max()))[within]
-        words = mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+        words = mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64))
         chain = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
             chain += words[j : j + len(chain)] * ODD[1 + j]
         chain = mix(chain)
+        least = None
+        if table is not None:
+            seen = table[words & np.uint64(len(table) - 1)].astype(np.int64)
+            least = seen[: len(chain)].copy()
+            for j in range(1, k):
+                np.minimum(least, seen[j : j + len(chain)], out=least)
         stop = np.searchsorted(starts, ends_of_text)
         first = np.concatenate([[0], stop[:-1]])
         out = []
         for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+            rank = None
             if b - a >= k:
-                out.append(np.unique(chain[a : b - k + 1]))
+                if least is None:
+                    s = np.unique(chain[a : b - k + 1])
+                else:
+                    s, where = np.unique(chain[a : b - k + 1], return_index=True)
+                    rank = least[a : b - k + 1][where]
             elif b > a:
-                out.append(mix(np.array([(words[a:b] * ODD[20 : 20 + b - a]).sum() + np.uint64(b - a)], np.uint64)))
+                s = mix(np.array([(words[a:b] * ODD[20 : 20 + b - a]).sum() + np.uint64(b - a)], np.uint64))
+                rank = np.zeros(1, np.int64)
             else:
-                out.append(np.zeros(0, np.uint64))
+                s, rank = none, np.zeros(0, np.int64)
+            out.append((s, rank, words[a:b]))
     return out
 
 
