@@ -2,9 +2,12 @@
 
 A test item of m bytes may occur in a document with up to k = floor(m * rate) edits.
 It is split into k + 1 pieces, of which at least one then occurs unchanged; an
-Aho-Corasick automaton finds every piece in every whole document, and each hit's
-neighbourhood is verified with Myers' bit-parallel edit distance. Both sides are
-normalised alike: lower case, ASCII punctuation deleted, white space runs to one
+Aho-Corasick automaton finds every piece in every whole document. A hit is verified from the
+piece upwards, with Myers' bit-parallel edit distance: of any two neighbouring groups of a and
+b pieces with at most a + b - 1 edits, one has at most as many edits as it has pieces less one.
+So some unchanged piece has a pair around it with one edit at most, that pair a group of three
+or four with as few, and so on to the whole item; a hit whose next larger group has more is
+dropped at little cost. Both sides are normalised alike: lower case, ASCII punctuation deleted, white space runs to one
 space, as UTF-8 bytes (in which lengths, edits and offsets are counted).
 
 Items are the stated query set: they are collected in blocks of at most
@@ -74,15 +77,40 @@ class Myers:
         return low, end
 
 
+def groups(pieces: int) -> list[list[tuple[int, int]]]:
+    """For each piece the groups (first, end) that hold it, from pairs up to all, of a tree of halves."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
+
+    def split(a: int, b: int) -> None:
+        if b - a > 1:
+            split(a, (a + b) // 2)
+            split((a + b) // 2, b)
+            for i in range(a, b):
+                out[i].append((a, b))
+
+    split(0, pieces)
+    return out
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, int(len(t) * rate)) for i, t in items if t]
-        self.myers: dict[int, Myers] = {}
+        self.myers: dict[tuple[int, int, int], Myers] = {}
         self.automaton = ahocorasick.Automaton()
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, list[tuple]] = {}
         for n, (_, t, _) in enumerate(self.items):
-            for at, piece in pieces(t, rate):
-                found.setdefault(piece, []).append((n, at))
+            parts = pieces(t, rate)
+            starts = [at for at, _ in parts] + [len(t)]
+            for i, (above, (at, piece)) in enumerate(zip(groups(len(parts)), parts, strict=True)):
+                ladder = [(starts[a], starts[b], b - a - 1) for a, b in above]
+                # The piece's neighbour in a pair: one of its halves is unchanged there, moved by one place at most.
+                beside = None
+                if above and above[0][1] - above[0][0] == 2:
+                    other = above[0][0] if above[0][0] != i else i + 1
+                    a, b = starts[other], starts[other + 1]
+                    mid = (a + b) // 2
+                    beside = [(x - at, y - at, t[x:y]) for x, y in ((a, mid), (mid, b)) if y > x]
+                found.setdefault(piece, []).append((n, at, beside, ladder))
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
         if found:
@@ -95,21 +123,29 @@ class Matcher:
         if not self.items:
             return []
         for end, (size, where) in self.automaton.iter(text):
-            for n, at in where:
-                first = end + 1 - size - at
-                if (n, first) in tried or best.get(n, (1,))[0] == 0:
+            place = end + 1 - size
+            for n, at, beside, ladder in where:
+                if beside and not any(text.find(half, max(0, place + x - 1), place + y + 1) >= 0 for x, y, half in beside):
+                    continue
+                first = place - at
+                if best.get(n, (1,))[0] == 0 or (n, first) in tried:
                     continue
-                tried.add((n, first))
-                _, item, k = self.items[n]
-                if text.startswith(item, max(first, 0)) and first >= 0:
+                item = self.items[n][1]
+                if first >= 0 and text.startswith(item, first):
                     best[n] = (0, first + len(item))
                     continue
-                if n not in self.myers:
-                    self.myers[n] = Myers(item)
-                low = max(0, first - k)
-                distance, stop = self.myers[n].best(text[low : first + len(item) + k])
-                if distance <= k and distance < best.get(n, (k + 1,))[0]:
-                    best[n] = (distance, low + stop)
+                for a, b, k in ladder:
+                    key = (n, a, b)
+                    if key not in self.myers:
+                        self.myers[key] = Myers(item[a:b])
+                    low = max(0, first + a - k)
+                    distance, stop = self.myers[key].best(text[low : first + b + k])
+                    if distance > k:
+                        break
+                    if (a, b) == (0, len(item)):
+                        tried.add((n, first))
+                        if distance < best.get(n, (k + 1,))[0]:
+                            best[n] = (distance, low + stop)
         return [(n, *x) for n, x in sorted(best.items())]
 
 
