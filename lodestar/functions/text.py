@@ -94,8 +94,8 @@ def human_bytes(n: Column | str) -> Column:
     n = col(n)
     sized = F.when(n < 1024, F.format_string("%d B", n))
     for power, unit in ((1, "KB"), (2, "MB")):
-        sized = sized.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024**power))
-    return sized.otherwise(F.format_string("%.1f GB", n / 1024**3))
+        sized = sized.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024**power, 1)))
+    return sized.otherwise(F.format_string("%.1f GB", F.bround(n / 1024**3, 1)))
 
 
 def human_count(n: Column | str) -> Column:
