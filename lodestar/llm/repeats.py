@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,8 +160,29 @@ def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int)
             yield prefix, a + members, ext
 
 
+def by_anchor(around: DataFrame) -> DataFrame:
+    """The rows of anchors that aren't hot, as suffix arrays: those of one anchor in one partition, in order."""
+    return around.where("not hot").repartition("h").sortWithinPartitions("h", "right", "c1", "c2", "places")
+
+
+def once(t: pa.Table) -> pa.Table:
+    """Without rows that copies of a text have repeated; these stand next to each other."""
+    same = np.ones(len(t) - 1, bool)
+    for c in ("h", "c1", "c2"):
+        x = t.column(c).to_numpy()
+        same &= x[1:] == x[:-1]
+    x = pc.list_element(t.column("places"), 0).to_numpy()
+    same &= x[1:] == x[:-1]
+    return t.filter(pa.array(np.concatenate([[True], ~same])))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches sorted by ``h`` as tables that hold whole groups."""
+    for t in _whole(batches):
+        yield once(t)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -186,10 +208,11 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
-def surroundings(rows: DataFrame, length: int, hot: int) -> DataFrame:
-    """(h, hot, c1, c2, places, left, right): each shared anchor of each text with its bytes on either side.
+def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, bool]:
+    """(h, hot, c1, c2, places, left, right): each shared anchor of each text with its bytes on either side; whether any is hot.
 
     Left bytes are reversed. Places within one text whose surroundings are equal share a row.
+    Copies of a text may give the same row more than once.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +230,11 @@ def surroundings(rows: DataFrame, length: int, hot: int) -> DataFrame:
                 names=["h", "c1", "c2", "place"],
             )
 
-    found = arrow_map(rows.select("raw", "c1", "c2"), first, "h long, c1 long, c2 long, place long")
+    # Dealt by anchor once, for both the grouping and the join with it.
+    found = arrow_map(rows.select("raw", "c1", "c2"), first, "h long, c1 long, c2 long, place long").repartition("h")
     one = F.struct("c1", "c2", "place")
     shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", (F.col("n") > hot).alias("hot"))
-    kept = found.join(shared, "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot")).alias("found"))
+    kept = found.join(shared.hint("shuffle_hash"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot")).alias("found"))
     kept = cut(kept)
     texts_to_go = rows.select("raw", "c1", "c2").join(few(kept, kept.count()), KEYS)
 
@@ -236,16 +260,17 @@ def surroundings(rows: DataFrame, length: int, hot: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, places array<bigint>, left binary, right binary").dropDuplicates(["h", "c1", "c2", "places"])
+    any_hot = not kept.where(F.exists("found", lambda x: x["hot"])).isEmpty()
+    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, places array<bigint>, left binary, right binary"), any_hot
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 20_000) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
     """Maximal repeats around each anchor with all their occurrences: (repeat, c1, c2, start, size).
 
     c1 and c2 name the text (see ``texts``); ``size`` is the repeat's number of bytes, as far as
     it reaches within ``length`` bytes of the anchor. Hot anchors are left to ``covers``.
     """
-    around = surroundings(texts(docs, id_col, text_col), length, hot).where("not hot")
+    around, _ = surroundings(texts(docs, id_col, text_col), length, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
@@ -257,10 +282,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                 rows += [(f"{h[m] & (2**64 - 1):016x}:{prefix}:{reach}:{members.min()}", int(c1[m]), int(c2[m]), p - reach, reach + prefix) for m in members for p in places[m]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(5)], names=["repeat", "c1", "c2", "start", "size"])
 
-    return arrow_map(around.repartition("h").sortWithinPartitions("h", "right"), run, "repeat string, c1 long, c2 long, start long, size long")
+    return arrow_map(by_anchor(around), run, "repeat string, c1 long, c2 long, start long, size long")
 
 
-def covers(around: DataFrame, length: int) -> DataFrame:
+def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
     """(c1, c2, start, stop): bytes covered by strings of ``length`` bytes that occur elsewhere too."""
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +330,8 @@ def covers(around: DataFrame, length: int) -> DataFrame:
                     many = len(places)
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(h[0], many)), pa.array(np.tile(h[1], many)), pa.array(np.full(n * many, c1)), pa.array(np.full(n * many, c2)), pa.array(start.ravel())], names=["w1", "w2", "c1", "c2", "start"])
 
-    out = arrow_map(around.where("not hot").repartition("h").sortWithinPartitions("h", "right"), cold, "c1 long, c2 long, start long, stop long")
-    if around.where("hot").isEmpty():
+    out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long")
+    if not any_hot:
         return out
     each = arrow_map(around.where("hot"), windows, "w1 long, w2 long, c1 long, c2 long, start long")
     one = F.struct("c1", "c2", "start")
@@ -315,11 +340,11 @@ def covers(around: DataFrame, length: int) -> DataFrame:
     return out.unionByName(more)
 
 
-def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 20_000) -> DataFrame:
+def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, spans array<struct<start,stop>>, kept (the remaining bytes)."""
     rows = texts(docs, id_col, text_col)
-    around = cut(surroundings(rows, length, hot))
-    spans = covers(around, length).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    around, any_hot = surroundings(rows, length, hot)
+    spans = covers(around, length, any_hot).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = cut(spans.join(copies, KEYS, "full"))
     every = rows.join(few(told, told.count()), KEYS, "left")
