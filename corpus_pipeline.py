@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestar.checkpoints import ensure_dir
 from lodestar.llm import decontaminate, jaccard, langid, packing, pii
+from lodestar.llm.common import few
 from lodestar.llm.queries import vocabulary
-from lodestar.llm.repeats import few
 from lodestar.tables import table
 
 #: A language is taken for known from this score on.

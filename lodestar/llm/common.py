@@ -53,6 +53,15 @@ def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
 
+#: Rows up to which a side of a join is broadcast.
+SENT_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, with the hint to broadcast it if it has few rows; else left to be shuffled."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
 class Memo(dict):
     """A dict that makes missing values and starts anew when full, so that a worker's memory is bounded."""
 

@@ -14,8 +14,8 @@ their overlap is at least o(a, b) = ceil(p (a + b) / (100 + p)) for p per cent.
 The boundary is the one with the least estimated cost over the sizes at hand: subsets
 listed against elements listed and the probing of their lists.
 
-Inverted lists are scanned without forming all their pairs: in a few rounds every member
-is compared with one of the list, a different one each round; members already in one
+Inverted lists of more than a few members are scanned without forming all their pairs: in
+a few rounds every member is compared with one of the list, a different one each round; members already in one
 component are not compared again. What is left after the rounds, pairs of a list in
 different components, is compared in full, so the components are exact. Hashes have 64 bits.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import arrow_map, components, drawn, texts_of
+from lodestar.llm.common import arrow_map, components, drawn, few, texts_of
 from lodestar.llm.shingles import mix, ranked_sets, set_key, shingle_sets
 
 CHUNK = 4 << 20
@@ -46,6 +46,8 @@ SAMPLE, WORD_TABLE, OFTEN = 20_000, 1 << 20, 3
 PROBE = 4
 LARGEST_LIGHT = 24
 ROUNDS = 3
+#: Lists of so many members at most have all their pairs compared at once.
+FEW = 4
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -191,7 +193,8 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
 def shared_lists(rows: DataFrame) -> DataFrame:
     """The rows whose key at least two classes have, once for each class; rows are shuffled once, by their key."""
     rows = rows.repartition("light", "key")
-    keys = rows.groupBy("light", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("light", "key")
+    # All columns take part, so that both sides read one and the same exchange.
+    keys = rows.groupBy("light", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("packed").alias("p")).where("lo < hi AND p >= 0").select("light", "key")
     out = rows.join(keys.hint("shuffle_hash"), ["light", "key"], "left_semi").dropDuplicates(["light", "key", "class"])
     return out.select("light", "key", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
 
@@ -220,19 +223,24 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     # The sets of listed classes; few against all, so their ids are sent to the scan where they are few enough.
     wanted = sized.join(lists.select("class").distinct(), "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
     wanted = cut(wanted)
-    ids = wanted.select("doc_id")
-    if wanted.count() <= 1_000_000:
-        ids = F.broadcast(ids)
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi"), k))
-    label = None
-    for turn in range(ROUNDS + 1):
-        rows = lists
-        if label is None:
-            rows = rows.withColumn("label", F.col("class"))
-        else:
-            rows = rows.join(label, "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-            spread = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            rows = rows.join(spread, "key", "left_semi")
+    sets = cut(_sets(docs.join(few(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi"), k))
+    counts = lists.groupBy("key").agg(F.count("*").alias("members"))
+    long = counts.where(F.col("members") > FEW).select("key")
+    other = lists.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"))
+    # Lists of a few members: all their pairs at once.
+    short = lists.join(long, "key", "left_anti")
+    pairs = short.join(other, "key").where((F.col("class") < F.col("other")) & fits(percent))
+    pairs = cut(pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct())
+    found = found.unionByName(cut(_compare(pairs, sets, percent)))
+    lists = cut(lists.join(long, "key", "left_semi"))
+    turn = 0 if not lists.isEmpty() else ROUNDS + 1
+    while turn <= ROUNDS:
+        label = components(found).withColumnsRenamed({"id": "class"})
+        rows = lists.join(label, "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+        spread = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        rows = cut(rows.join(spread, "key", "left_semi"))
+        if rows.isEmpty():
+            break
         if turn < ROUNDS:
             order = F.xxhash64("class", F.lit(turn))
             head = rows.groupBy("key").agg(F.min_by(F.struct("class", "n", "place", "label"), order).alias("h")).select("key", F.col("h.class").alias("other"), F.col("h.n").alias("m"), F.col("h.place").alias("spot"), F.col("h.label").alias("label2"))
@@ -243,11 +251,11 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
             pairs = pairs.where("class < other")
         pairs = cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
         if pairs.isEmpty():
-            break
-        good = cut(_compare(pairs, sets, percent))
-        found = found.unionByName(good)
-        if turn < ROUNDS:
-            label = components(found).withColumnsRenamed({"id": "class"})
+            # One member of each list may have no pair that fits where others do: on to all pairs that are left.
+            turn = ROUNDS if turn < ROUNDS else ROUNDS + 1
+            continue
+        found = found.unionByName(cut(_compare(pairs, sets, percent)))
+        turn += 1
     return found
 
 
@@ -265,16 +273,20 @@ def _light(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, sets in chunks(batches, k):
-            sets = [s for s in sets if len(s)]
+            sets = [s for s in sets if len(s) and (key := set_key(s)) not in seen and not seen.add(key)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "elements"])
 
-    return arrow_map(docs, run, "class long, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
+    return arrow_map(docs, run, "class long, elements binary")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+    """The pairs whose sets link. Where they are few they go to the sets, of which only those in a pair move."""
+    n = pairs.count()
+    x = sets.withColumnsRenamed({"class": "a", "elements": "x"}).join(few(pairs, n), "a")
+    y = sets.withColumnsRenamed({"class": "b", "elements": "y"}).join(few(pairs.select("b").distinct(), n), "b", "left_semi")
+    both = x.join(y, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

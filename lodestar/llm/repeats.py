@@ -32,13 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import arrow_map
+from lodestar.llm.common import arrow_map, few
 from lodestar.llm.shingles import BYTE, ODD, mix
 
 GRAM = 32
 KEYS = ["c1", "c2"]
-#: Rows up to which the small side of a join with the texts is broadcast.
-SENT_ROWS = 1_000_000
 
 
 def raw_of(batch: pa.RecordBatch, k: int) -> list[bytes]:
@@ -204,10 +202,6 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", F.xxhash64("raw").alias("c1"), F.xxhash64("raw", F.lit(1)).alias("c2"))
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SENT_ROWS else df
-
-
 def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, bool]:
     """(h, hot, c1, c2, places, left, right): each shared anchor of each text with its bytes on either side; whether any is hot.
 
