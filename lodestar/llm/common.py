@@ -43,8 +43,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, with the package on the executors."""
-    ship(df.sparkSession)
+    """mapInArrow, with the package on the executors, in batches that hold long texts too without much memory."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     return df.mapInArrow(f, schema)
 
 
@@ -53,6 +56,8 @@ def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
 
+#: Spark's setting of how many rows an Arrow batch may hold; its default is too many for whole documents.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows up to which a side of a join is broadcast.
 SENT_ROWS = 1_000_000
 

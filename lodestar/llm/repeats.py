@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +96,34 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return found, h[found]
 
 
+def thinned(raw: bytes, place: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of a text's anchors those to compare with others, and what the rest cover.
+
+    Places with equal surroundings (as inside a run of one repeated line) cover these wholly,
+    and are alike to any other text: the first one stands for all.
+    """
+    _, group, count = np.unique(h, return_inverse=True, return_counts=True)
+    if not len(h) or count.max() < 2:
+        return np.ones(len(h), bool), []
+    keep = count[group] == 1
+    seen: dict[tuple, list[int]] = {}
+    for i in np.flatnonzero(~keep):
+        p = int(place[i])
+        around = (int(h[i]), raw[max(0, p - length + GRAM) : p], raw[p : p + length])
+        if around in seen:
+            seen[around].append(p)
+        else:
+            seen[around] = [p]
+            keep[i] = True
+    cover: list[tuple[int, int]] = []
+    for a, b in sorted((p - len(left), p + len(right)) for (_, left, right), places in seen.items() if len(places) > 1 and len(left) + len(right) >= length for p in places):
+        if cover and a <= cover[-1][1]:
+            cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
+        else:
+            cover.append((a, b))
+    return keep, cover
+
+
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
     """(common prefix, first, last) of all intervals; lcp[i] is between suffixes i and i + 1. Inner ones come first."""
     stack: list[tuple[int, int]] = []
@@ -160,17 +187,15 @@ def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int)
 
 def by_anchor(around: DataFrame) -> DataFrame:
     """The rows of anchors that aren't hot, as suffix arrays: those of one anchor in one partition, in order."""
-    return around.where("not hot").repartition("h").sortWithinPartitions("h", "right", "c1", "c2", "places")
+    return around.where("not hot").repartition("h").sortWithinPartitions("h", "right", "c1", "c2", "place")
 
 
 def once(t: pa.Table) -> pa.Table:
     """Without rows that copies of a text have repeated; these stand next to each other."""
     same = np.ones(len(t) - 1, bool)
-    for c in ("h", "c1", "c2"):
+    for c in ("h", "c1", "c2", "place"):
         x = t.column(c).to_numpy()
         same &= x[1:] == x[:-1]
-    x = pc.list_element(t.column("places"), 0).to_numpy()
-    same &= x[1:] == x[:-1]
     return t.filter(pa.array(np.concatenate([[True], ~same])))
 
 
@@ -202,11 +227,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", F.xxhash64("raw").alias("c1"), F.xxhash64("raw", F.lit(1)).alias("c2"))
 
 
-def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, bool]:
-    """(h, hot, c1, c2, places, left, right): each shared anchor of each text with its bytes on either side; whether any is hot.
+def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(h, hot, c1, c2, place, left, right): each shared anchor of each text with its bytes on either side.
 
-    Left bytes are reversed. Places within one text whose surroundings are equal share a row.
-    Copies of a text may give the same row more than once.
+    Left bytes are reversed. Copies of a text may give the same row more than once. Also
+    (c1, c2, start, stop), what texts cover by themselves, and whether any anchor is hot.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,45 +242,48 @@ def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, boo
                 if len(raw) >= length and tuple(key) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(tuple(key))
-                    out.append((*anchors(raw, length), *key))
+                    place, h = anchors(raw, length)
+                    keep, cover = thinned(raw, place, h, length)
+                    start, stop = (np.array([c[k] for c in cover], np.int64) for k in (0, 1))
+                    out.append((np.concatenate([h[keep].view(np.int64), start * 31 + key[0] % 1009]), np.concatenate([place[keep], start]), np.concatenate([np.full(keep.sum(), -1), stop]), *key))
             n = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in out)]).view(np.int64)), *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in (2, 3)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)]))],
-                names=["h", "c1", "c2", "place"],
-            )
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*flat, *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in (3, 4))], names=["h", "place", "stop", "c1", "c2"])
 
     # Dealt by anchor once, for both the grouping and the join with it.
-    found = arrow_map(rows.select("raw", "c1", "c2"), first, "h long, c1 long, c2 long, place long").repartition("h")
+    found = arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long").repartition("h")
     one = F.struct("c1", "c2", "place")
-    shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", (F.col("n") > hot).alias("hot"))
-    kept = found.join(shared.hint("shuffle_hash"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot")).alias("found"))
+    shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n"), F.max("stop").alias("stop")).where("lo <> hi OR stop >= 0").select("h", (F.col("n") > hot).alias("hot"))
+    kept = found.join(shared.hint("shuffle_hash"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
     kept = cut(kept)
     texts_to_go = rows.select("raw", "c1", "c2").join(few(kept, kept.count()), KEYS)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        names = ["h", "hot", "c1", "c2", "places", "left", "right"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["h", "hot", "c1", "c2", "place", "left", "right"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for b in batches:
             rows: list[tuple] = []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
             for c1, c2, raw, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_of(b, 2), b.column(3), strict=True):
                 if (c1, c2) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add((c1, c2))
-                fields = listed.values
-                at: dict[tuple, list[int]] = {}
-                for place, h, is_hot in zip(fields.field(0).to_pylist(), fields.field(1).to_pylist(), fields.field(2).to_pylist(), strict=True):
-                    at.setdefault((h, is_hot, raw[max(0, place - length + GRAM) : place][::-1], raw[place : place + length]), []).append(place)
-                rows += [(h, is_hot, c1, c2, sorted(places), left, right) for (h, is_hot, left, right), places in at.items()]
+                place, h, is_hot, stop = (listed.values.field(k).to_pylist() for k in range(4))
+                rows += [(h[i], is_hot[i], c1, c2, p, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]) for i, p in enumerate(place) if stop[i] < 0]
                 if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield made()
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield made()
 
     any_hot = not kept.where(F.exists("found", lambda x: x["hot"])).isEmpty()
-    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, places array<bigint>, left binary, right binary"), any_hot
+    own = kept.select("c1", "c2", F.explode("found").alias("f")).where("f.stop >= 0").select("c1", "c2", F.col("f.place").alias("start"), "f.stop")
+    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, place long, left binary, right binary"), own, any_hot
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
@@ -264,16 +292,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     c1 and c2 name the text (see ``texts``); ``size`` is the repeat's number of bytes, as far as
     it reaches within ``length`` bytes of the anchor. Hot anchors are left to ``covers``.
     """
-    around, _ = surroundings(texts(docs, id_col, text_col), length, hot)
+    around, _, _ = surroundings(texts(docs, id_col, text_col), length, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            h, c1, c2 = (t.column(c).to_numpy() for c in ("h", "c1", "c2"))
-            places = t.column("places").to_pylist()
+            h, c1, c2, place = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "place"))
             rows = []
             for prefix, members, ext in scan(h, t.column("left").to_pylist(), t.column("right").to_pylist(), length):
                 reach = int(ext.min())
-                rows += [(f"{h[m] & (2**64 - 1):016x}:{prefix}:{reach}:{members.min()}", int(c1[m]), int(c2[m]), p - reach, reach + prefix) for m in members for p in places[m]]
+                rows += [(f"{int(h[m]) % (1 << 64):016x}:{prefix}:{reach}:{members.min()}", int(c1[m]), int(c2[m]), int(place[m]) - reach, reach + prefix) for m in members]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(5)], names=["repeat", "c1", "c2", "start", "size"])
 
     return arrow_map(by_anchor(around), run, "repeat string, c1 long, c2 long, start long, size long")
@@ -284,22 +311,13 @@ def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
             ll, rr = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-            places = t.column("places").to_pylist()
-            for i, p in enumerate(places):
-                if len(p) > 1 and len(left[i]) + len(right[i]) >= length:  # equal surroundings in one text
-                    ll[i], rr[i] = len(left[i]), len(right[i])
-            for prefix, members, ext in scan(t.column("h").to_numpy(), left, right, length):
+            for prefix, members, ext in scan(t.column("h").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length):
                 ll[members] = np.maximum(ll[members], ext)
                 rr[members] = np.maximum(rr[members], prefix)
-            yield spans(t, places, ll, rr)
-
-    def spans(t: pa.Table, places: list[list[int]], ll: np.ndarray, rr: np.ndarray) -> pa.RecordBatch:
-        at = [(i, p) for i in np.flatnonzero(rr) for p in places[i]]
-        i, p = (np.array([x[k] for x in at], np.int64) for k in (0, 1))
-        c1, c2 = (t.column(c).to_numpy()[i] for c in KEYS)
-        return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(p - ll[i]), pa.array(p + rr[i])], names=["c1", "c2", "start", "stop"])
+            at = np.flatnonzero(rr)
+            c1, c2, place = (t.column(c).to_numpy()[at] for c in ("c1", "c2", "place"))
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(place - ll[at]), pa.array(place + rr[at])], names=["c1", "c2", "start", "stop"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -311,7 +329,7 @@ def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
                 power[k][1:] = np.multiply.accumulate(np.full(width - 1, m, np.uint64))
                 inverse[k][1:] = np.multiply.accumulate(np.full(width - 1, pow(m, -1, 1 << 64), np.uint64))
             for b in batches:
-                for c1, c2, places, left, right in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True):
+                for c1, c2, place, left, right in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True):
                     x = np.frombuffer(left[::-1] + right, np.uint8)
                     n = len(x) - length + 1
                     if n < 1:
@@ -320,9 +338,7 @@ def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
                     for k in (0, 1):
                         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(BYTE[x] + ODD[52 + k]) * power[k][: len(x)], dtype=np.uint64)])
                         h.append(mix((s[length:] - s[:n]) * inverse[k][:n]).view(np.int64))
-                    start = np.array(places, np.int64)[:, None] - len(left) + np.arange(n)
-                    many = len(places)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(h[0], many)), pa.array(np.tile(h[1], many)), pa.array(np.full(n * many, c1)), pa.array(np.full(n * many, c2)), pa.array(start.ravel())], names=["w1", "w2", "c1", "c2", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, c1)), pa.array(np.full(n, c2)), pa.array(place - len(left) + np.arange(n))], names=["w1", "w2", "c1", "c2", "start"])
 
     out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long")
     if not any_hot:
@@ -337,8 +353,8 @@ def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
 def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, spans array<struct<start,stop>>, kept (the remaining bytes)."""
     rows = texts(docs, id_col, text_col)
-    around, any_hot = surroundings(rows, length, hot)
-    spans = covers(around, length, any_hot).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    around, own, any_hot = surroundings(rows, length, hot)
+    spans = covers(around, length, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = cut(spans.join(copies, KEYS, "full"))
     every = rows.join(few(told, told.count()), KEYS, "left")
