@@ -62,12 +62,12 @@ def tail_duplicates(log: DataFrame, window: int = 200) -> DataFrame:
             for name, fp in zip(p["log"], p["fingerprint"], strict=True):
                 if name != at:
                     at, last, kept = name, {}, 0
-                dup = fp in last and kept - last[fp] < window
+                dup = fp in last and kept - last[fp] <= window
                 if not dup:
                     last[fp] = kept
                     kept += 1
                     if len(last) > 4 * window:
-                        last = {k: v for k, v in last.items() if kept - v < window}
+                        last = {k: v for k, v in last.items() if kept - v <= window}
                 out.append(dup)
             yield p.assign(duplicate=out)
 

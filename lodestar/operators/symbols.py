@@ -48,7 +48,7 @@ class Reader:
         for c in self.all:
             if c.kind == "comment":
                 last = c.line + c.value.count("\n")
-                body = re.sub(r"^\W+|\W+$", "", c.value).strip()
+                body = bare(c.value)
                 self.comment_ends[last] = f"{self.comment_ends.get(c.line - 1, '')} {body}".strip()
 
     def at(self, i: int) -> Token:
@@ -77,6 +77,11 @@ class Reader:
         return i
 
 
+def bare(comment: str) -> str:
+    """A comment without its marks."""
+    return re.sub(r"^[\s/*#!<-]+|[\s*/>-]+$", "", comment)
+
+
 def text_of(tok: Token) -> str:
     return tok.value.strip("\"'`")
 
@@ -434,7 +439,7 @@ def extract(text: str, language: str | None) -> Found:
     try:
         r = Reader(text, language)
         read(r)
-        doc = next((t.value.strip("\"' \n") for t in r.all[:1] if t.kind == "docstring"), "") or next((re.sub(r"^\W+|\W+$", "", t.value) for t in r.all[:1] if t.kind == "comment"), "")
+        doc = next((t.value.strip("\"' \n") for t in r.all[:1] if t.kind == "docstring"), "") or next((bare(t.value) for t in r.all[:1] if t.kind == "comment"), "")
         return Found(r.symbols, r.imports, doc[:400])
     except Exception:  # a file that can't be read has no symbols; the rest of the corpus goes on
         return Found([], [], "")

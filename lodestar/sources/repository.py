@@ -31,16 +31,56 @@ def is_binary(content: Column) -> Column:
     return F.when(size == 0, False).otherwise(F.contains(head, F.lit("\x00")) | (control / size > 0.30))
 
 
-def scan(spark: SparkSession, root: str, *, max_bytes: int = 1_000_000, max_depth: int = 12, include_hidden: bool = False, languages: list[str] | None = None, extra_ignores: list[str] | None = None, respect_ignores: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped): the indexed files, and how many were skipped for each reason.
+def listed(spark: SparkSession, root: str, max_depth: int) -> list[tuple[str, int]]:
+    """(path below root, size) of all files, version control left out. The driver lists, as it does for any Spark scan."""
+    fs_of = spark._jvm.org.apache.hadoop.fs
+    top = fs_of.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [(top, "")]
+    while todo:
+        folder, below = todo.pop()
+        for s in fs.listStatus(folder):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if name not in VCS and below.count("/") <= max_depth:
+                    todo.append((s.getPath(), f"{below}{name}/"))
+            else:
+                out.append((below + name, s.getLen()))
+    return sorted(out)
+
 
-    files(path, dir, name, language, text, size, lines). Folders' pruning is a filter on paths;
-    contents are read only of what is left.
+def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """(path, content) of the given files.
+
+    Spark's file sources pass over names that begin with a dot or an underscore and over
+    empty files, so these few are read by the driver and the others by the executors.
     """
     base = root.rstrip("/") + "/"
+    odd = F.exists(F.split("path", "/"), lambda p: p.startswith("_") | p.startswith(".")) | (F.col("size") == 0)
+    fs_of = spark._jvm.org.apache.hadoop.fs
+    fs = fs_of.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for r in paths.where(odd).select("path", "size").collect():
+        data = b""
+        if r["size"]:
+            stream = fs.open(fs_of.Path(base + r["path"]))
+            data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+        rows.append((r["path"], bytearray(data)))
+    few = spark.createDataFrame(rows, "path string, content binary")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.substring_index("path", F.lit(base), -1), "^/+", "")
-    rows = raw.select(rel.alias("path"), F.col("length").alias("size"), "content").where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, VCS))))
+    rel = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
+    many = raw.select(rel.alias("path"), "content").join(paths.where(~odd).select("path"), "path", "left_semi")
+    return many.unionByName(few)
+
+
+def scan(spark: SparkSession, root: str, *, max_bytes: int = 1_000_000, max_depth: int = 12, include_hidden: bool = False, languages: list[str] | None = None, extra_ignores: list[str] | None = None, respect_ignores: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, skipped): the indexed files, and how many were skipped for each reason.
+
+    files(path, dir, name, language, text, size, lines). All reasons but binary content are
+    settled on the listing; contents are read only of what is left.
+    """
+    rows = spark.createDataFrame(listed(spark, root, max_depth), "path string, size long")
     parts = F.split("path", "/")
     hidden = F.exists(parts, lambda p: p.startswith("."))
     reason = F.when(F.size(parts) - 1 > max_depth, "depth")
@@ -48,7 +88,8 @@ def scan(spark: SparkSession, root: str, *, max_bytes: int = 1_000_000, max_dept
         reason = F.coalesce(reason, F.when(hidden, "hidden"))
     rows = rows.withColumn("reason", reason)
     if respect_ignores or extra_ignores:
-        found = rows.where(F.element_at(parts, -1) == ".gitignore").select("path", F.decode("content", "UTF-8").alias("t")).collect() if respect_ignores else []
+        own = rows.where(F.element_at(parts, -1) == ".gitignore")
+        found = contents(spark, root, own).select("path", F.decode("content", "UTF-8").alias("t")).collect() if respect_ignores else []
         table = ignore.rules_table(spark, [(r["path"].rpartition("/")[0], r["t"].split("\n")) for r in found], extra_ignores)
         out = ignore.ignored(rows.select("path", F.lit(False).alias("is_dir")), table).where("ignored").select("path", "ignored")
         rows = rows.join(out, "path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("ignored"), "ignored"))).drop("ignored")
@@ -56,9 +97,11 @@ def scan(spark: SparkSession, root: str, *, max_bytes: int = 1_000_000, max_dept
     later = F.when(F.col("size") > max_bytes, "size")
     if languages:
         later = later.when(~language.isin(*languages), "language")
-    rows = rows.withColumn("reason", F.coalesce("reason", later, F.when(is_binary(F.col("content")), "binary")))
-    kept = rows.where("reason IS NULL").select("path", F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name"), language.alias("language"), decode(F.col("content")).alias("text"), F.col("size").cast("bigint").alias("size"))
-    skipped = rows.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("files"))
+    rows = rows.withColumn("reason", F.coalesce("reason", later))
+    read = contents(spark, root, rows.where("reason IS NULL")).withColumn("binary", is_binary(F.col("content")))
+    read = rows.where("reason IS NULL").join(read, "path")
+    kept = read.where("NOT binary").select("path", F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name"), language.alias("language"), decode(F.col("content")).alias("text"), "size")
+    skipped = rows.where("reason IS NOT NULL").select("reason").unionByName(read.where("binary").select(F.lit("binary").alias("reason"))).groupBy("reason").agg(F.count("*").alias("files"))
     return kept.withColumn("lines", line_count("text")), skipped
 
 
