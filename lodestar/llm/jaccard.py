@@ -17,7 +17,9 @@ listed against elements listed and the probing of their lists.
 Inverted lists of more than a few members are scanned without forming all their pairs: in
 a few rounds every member is compared with one of the list, a different one each round; members already in one
 component are not compared again. What is left after the rounds, pairs of a list in
-different components, is compared in full, so the components are exact. Hashes have 64 bits.
+different components, is compared in full, so the components are exact. Of long lists' pairs
+only those go on whose parities leave room for a link: the bits in which they differ are at
+most the elements that one set has alone. Hashes have 64 bits.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; a null id
 keeps its row, links with nothing and has a null component; rows that share an id are one
@@ -32,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
@@ -48,6 +50,8 @@ LARGEST_LIGHT = 24
 ROUNDS = 3
 #: Lists of so many members at most have all their pairs compared at once.
 FEW = 4
+#: Bits by which sets of a long list are told apart before they are compared.
+PARITY = 1024
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -191,11 +195,41 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """The rows whose key at least two classes have, once for each class; rows are shuffled once, by their key."""
-    rows = rows.repartition("light", "key")
-    # All columns take part, so that both sides read one and the same exchange.
-    keys = rows.groupBy("light", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("packed").alias("p")).where("lo < hi AND p >= 0").select("light", "key")
-    out = rows.join(keys.hint("shuffle_hash"), ["light", "key"], "left_semi").dropDuplicates(["light", "key", "class"])
+    """The rows whose key at least two classes have, once for each class.
+
+    Rows are shuffled once, by their key, and sorted; whether a key has another class shows
+    in the row before or after, so a list of any length passes through a few rows of memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["light", "key", "class", "packed"]
+        held: list[np.ndarray] | None = None  # the last row, whose next one is yet to come
+        before = None  # light and key of the row before it
+
+        def pick(x: list[np.ndarray], last: bool) -> pa.RecordBatch:
+            nonlocal held, before
+            light, key, cls, _ = x
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (light[1:] != light[:-1])])
+            light, key, _, _ = x = [v[new] for v in x]
+            same = (key[1:] == key[:-1]) & (light[1:] == light[:-1])
+            first = before is not None and before == (light[0], key[0])
+            shared = np.concatenate([[first], same]) | np.concatenate([same, [False]])
+            if not last:
+                held = [v[-1:] for v in x]
+                # What came before the held row: the row before it here, or else the one before this part.
+                before = (light[-2], key[-2]) if len(key) > 1 else before
+                shared[-1] = False
+            return pa.RecordBatch.from_arrays([pa.array(v[shared]) for v in x], names=names)
+
+        for b in batches:
+            if b.num_rows:
+                x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                yield pick(x if held is None else [np.concatenate([h, v]) for h, v in zip(held, x, strict=True)], last=False)
+        if held is not None:
+            yield pick(held, last=True)
+
+    ordered = rows.repartition("light", "key").sortWithinPartitions("light", "key", "class")
+    out = arrow_map(ordered, run, "light boolean, key long, class long, packed long")
     return out.select("light", "key", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
 
 
@@ -219,20 +253,25 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     every = cut(shared_lists(postings(docs, k, percent, boundary)))
     # Subsets: every class with one is linked with the first of each size; sizes matter, as o(a, b) depends on them.
     found = _light(every.where("light"), percent, boundary)
-    lists = every.where("not light").drop("light")
+    lists = every.where("not light").drop("light").withColumn("prev", F.lag("key").over(Window.partitionBy("class").orderBy("place")))
     # The sets of listed classes; few against all, so their ids are sent to the scan where they are few enough.
     wanted = sized.join(lists.select("class").distinct(), "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
     wanted = cut(wanted)
     sets = cut(_sets(docs.join(few(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi"), k))
     counts = lists.groupBy("key").agg(F.count("*").alias("members"))
     long = counts.where(F.col("members") > FEW).select("key")
-    other = lists.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"))
+    other = lists.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prev").alias("prev2"))
+    # Two classes that have the same key before this one in common have met there.
+    unmet = F.col("prev").isNull() | F.col("prev2").isNull() | (F.col("prev") != F.col("prev2"))
     # Lists of a few members: all their pairs at once.
     short = lists.join(long, "key", "left_anti")
-    pairs = short.join(other, "key").where((F.col("class") < F.col("other")) & fits(percent))
+    pairs = short.join(other, "key").where((F.col("class") < F.col("other")) & fits(percent) & unmet)
     pairs = cut(pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct())
     found = found.unionByName(cut(_compare(pairs, sets, percent)))
-    lists = cut(lists.join(long, "key", "left_semi"))
+    lists = cut(lists.join(long, "key", "left_semi").join(sets.groupBy("class").agg(F.first("parity").alias("parity")), "class"))
+    # Elements in one set alone leave their bit of the parities different, unless two share it.
+    apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = fits(percent) & (apart <= F.col("n") + F.col("m") - 2 * at_least("n", "m", percent))
     turn = 0 if not lists.isEmpty() else ROUNDS + 1
     while turn <= ROUNDS:
         label = components(found).withColumnsRenamed({"id": "class"})
@@ -243,12 +282,12 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
             break
         if turn < ROUNDS:
             order = F.xxhash64("class", F.lit(turn))
-            head = rows.groupBy("key").agg(F.min_by(F.struct("class", "n", "place", "label"), order).alias("h")).select("key", F.col("h.class").alias("other"), F.col("h.n").alias("m"), F.col("h.place").alias("spot"), F.col("h.label").alias("label2"))
+            head = rows.groupBy("key").agg(F.min_by(F.struct("class", "n", "place", "label", "parity"), order).alias("h")).select("key", F.col("h.class").alias("other"), F.col("h.n").alias("m"), F.col("h.place").alias("spot"), F.col("h.label").alias("label2"), F.col("h.parity").alias("parity2"))
         else:
-            head = rows.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label2"))
-        pairs = rows.join(head, "key").where((F.col("label") != F.col("label2")) & fits(percent))
+            head = rows.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label2"), F.col("parity").alias("parity2"), F.col("prev").alias("prev2"))
+        pairs = rows.join(head, "key").where((F.col("label") != F.col("label2")) & near)
         if turn == ROUNDS:
-            pairs = pairs.where("class < other")
+            pairs = pairs.where((F.col("class") < F.col("other")) & unmet)
         pairs = cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
         if pairs.isEmpty():
             # One member of each list may have no pair that fits where others do: on to all pairs that are left.
@@ -271,19 +310,26 @@ def _light(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
     return cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """For each of PARITY slots whether the set has an odd number of elements there, as longs."""
+    slots = np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(slots.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in chunks(batches, k):
             sets = [s for s in sets if len(s) and (key := set_key(s)) not in seen and not seen.add(key)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["class", "elements", "parity"])
 
-    return arrow_map(docs, run, "class long, elements binary")
+    return arrow_map(docs, run, "class long, elements binary, parity array<bigint>")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets link. Where they are few they go to the sets, of which only those in a pair move."""
     n = pairs.count()
+    sets = sets.select("class", "elements")
     x = sets.withColumnsRenamed({"class": "a", "elements": "x"}).join(few(pairs, n), "a")
     y = sets.withColumnsRenamed({"class": "b", "elements": "y"}).join(few(pairs.select("b").distinct(), n), "b", "left_semi")
     both = x.join(y, "b")
