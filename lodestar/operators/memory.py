@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.checkpoints import cut
 from lodestar.functions import text as T
 
 SCHEMA = "id string, kind string, text string, tags array<string>, file string, line int, source string, importance int, ttl_days int, link string, created_at bigint, updated_at bigint, fingerprint string, format_version int"
@@ -128,20 +129,23 @@ def gc_flags(log: DataFrame, as_of: int, hard_cap: int = 50_000, oldest_first: b
     newest of them first (the oldest, on demand). Ranks are global, so the cap ranks only
     as many rows as it evicts.
     """
-    rows = log.withColumn("expired", expired(as_of))
+    # Fates are settled on a few columns, which are written once, and joined to the whole rows at the end.
+    rows = cut(log.select("log_pos", "fingerprint", "tags", "importance", "created_at", expired(as_of).alias("expired")))
     # Groupings with partial aggregation, joined back: one fingerprint may have any number of rows.
     live = rows.where(~F.col("expired"))
     first = live.groupBy("fingerprint").agg(F.min("log_pos").alias("first"))
     tags = live.select("fingerprint", F.explode("tags").alias("tag")).distinct().groupBy("fingerprint").agg(F.array_sort(F.collect_list("tag")).alias("all_tags"))
-    rows = rows.join(first.join(tags, "fingerprint", "left").select("fingerprint", "first", F.coalesce("all_tags", T.strings()).alias("all_tags")), "fingerprint", "left").select(*log.columns, "expired", "first", "all_tags")
+    rows = rows.join(first.join(tags, "fingerprint", "left"), "fingerprint", "left")
     rows = rows.withColumn("fate", F.when(F.col("expired"), "expired").when(F.col("log_pos") != F.col("first"), "duplicate").otherwise("kept"))
     kept = rows.where("fate = 'kept'")
     over = kept.count() - hard_cap
     if over > 0:
         age = F.col("created_at") if oldest_first else F.desc("created_at")
         out = kept.orderBy("importance", age, "log_pos").limit(over).select("log_pos", F.lit(True).alias("out"))
-        rows = rows.join(out, "log_pos", "left").withColumn("fate", F.when(F.col("out"), "evicted").otherwise(F.col("fate"))).drop("out")
-    return rows.withColumn("tags", F.when(F.col("fate") == "kept", F.col("all_tags")).otherwise(F.col("tags"))).drop("expired", "first", "all_tags")
+        rows = rows.join(out, "log_pos", "left").withColumn("fate", F.when(F.col("out"), "evicted").otherwise(F.col("fate")))
+    told = rows.select("log_pos", "fate", F.when(F.col("fate") == "kept", F.coalesce("all_tags", T.strings())).alias("merged"))
+    out = log.join(told, "log_pos")
+    return out.select(*(F.coalesce("merged", "tags").alias("tags") if c == "tags" else c for c in log.columns), "fate")
 
 
 def gc(log: DataFrame, as_of: int, **how) -> DataFrame:
