@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -67,6 +68,16 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of files that finished rounds of a loop have shuffled and checkpointed.
+
+    Spark removes them when the driver's JVM finds that nothing refers to them any more,
+    which a driver with memory to spare may not look for in hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Memo(dict):
     """A dict that makes missing values and starts anew when full, so that a worker's memory is bounded."""
 
@@ -89,8 +100,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ignored; nodes without links don't appear. Rounds go on until no link changes;
     each round is cut in the shared checkpoint folder, so a lost executor costs one round.
     """
-    edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    edges = cut(edges)
+    def mark(df: DataFrame):
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+
+    edges = cut(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct())
+    was = mark(edges)
     while True:
         # Large star: each node tells its larger neighbours of its smallest one.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -99,11 +113,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: each node hands its smaller neighbours to the smallest of them.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
-        after = cut(small.where("u < v").distinct())
+        edges = cut(small.where("u < v").distinct())
+        sweep(edges.sparkSession)
         # At the fixed point every link joins a component's smallest id with one other id.
-        n = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        was = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        edges = after
-        if n == was:
+        now = mark(edges)
+        if now == was:
             break
+        was = now
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

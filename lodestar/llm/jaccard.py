@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import arrow_map, components, drawn, few, texts_of
+from lodestar.llm.common import arrow_map, components, drawn, few, sweep, texts_of
 from lodestar.llm.shingles import mix, ranked_sets, set_key, shingle_sets
 
 CHUNK = 4 << 20
@@ -47,7 +47,7 @@ SAMPLE, WORD_TABLE, OFTEN = 20_000, 1 << 20, 3
 #: Of an element in an inverted list against one subset: storing it, and probing its list.
 PROBE = 4
 LARGEST_LIGHT = 24
-ROUNDS = 3
+ROUNDS = 2
 #: Lists of so many members at most have all their pairs compared at once.
 FEW = 4
 #: Bits by which sets of a long list are told apart before they are compared.
@@ -272,6 +272,7 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     # Elements in one set alone leave their bit of the parities different, unless two share it.
     apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     near = fits(percent) & (apart <= F.col("n") + F.col("m") - 2 * at_least("n", "m", percent))
+    sweep(docs.sparkSession)
     turn = 0 if not lists.isEmpty() else ROUNDS + 1
     while turn <= ROUNDS:
         label = components(found).withColumnsRenamed({"id": "class"})
@@ -295,6 +296,7 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
             continue
         found = found.unionByName(cut(_compare(pairs, sets, percent)))
         turn += 1
+        sweep(docs.sparkSession)
     return found
 
 
