@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
 from lodestar.operators import lexer, symbols
+from lodestar.shipping import ship
 
 TOKENS = "path string, pos int, kind string, value string, line int, col int, offset int"
 SYMBOLS = "path string, ord int, name string, kind string, line int, col int, signature string, doc string, parent string"
@@ -23,6 +24,7 @@ def tokens(files: DataFrame) -> DataFrame:
             rows = [(path, i, *t) for path, language, text in p.itertuples(index=False) for i, t in enumerate(lexer.lex(text or "", language))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "language", "text").mapInPandas(run, TOKENS)
 
 
@@ -34,6 +36,7 @@ def declared(files: DataFrame) -> DataFrame:
             rows = [(path, i, *s) for path, language, text in p.itertuples(index=False) for i, s in enumerate(symbols.extract(text or "", language).symbols)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "language", "text").mapInPandas(run, SYMBOLS)
 
 
@@ -45,6 +48,7 @@ def imported(files: DataFrame) -> DataFrame:
             rows = [(path, language, i, *x) for path, language, text in p.itertuples(index=False) for i, x in enumerate(symbols.extract(text or "", language).imports)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORTS.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "language", "text").mapInPandas(run, IMPORTS)
 
 
@@ -65,6 +69,7 @@ class ExtractSymbols:
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.udtf.register("lex", Lex)
     spark.udtf.register("extract_symbols", ExtractSymbols)
 

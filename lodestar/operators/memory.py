@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
 from lodestar.functions import text as T
+from lodestar.shipping import ship
 
 SCHEMA = "id string, kind string, text string, tags array<string>, file string, line int, source string, importance int, ttl_days int, link string, created_at bigint, updated_at bigint, fingerprint string, format_version int"
 
@@ -52,6 +53,7 @@ def tail_duplicates(log: DataFrame, window: int = 200) -> DataFrame:
     order by nature, so logs (column ``log``) are folded apart from each other, as a stream.
     """
 
+    ship(log.sparkSession)
     schema = log.select("log", "log_pos", "fingerprint").schema.simpleString()[7:-1].replace(":", " ")
     ordered = log.select("log", "log_pos", "fingerprint").repartition("log").sortWithinPartitions("log", "log_pos")
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.functions import text as T
 from lodestar.operators import memory
+from lodestar.shipping import ship
 
 
 def read(spark: SparkSession, path: str, lateness: str = "1 day") -> DataFrame:
@@ -41,6 +42,7 @@ def without_tail_duplicates(rows: DataFrame, window: int = 200) -> DataFrame:
         state.update((tail,))
         yield pd.DataFrame(kept, columns=["log", "id", "fingerprint"])
 
+    ship(rows.sparkSession)
     return rows.select("log", "log_pos", "id", "fingerprint").groupBy("log").applyInPandasWithState(step, "log string, id string, fingerprint string", "tail array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
