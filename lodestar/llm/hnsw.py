@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import components, ship
+from lodestar.llm.common import components
+from lodestar.shipping import ship
 
 #: Queries that walk a graph side by side, and nodes that each of them opens in a step.
 LOCKSTEP, OPEN = 256, 4
