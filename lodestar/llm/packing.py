@@ -124,13 +124,15 @@ class Packer:
 
     def add(self, doc: int, ids: bytes, ends: np.ndarray) -> None:
         n = len(ids) // 4
-        ends = np.append(np.unique(ends[(ends > 0) & (ends < n - 1)]), n)
+        ends = ends[(ends > 0) & (ends < n - 1)]
+        ends = np.append(ends[np.diff(ends, prepend=0) > 0], n)
         costs = np.append(np.full(len(ends) - 1, self.sentence), 0.0)
         gaps = np.diff(ends, prepend=0)
-        if gaps.max() > self.step:
-            extra = [np.arange(b - g + self.step, b, self.step) for g, b in zip(gaps, ends, strict=True) if g > self.step]
-            ends = np.concatenate([ends, *extra])
-            costs = np.concatenate([costs, np.full(len(ends) - len(costs), self.forced)])
+        more = (gaps - 1) // self.step  # cuts inside each gap
+        if more.any():
+            within = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+            ends = np.concatenate([ends, np.repeat(ends - gaps, more) + self.step * within])
+            costs = np.concatenate([costs, np.full(len(within), self.forced)])
             order = np.argsort(ends, kind="stable")
             ends, costs = ends[order], costs[order]
         self.docs.append((doc, 0, n, n))
