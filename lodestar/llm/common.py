@@ -43,6 +43,8 @@ def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
 
 #: Spark's setting of how many rows an Arrow batch may hold; its default is too many for whole documents.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Links that one task may hold at once.
+FOREST = 200_000
 #: Rows up to which a side of a join is broadcast.
 SENT_ROWS = 1_000_000
 
@@ -76,6 +78,32 @@ class Memo(dict):
         return value
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to as few that connect the same nodes: each node with the smallest one it reaches here."""
+    up: dict = {}
+
+    def top(x):
+        root = x
+        while up[root] != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    kinds = None
+    for b in batches:
+        kinds = [f.type for f in b.schema]
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            x, y = top(u), top(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if kinds:
+        rows = [(r, x) for x in up if (r := top(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (id, component), component being the smallest id reachable.
 
@@ -88,6 +116,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
 
     edges = cut(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct())
+    # Stretches of at most about FOREST links keep only what ties their nodes together.
+    edges = cut(arrow_map(edges.coalesce(1 + edges.count() // FOREST), forest, edges.schema.simpleString()[7:-1].replace(":", " ")))
     was = mark(edges)
     while True:
         # Large star: each node tells its larger neighbours of its smallest one.
