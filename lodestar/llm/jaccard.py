@@ -268,7 +268,9 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     pairs = short.join(other, "key").where((F.col("class") < F.col("other")) & fits(percent) & unmet)
     pairs = cut(pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct())
     found = found.unionByName(cut(_compare(pairs, sets, percent)))
-    lists = cut(lists.join(long, "key", "left_semi").join(sets.groupBy("class").agg(F.first("parity").alias("parity")), "class"))
+    # Along with the long lists' keys before each of its own, so that two classes meet once, at their first one in common.
+    before = F.collect_list("key").over(Window.partitionBy("class").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    lists = cut(lists.join(long, "key", "left_semi").withColumn("before", before).drop("prev").join(sets.groupBy("class").agg(F.first("parity").alias("parity")), "class"))
     # Elements in one set alone leave their bit of the parities different, unless two share it.
     apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     near = fits(percent) & (apart <= F.col("n") + F.col("m") - 2 * at_least("n", "m", percent))
@@ -285,10 +287,10 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
             order = F.xxhash64("class", F.lit(turn))
             head = rows.groupBy("key").agg(F.min_by(F.struct("class", "n", "place", "label", "parity"), order).alias("h")).select("key", F.col("h.class").alias("other"), F.col("h.n").alias("m"), F.col("h.place").alias("spot"), F.col("h.label").alias("label2"), F.col("h.parity").alias("parity2"))
         else:
-            head = rows.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label2"), F.col("parity").alias("parity2"), F.col("prev").alias("prev2"))
+            head = rows.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label2"), F.col("parity").alias("parity2"), F.col("before").alias("before2"))
         pairs = rows.join(head, "key").where((F.col("label") != F.col("label2")) & near)
         if turn == ROUNDS:
-            pairs = pairs.where((F.col("class") < F.col("other")) & unmet)
+            pairs = pairs.where((F.col("class") < F.col("other")) & ~F.arrays_overlap("before", "before2"))
         pairs = cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
         if pairs.isEmpty():
             # One member of each list may have no pair that fits where others do: on to all pairs that are left.
