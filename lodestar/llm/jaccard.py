@@ -41,7 +41,8 @@ from lodestar.checkpoints import cut
 from lodestar.llm.common import arrow_map, components, drawn, few, sweep, texts_of
 from lodestar.llm.shingles import mix, ranked_sets, set_key, shingle_sets
 
-CHUNK = 4 << 20
+#: Bytes of text whose shingles are hashed at once; each takes some forty bytes meanwhile.
+CHUNK = 1 << 20
 #: How many documents the order of elements is taken from; slots for words' counts; from which count on an element repeats.
 SAMPLE, WORD_TABLE, OFTEN = 20_000, 1 << 20, 3
 #: Of an element in an inverted list against one subset: storing it, and probing its list.

@@ -110,6 +110,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """Columns ``keep`` of docs with lang_pred and score (0 to 1), for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
+    # A kept text isn't sent twice.
+    source = f"k{keep.index(text_col)}" if text_col in keep else "_text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -123,12 +125,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
         table, ids = np.zeros((1024, k + 1)), Memo(add, most=1 << 62)
         for b in batches:
             langs, scores = [], []
-            if len(ids) > 300_000:
+            if len(ids) > 150_000:
                 ids.clear()
                 rows.clear()
-            found = [np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks)) for chunks in map(str.split, texts_of(b, "_text"))]
+            found = [np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks)) for chunks in map(str.split, texts_of(b, source))]
             if len(rows) > len(table):
-                table = np.zeros((2 * len(rows), k + 1))
+                table = np.zeros((len(rows) + 50_000, k + 1))
             if rows:
                 table[: len(rows)] = rows
             for at in found:
@@ -145,5 +147,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
     schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string, score double"])
-    out = arrow_map(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text")), score, schema)
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    out = arrow_map(docs.select(*columns, *([F.col(text_col).alias("_text")] if source == "_text" else [])), score, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
