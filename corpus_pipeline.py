@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs)
     if not model.langs:
         return docs
-    told = langid.predict(docs, model, docs.columns)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    told = langid.predict(docs, model, docs.columns, names=("_language_found", "_language_score"))
+    return told.where((F.col("_language_found") != "und") & (F.col("_language_score") >= SURE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and disclosing terms replaced in their texts; n_chars follows."""
-    out = pii.spans(docs, keep=docs.columns)
-    text = F.when(F.col("text").isNotNull(), F.col("sanitised"))
+    out = pii.spans(docs, keep=docs.columns, names=("_spans_found", "_text_sanitised"))
+    text = F.when(F.col("text").isNotNull(), F.col("_text_sanitised"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)

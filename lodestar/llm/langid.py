@@ -106,8 +106,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, tables[0], [tables[n] for n in orders], orders)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred and score (0 to 1), for every row."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of docs with lang_pred and score (0 to 1), or whatever they are to be named, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
     # A kept text isn't sent twice.
@@ -149,4 +149,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string, score double"])
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     out = arrow_map(docs.select(*columns, *([F.col(text_col).alias("_text")] if source == "_text" else [])), score, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))

@@ -142,7 +142,7 @@ def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.where((F.col("p") >= share) & (F.col("bits") >= bits)).select("term", "value", "n", "df", "p", "bits", (F.col("p") >= remove_share).alias("removed"))
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, broadcast_terms: int = 100_000, **how) -> DataFrame:
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("spans", "sanitised"), broadcast_terms: int = 100_000, **how) -> DataFrame:
     """Columns ``keep`` (default: the id) of every document, with ``spans`` array<struct<kind,start,end,removed>>, ``sanitised`` text.
 
     Patterns become placeholders such as ``[EMAIL]``; terms become ``[TERM]`` or nothing.
@@ -185,4 +185,4 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(found, kind), pa.array(clean, pa.string())], names=[*(f"k{i}" for i in range(k)), "spans", "sanitised"])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "spans array<struct<kind:string,start:bigint,end:bigint,removed:boolean>>", "sanitised string"])
-    return arrow_map(read, mark, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "spans", "sanitised")
+    return arrow_map(read, mark, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("spans").alias(names[0]), F.col("sanitised").alias(names[1]))
