@@ -2,14 +2,16 @@
 
 A text is lower-cased (A-Z), cut at white space, and read as the bytes of its words,
 each followed by a space, and one closing line break. The tree's contexts are up to
-``depth`` preceding bytes. Every context whose share of all training positions is at
-least ``p_min`` is a candidate, so there are at most depth / p_min of them and the model
-that is broadcast has a fixed bound, whatever the corpus. A candidate is retained when
+``depth`` preceding bytes. Every context seen at least ``least`` times is a candidate (and
+with a share of all training positions of at least ``p_min``, 0 unless given), so the tree
+grows with the corpus. A candidate is retained when
 n(context) * KL(next | context || next | shorter context) exceeds ``divergence`` nats
 (and so are its suffixes). Next-symbol distributions are smoothed towards the shorter
 context's in the manner of Witten and Bell; the root's is additive over all 256 bytes.
 Scoring walks an automaton whose states are the longest retained suffixes (with the
-prefixes that reaching them needs), many text segments at a time.
+prefixes that reaching them needs), many text segments at a time, while at most ``dense``
+contexts of more than two bytes are retained. A larger tree stays a table, and is sent in
+blocks of about ``block_rows`` rows, of which a task holds one at a time.
 
 Beside it stands a unigram baseline over word tokens, exact for a vocabulary of any size:
 the ``frequent`` most frequent words are broadcast, all others are joined.
@@ -115,13 +117,34 @@ class Tree:
     count: np.ndarray
 
 
-def grow(docs: DataFrame, text_col: str = "text", *, depth: int = 5, p_min: float = 2e-6, least: int = 16, divergence: float = 12.0) -> Tree:
-    """Train on all rows. Of all counts only those of candidate contexts, depth / p_min at most, reach the driver."""
+#: Bytes of a context by which counts are dealt, and blocks of a large tree made.
+NEAR = 2
+
+
+def diverging(rows: tuple[np.ndarray, np.ndarray, np.ndarray], up: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, divergence: float) -> np.ndarray:
+    """Contexts of k bytes that diverge from the one a byte shorter; rows, up: (context, symbol, count), up with all symbols of rows."""
+    s, a, n = rows
+    context, inverse = np.unique(s, return_inverse=True)
+    sizes = np.bincount(inverse, n, len(context))
+    key = up[0] << 8 | up[1]
+    order = np.argsort(key)
+    shorter, back = np.unique(up[0], return_inverse=True)
+    share = (up[2] / np.bincount(back, up[2], len(shorter))[back])[order]
+    q = share[np.searchsorted(key[order], (s & ((1 << 8 * (k - 1)) - 1)) << 8 | a)]
+    kl = np.bincount(inverse, n * np.log(n / sizes[inverse] / q), len(context))
+    return context[kl > divergence]
+
+
+def retained(docs: DataFrame, text_col: str = "text", *, depth: int = 5, p_min: float = 0.0, least: int = 16, divergence: float = 12.0) -> tuple[Tree, DataFrame]:
+    """Train on all rows: the tree's contexts up to NEAR bytes, and a table (d, s, a, n) of all longer ones.
+
+    The first has 256 ** NEAR contexts at most; the table grows with the corpus and stays with the executors.
+    """
     grams = cut(count_grams(docs, text_col, depth))
     total = grams.agg(F.sum("c")).first()[0] or 0
-    floor = max(least, p_min * total)
+    floor, near = max(least, p_min * total), min(NEAR, depth)
     levels = None
-    for d in range(depth + 1):
+    for d in range(near + 1):
         code = F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
         rows = grams.groupBy(F.shiftright(code, 8).alias("s"), code.bitwiseAND(F.lit(255)).alias("a")).agg(F.sum("c").alias("n"))
         rows = rows.groupBy("s").agg(F.sum("n").alias("total"), F.collect_list(F.struct("a", "n")).alias("next"))  # 256 at most
@@ -129,26 +152,130 @@ def grow(docs: DataFrame, text_col: str = "text", *, depth: int = 5, p_min: floa
         levels = rows if levels is None else levels.unionByName(rows)
     got = levels.toArrow()
     d, s, a, n = (got.column(c).to_numpy() for c in ("d", "s", "a", "n"))
-    keep = [d == 0]
-    of = [np.flatnonzero(d == k) for k in range(depth + 1)]
-    kept: list[set[int]] = [set() for _ in range(depth + 1)]
-    for k in range(1, depth + 1):
+
+    def longer(t: pa.Table) -> pa.Table:
+        """Retained contexts of more than NEAR bytes among all that end alike."""
+        codes, counts = t.column("code").to_numpy(), t.column("c").to_numpy()
+        level, kept = {}, {}
+        for k in range(near, depth + 1):
+            key, inverse = np.unique(codes & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            sums = np.bincount(inverse, counts).astype(np.int64)
+            _, of, back = np.unique(key >> 8, return_index=True, return_inverse=True)
+            often = (np.bincount(back, sums, len(of)) >= floor)[back]
+            level[k] = key[often] >> 8, key[often] & 255, sums[often]
+            if k > near:
+                kept[k] = diverging(level[k], level[k - 1], k, divergence)
+        for k in range(depth, near + 1, -1):
+            kept[k - 1] = np.union1d(kept[k - 1], kept[k] & ((1 << 8 * (k - 1)) - 1))
+        out = [(np.full(on.sum(), k, np.int32), s[on], a[on], n[on]) for k in kept for s, a, n in [level[k]] for on in [np.isin(s, kept[k])]]
+        return pa.table(dict(zip("dsan", (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    if depth > near:
+        ends = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * near) - 1))
+        far = cut(grams.groupBy(ends.alias("ends")).applyInArrow(longer, "d int, s long, a long, n long"))
+    else:
+        far = docs.sparkSession.createDataFrame([], "d int, s long, a long, n long")
+    kept: list[set[int]] = [set() for _ in range(near + 1)]
+    for k in range(1, near + 1):
         # Each context's divergence from the one a byte shorter, whose counts hold all of its symbols.
-        rows, up = of[k][np.argsort(s[of[k]], kind="stable")], of[k - 1]
-        context, inverse = np.unique(s[rows], return_inverse=True)
-        sizes = np.bincount(inverse, n[rows], len(context))
-        key = s[up] << 8 | a[up]
-        order = np.argsort(key)
-        shorter, back = np.unique(s[up], return_inverse=True)
-        share = (n[up] / np.bincount(back, n[up], len(shorter))[back])[order]
-        q = share[np.searchsorted(key[order], (s[rows] & ((1 << 8 * (k - 1)) - 1)) << 8 | a[rows])]
-        kl = np.bincount(inverse, n[rows] * np.log(n[rows] / sizes[inverse] / q), len(context))
-        kept[k] = set(context[kl > divergence].tolist())
-    for k in range(depth, 1, -1):  # a retained context keeps its suffixes
+        on, up = d == k, d == k - 1
+        kept[k] = set(diverging((s[on], a[on], n[on]), (s[up], a[up], n[up]), k, divergence).tolist())
+    # A retained context keeps its suffixes.
+    kept[near] |= {r[0] for r in far.select(F.col("s").bitwiseAND(F.lit((1 << 8 * near) - 1))).distinct().collect()} if near else set()
+    for k in range(near, 1, -1):
         kept[k - 1] |= {c & ((1 << 8 * (k - 1)) - 1) for c in kept[k]}
-    keep += [(d == k) & np.isin(s, np.fromiter(kept[k], np.int64, len(kept[k]))) for k in range(1, depth + 1)]
+    keep = [d == 0] + [(d == k) & np.isin(s, np.fromiter(kept[k], np.int64, len(kept[k]))) for k in range(1, near + 1)]
     rows = np.flatnonzero(np.any(keep, axis=0))
-    return Tree(depth, s[rows].astype(np.uint64), d[rows].astype(np.int64), a[rows].astype(np.int64), n[rows].astype(np.float64))
+    return Tree(depth, s[rows].astype(np.uint64), d[rows].astype(np.int64), a[rows].astype(np.int64), n[rows].astype(np.float64)), far
+
+
+def whole(tree: Tree, far: DataFrame) -> Tree:
+    """The tree with these longer contexts."""
+    got = far.toArrow()
+    parts = zip((tree.context, tree.length, tree.symbol, tree.count), "sdan", (np.uint64, np.int64, np.int64, np.float64), strict=True)
+    return Tree(tree.depth, *(np.concatenate([own, got.column(c).to_numpy().astype(kind)]) for own, c, kind in parts))
+
+
+def grow(docs: DataFrame, text_col: str = "text", **how) -> Tree:
+    """The tree of all rows in one piece."""
+    return whole(*retained(docs, text_col, **how))
+
+
+class Block:
+    """Sorted tables of contexts: log10 probabilities of (context, symbol), and what a symbol not seen there costs."""
+
+    def __init__(self, tree: Tree):
+        at = tree.length == 0
+        p = np.full(256, 0.5)
+        p[tree.symbol[at]] += tree.count[at]
+        p /= p.sum()
+        self.depth, self.base, self.levels = tree.depth, np.log10(p), []
+        known, of = np.arange(256, dtype=np.uint64), p
+        for k in range(1, tree.depth + 1):
+            at = tree.length == k
+            key = tree.context[at] << np.uint64(8) | tree.symbol[at].astype(np.uint64)
+            order = np.argsort(key)
+            key, count = key[order], tree.count[at][order]
+            context, back, kinds = np.unique(key >> np.uint64(8), return_inverse=True, return_counts=True)
+            both = np.bincount(back, count, len(context)) + kinds
+            shorter = np.searchsorted(known, key & np.uint64((1 << 8 * k) - 1))
+            p = (count + kinds[back] * of[shorter]) / both[back] if len(key) else np.zeros(0)
+            self.levels.append((key, np.log10(p).astype(np.float32), context, np.log10(kinds / both).astype(np.float32)))
+            known, of = key, p
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each code after the others."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(self.depth, 0, -1):
+            key, log, context, back = self.levels[k - 1]
+            if not len(key) or not len(left):
+                continue
+            x = codes[left] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+            hit = key[at] == x
+            out[left[hit]] += log[at[hit]]
+            left, x = left[~hit], x[~hit] >> np.uint64(8)
+            at = np.minimum(np.searchsorted(context, x), len(context) - 1)
+            out[left] += np.where(context[at] == x, back[at], 0)
+        out[left] += self.base[codes[left] & np.uint64(255)]
+        return out
+
+
+def blocks_of(tree: Tree, far: DataFrame, block_rows: int) -> Iterator[tuple[np.ndarray, Block]]:
+    """The tree in blocks of about ``block_rows`` rows besides its short contexts: endings of NEAR bytes, and the block for them."""
+    ends = F.col("s").bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
+    held = {r["e"]: r["k"] for r in far.groupBy(ends.alias("e")).agg(F.count("*").alias("k")).collect()}
+    parts: list[list[int]] = [[]]
+    size = 0
+    for e in sorted(held):
+        if size and size + held[e] > block_rows:
+            parts.append([])
+            size = 0
+        parts[-1].append(e)
+        size += held[e]
+    for i, part in enumerate(parts):
+        # The first block has all endings without longer contexts as well.
+        mine = np.ones(256**NEAR, bool) if i == 0 else np.zeros(256**NEAR, bool)
+        if i == 0:
+            mine[list(held)] = False
+        mine[part] = True
+        yield mine, Block(whole(tree, far.where(ends.between(part[0], part[-1])) if part else far))
+
+
+def block_score(blocks: list, texts: list[list[bytes]], depth: int) -> np.ndarray:
+    """log10 probability of each text, from broadcast blocks; of several, only one is in memory at a time."""
+    x, starts, stops = laid_out(texts, depth)
+    code = np.zeros(len(x) - depth, np.uint64)
+    for k in range(depth + 1):
+        code = (code << np.uint64(8)) | x[k : len(x) - depth + k]
+    codes, inverse = np.unique(code, return_inverse=True)
+    logs = np.zeros(len(codes))
+    for b in blocks:
+        mine, block = b.value if len(blocks) == 1 else b.load_from_path(b._path)
+        at = np.flatnonzero(mine[(codes >> np.uint64(8)) & np.uint64(256**NEAR - 1)])
+        logs[at] = block.logs(codes[at])
+    sums = np.concatenate([np.zeros(depth + 1), np.cumsum(logs[inverse])])
+    return sums[stops] - sums[starts]
 
 
 class Automaton:
@@ -244,7 +371,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return arrow_map(docs.select(F.col(text_col).alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 250_000, **how) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 250_000, dense: int = 20_000, block_rows: int = 4_000_000, **how) -> DataFrame:
     """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` says which rows are learned from.
@@ -262,14 +389,17 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
             break
     top = counts.where(F.col("c") >= floor).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    tree = grow(learned, "text", **how)
-    shared = docs.sparkSession.sparkContext.broadcast((known, tree))
+    tree, far = retained(learned, "text", **how)
+    send, depth = docs.sparkSession.sparkContext.broadcast, tree.depth
+    small = far.select("d", "s").distinct().count() <= dense
+    shared = send((known, whole(tree, far) if small else None))
+    blocks = [] if small else [send(x) for x in blocks_of(tree, far, block_rows)]
     norm = n + 0.1 * (v + 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sparse = shared.value
-        automaton = Automaton(sparse)
+        automaton = Automaton(sparse) if sparse else None
         logs = {w: math.log10((c + 0.1) / norm) for w, c in words.items()}
         for b in batches:
             texts, size = [], 0
@@ -279,7 +409,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
                 size += len(t)
                 if size < CHUNK and i + 1 < b.num_rows:
                     continue
-                scores = automaton.score(texts)
+                scores = automaton.score(texts) if automaton else block_score(blocks, texts, depth)
                 found, sums, rare = [], [], []
                 for ws in texts:
                     hit = [logs[w] for w in ws if w in logs]

@@ -198,6 +198,21 @@ def test_suffix_tree_is_a_distribution(docs_of):
     assert math.isclose(total, a.score([[b"abab", b"abba"]])[0], rel_tol=1e-4)
 
 
+def test_suffix_tree_grows_with_the_corpus(docs_of, spark):
+    # One context of 20 occurrences, in a corpus of more than 10 million positions.
+    docs = [(i, "abab abba baab " * 35_000) for i in range(20)] + [(20, "zqxyw " * 20)]
+    tree = suffix_lm.grow(docs_of(docs))
+    assert (1, ord("z")) in set(zip(tree.length.tolist(), tree.context.tolist(), strict=True))
+
+
+def test_suffix_tree_in_blocks_scores_like_the_automaton(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id < 100")
+    train = F.col("doc_id") % 3 != 0
+    a, b, c = ({r["doc_id"]: r["score"] for r in suffix_lm.score(docs, train, **how).collect()} for how in ({"dense": 10**9}, {"dense": 0}, {"dense": 0, "block_rows": 3000}))
+    assert a.keys() == b.keys() == c.keys()
+    assert all(math.isclose(a[i], b[i], rel_tol=1e-5) and math.isclose(b[i], c[i], rel_tol=1e-9) for i in a)
+
+
 def prob(tree, context, symbol):
     rows = (tree.length == len(context)) & (tree.context == int.from_bytes(context, "big"))
     n, k = tree.count[rows].sum(), rows.sum()
