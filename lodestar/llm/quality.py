@@ -14,6 +14,7 @@ null labels are not learned from.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +37,13 @@ def statistics(text: str) -> list[float]:
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n, w = max(1, len(raw)), max(1, len(words))
     lens = np.fromiter(map(len, words), np.int64, len(words))
-    kinds = len(set(words))
+    often = Counter(words)
+    kinds = len(often)
     pairs = len(set(zip(words, words[1:], strict=False)))
-    top = max(map(words.count, set(words[:: max(1, len(words) // 16)])), default=0) if words else 0
+    top = max(often.values(), default=0)
     return [
         np.log1p(len(raw)), np.log1p(len(words)), float(lens.mean()) if len(words) else 0.0, kinds / w, top / w,
-        sum(x[:1].isupper() for x in words[:: max(1, len(words) // 256)]) / max(1, len(words[:: max(1, len(words) // 256)])),
+        sum(k for x, k in often.items() if x[:1].isupper()) / w,
         h[UPPER].sum() / n, h[DIGIT].sum() / n, h[SPACE].sum() / n, h[128:].sum() / n, h[44] / n, (h[46] + h[63]) / n, h[124] / n, h[33] / n, h[SYMBOL].sum() / n,
         float((lens <= 3).sum()) / w, float((lens >= 12).sum()) / w, np.log1p(len(lines)), len(raw) / len(lines), 1 - len(set(lines)) / len(lines),
         sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines), 1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0,

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestar.llm import decontaminate, hnsw, jaccard, packing, pii, queries, repeats, secret_scan, suffix_lm
+from lodestar.llm import decontaminate, hnsw, jaccard, packing, pii, quality, queries, repeats, secret_scan, suffix_lm
 from lodestar.tables import table
 from pyspark.sql import functions as F
 
@@ -286,6 +286,16 @@ def test_hnsw_links_are_those_of_brute_force(spark):
     assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.98 * near.sum()
 
 
+def test_statistics_count_all_words():
+    # Every 16th of 1,600 words is one of its own; junk and capitals stand between them only.
+    words = [f"word{i}" if i % 16 == 0 else "Junk" if i % 2 else f"Other{i}" for i in range(1600)]
+    got = dict(zip(quality.STATISTICS, quality.statistics(" ".join(words)), strict=True))
+    assert got["top_share"] == 800 / 1600
+    words = ["Name" if i % 2 else f"word{i}" for i in range(1024)]
+    got = dict(zip(quality.STATISTICS, quality.statistics(" ".join(words)), strict=True))
+    assert got["upper_first"] == got["top_share"] == 0.5
+
+
 def test_quality_and_language_on_held_out_rows(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
     q = [r for r in queries.op6_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
