@@ -3,9 +3,9 @@
 Protected values are the e-mail addresses, IP addresses, card and phone numbers that
 the patterns find. A term (a word of at least ``least_letters`` letters) co-occurs with
 a value when it stands within ``reach`` words of it; equal surroundings, as in copies of
-a document, count once. Over the whole corpus, n(t, v) is the number of distinct
-surroundings of v that hold t, df(t) the number of documents that hold t, and df(v) the
-number that hold v. Then P(v | t) ~ n(t, v) / df(t), and the information that t discloses
+a document, count once. Over the whole corpus, n(t, v) is the number of documents where t
+stands near v, df(t) the number of documents that hold t, and df(v) the number that hold v,
+copies counted each in all three. Then P(v | t) ~ n(t, v) / df(t), and the information that t discloses
 about v is log2(P(v | t) / P(v)) bits. A term discloses v when it occurs in at least
 ``least`` distinct surroundings, P(v | t) reaches ``share`` and the information ``bits``.
 Such terms are marked wherever they occur: generalised to a placeholder, or removed when
@@ -15,7 +15,7 @@ Terms' counts are aggregated by Spark; the list of disclosing terms is broadcast
 to ``broadcast_terms`` of them, and joined to the documents' distinct words beyond that.
 
 Defined cases: null text is empty and has no spans; null ids keep their row; repeated rows
-are handled each, and count as separate documents only in df; very long texts are searched
+are handled each, and count as separate documents, but not as distinct surroundings; very long texts are searched
 whole in linear time.
 """
 
@@ -106,13 +106,23 @@ def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     read = docs.select(F.col(text_col).alias("text"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each value with its surroundings; ``fresh`` are the terms that weren't near it before in the same document."""
         for b in batches:
-            rows = [x for t in texts_of(b, "text") if (spans := base_spans(t)) for x in surroundings(t, spans, reach, least_letters)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["value", "around", "terms"])
-
-    seen = arrow_map(read, near, "value string, around string, terms array<string>")
-    seen = seen.groupBy("value", F.xxhash64("around").alias("around")).agg(F.first("terms").alias("terms"), F.count("*").alias("times"))
-    pairs = seen.select("value", "times", F.explode("terms").alias("term")).groupBy("term", "value").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= least)
+            rows = []
+            for t in texts_of(b, "text"):
+                held: dict[str, set[str]] = {}
+                for value, around, terms in surroundings(t, base_spans(t), reach, least_letters):
+                    known = held.setdefault(value, set())
+                    rows.append((value, around, terms, [w for w in terms if w not in known]))
+                    known.update(terms)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["value", "around", "terms", "fresh"])
+
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    seen = arrow_map(read, near, "value string, around string, terms array<string>, fresh array<string>")
+    seen = seen.groupBy("value", F.xxhash64("around").alias("around"), "fresh").agg(F.first("terms").alias("terms"), F.count("*").alias("times"))
+    each = seen.select("value", "around", "times", "fresh", F.explode("terms").alias("term")).withColumn("here", F.when(F.array_contains("fresh", F.col("term")), F.col("times")).otherwise(0))
+    each = each.groupBy("term", "value", "around").agg(F.sum("here").alias("here"), F.sum("times").alias("times"))
+    pairs = each.groupBy("term", "value").agg(F.count("*").alias("distinct"), F.sum("here").alias("n"), F.sum("times").alias("times")).where(F.col("distinct") >= least)
     pairs = pairs.persist()
     terms = pairs.select("term").distinct()
     some = terms.limit(broadcast_terms + 1).collect()

@@ -260,6 +260,13 @@ def test_copies_disclose_nothing(docs_of):
     assert {s["kind"] for r in out for s in r["spans"]} == {"email"}
 
 
+def test_copies_hide_no_terms(docs_of):
+    # Four distinct documents, each copied ten times: the term is beside the address in all of them.
+    docs = [f"start{j} word{j} zorblax mail a@example.com end{j}" for j in range(4) for _ in range(10)] + [f"plain text {i}" for i in range(2000)]
+    got = {r["term"]: r for r in pii.disclosing(docs_of(list(enumerate(docs)))).collect()}
+    assert (got["zorblax"]["n"], got["zorblax"]["df"], got["zorblax"]["p"]) == (40, 40, 1.0)
+
+
 def test_secrets(docs_of):
     rng = random.Random(8)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
