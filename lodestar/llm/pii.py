@@ -106,28 +106,30 @@ def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     read = docs.select(F.col(text_col).alias("text"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each value with its surroundings; ``fresh`` are the terms that weren't near it before in the same document."""
+        """Each value with its surroundings; ``fresh`` are the terms that weren't near it before in the same document, ``first`` is 1 on its first place there."""
         for b in batches:
             rows = []
             for t in texts_of(b, "text"):
                 held: dict[str, set[str]] = {}
                 for value, around, terms in surroundings(t, base_spans(t), reach, least_letters):
+                    first = int(value not in held)
                     known = held.setdefault(value, set())
-                    rows.append((value, around, terms, [w for w in terms if w not in known]))
+                    rows.append((value, around, terms, [w for w in terms if w not in known], first))
                     known.update(terms)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["value", "around", "terms", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["value", "around", "terms", "fresh", "first"])
 
-    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-    seen = arrow_map(read, near, "value string, around string, terms array<string>, fresh array<string>")
-    seen = seen.groupBy("value", F.xxhash64("around").alias("around"), "fresh").agg(F.first("terms").alias("terms"), F.count("*").alias("times"))
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
+    seen = arrow_map(read, near, "value string, around string, terms array<string>, fresh array<string>, first long")
+    seen = seen.groupBy("value", F.xxhash64("around").alias("around"), "fresh").agg(F.first("terms").alias("terms"), F.count("*").alias("times"), F.sum("first").alias("first")).persist()
     each = seen.select("value", "around", "times", "fresh", F.explode("terms").alias("term")).withColumn("here", F.when(F.array_contains("fresh", F.col("term")), F.col("times")).otherwise(0))
-    each = each.groupBy("term", "value", "around").agg(F.sum("here").alias("here"), F.sum("times").alias("times"))
-    pairs = each.groupBy("term", "value").agg(F.count("*").alias("distinct"), F.sum("here").alias("n"), F.sum("times").alias("times")).where(F.col("distinct") >= least)
+    each = each.groupBy("term", "value", "around").agg(F.sum("here").alias("here"))
+    pairs = each.groupBy("term", "value").agg(F.count("*").alias("distinct"), F.sum("here").alias("n")).where(F.col("distinct") >= least)
     pairs = pairs.persist()
     terms = pairs.select("term").distinct()
     some = terms.limit(broadcast_terms + 1).collect()
     if not some:
         pairs.unpersist()
+        seen.unpersist()
         return docs.sparkSession.createDataFrame([], "term string, value string, n long, df long, p double, bits double, removed boolean")
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in some) if len(some) <= broadcast_terms else None)
 
@@ -148,7 +150,8 @@ def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     df = arrow_map(read, count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     total = docs.count()
     p = F.col("n") / F.col("df")
-    out = pairs.join(df, "term").withColumn("p", F.least(p, F.lit(1.0))).withColumn("bits", F.log2(F.col("p") * total / F.col("times")))
+    held = seen.groupBy("value").agg(F.sum("first").alias("held"))
+    out = pairs.join(df, "term").join(held, "value").withColumn("p", F.least(p, F.lit(1.0))).withColumn("bits", F.log2(F.col("p") * total / F.col("held")))
     return out.where((F.col("p") >= share) & (F.col("bits") >= bits)).select("term", "value", "n", "df", "p", "bits", (F.col("p") >= remove_share).alias("removed"))
 
 

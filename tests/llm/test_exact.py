@@ -267,6 +267,12 @@ def test_copies_hide_no_terms(docs_of):
     assert (got["zorblax"]["n"], got["zorblax"]["df"], got["zorblax"]["p"]) == (40, 40, 1.0)
 
 
+def test_common_values_are_not_disclosed(docs_of):
+    # A contact address in a third of all documents: a rare word beside it tells next to nothing.
+    docs = [f"text{i} and words{i}" + (" mail info@example.com" if i % 3 == 0 else "") for i in range(600)] + [f"lead{j} quorvex{' mail info@example.com' * (j < 3)} tail{j}" for j in range(5)]
+    assert "quorvex" not in {r["term"] for r in pii.disclosing(docs_of(list(enumerate(docs)))).collect()}
+
+
 def test_secrets(docs_of):
     rng = random.Random(8)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
