@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -28,12 +29,34 @@ def drawn(id_col: str, share: Column | float) -> Column:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, with the package on the executors, in batches that hold long texts too without much memory."""
+    """mapInArrow, with the package on the executors, in batches bounded by their bytes.
+
+    Where the session doesn't say how many bytes an Arrow batch may hold, it is set to
+    BATCH_BYTES: whole texts in batches of Spark's own size would take much memory. Workers
+    outlive their tasks, so what a task has freed is given back to the system as it ends.
+    """
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "2000")
-    return df.mapInArrow(f, schema)
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
 
 
 def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
@@ -41,17 +64,17 @@ def texts_of(batch: pa.RecordBatch, col: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
 
-#: Spark's setting of how many rows an Arrow batch may hold; its default is too many for whole documents.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's setting of how many bytes an Arrow batch may hold, and what it is here unless set.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Links that one task may hold at once.
 FOREST = 200_000
-#: Rows up to which a side of a join is broadcast.
-SENT_ROWS = 1_000_000
+#: Bytes up to which a side of a join is broadcast.
+SENT_BYTES = 128 << 20
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """A side of a join, with the hint to broadcast it if it has few rows; else left to be shuffled."""
-    return F.broadcast(df) if rows <= SENT_ROWS else df
+def few(df: DataFrame, rows: int, width: float = 128) -> DataFrame:
+    """A side of a join, with the hint to broadcast it if its rows, of ``width`` bytes on average, are few; else left to be shuffled."""
+    return F.broadcast(df) if rows * width <= SENT_BYTES else df
 
 
 def sweep(spark: SparkSession) -> None:

@@ -7,14 +7,16 @@ before any text is moved. For each remaining anchor, the suffixes that start the
 (a suffix array, restricted to the anchor); a stack scan over their common prefixes yields
 the interval tree. Within an interval, members are ordered by what stands to their left: a
 run of members whose common left extension and the interval's prefix add up to ``length`` is a
-repeat, and it is maximal when its members' next bytes differ on either side. All occurrences
-of each are output, not pairs of neighbours.
+repeat, and it is maximal when its members' bytes on either side differ. ``groups`` gives all
+occurrences of each, not pairs of neighbours; ``removed`` takes from the same scan how far
+each suffix is covered.
 
 Equal texts form one class and are compared once. An anchor with more than ``hot`` occurrences
 isn't gathered in one task: the windows around it are hashed one by one, and counted by hash
 (two 64-bit hashes), which spreads over all tasks and gives the same cover.
 
-Defined cases: a null or empty text has no bytes and nothing removed; texts shorter than
+Defined cases: an empty table gives no rows; columns beside the id and the text are ignored,
+whatever their names; ties among anchors' hashes go to the first place; a null or empty text has no bytes and nothing removed; texts shorter than
 ``length`` are kept whole; a text that occurs twice, in two rows of any ids, is removed whole
 if it has ``length`` bytes; null ids keep their row; very long and monotonous texts too are
 searched whole.
@@ -22,7 +24,6 @@ searched whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,11 +228,12 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", F.xxhash64("raw").alias("c1"), F.xxhash64("raw", F.lit(1)).alias("c2"))
 
 
-def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, bool]:
+def surroundings(rows: DataFrame, length: int, hot: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool]:
     """(h, hot, c1, c2, place, left, right): each shared anchor of each text with its bytes on either side.
 
     Left bytes are reversed. Copies of a text may give the same row more than once. Also
     (c1, c2, start, stop), what texts cover by themselves, and whether any anchor is hot.
+    Without ``thin`` a text's places with equal surroundings are all given.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,20 +245,21 @@ def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, Dat
                     if len(seen) < 1_000_000:
                         seen.add(tuple(key))
                     place, h = anchors(raw, length)
-                    keep, cover = thinned(raw, place, h, length)
+                    keep, cover = thinned(raw, place, h, length) if thin else (np.ones(len(h), bool), [])
                     start, stop = (np.array([c[k] for c in cover], np.int64) for k in (0, 1))
                     out.append((np.concatenate([h[keep].view(np.int64), start * 31 + key[0] % 1009]), np.concatenate([place[keep], start]), np.concatenate([np.full(keep.sum(), -1), stop]), *key))
             n = [len(x[0]) for x in out]
             flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*flat, *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in (3, 4))], names=["h", "place", "stop", "c1", "c2"])
 
-    # Dealt by anchor once, for both the grouping and the join with it.
-    found = arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long").repartition("h")
+    # Written once, as the grouping and the join with it both read it; the grouping adds up before it shuffles, so a hot anchor is no hot task.
+    found = cut(arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long"))
     one = F.struct("c1", "c2", "place")
     shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n"), F.max("stop").alias("stop")).where("lo <> hi OR stop >= 0").select("h", (F.col("n") > hot).alias("hot"))
-    kept = found.join(shared.hint("shuffle_hash"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
+    kept = found.join(shared.hint("merge"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
     kept = cut(kept)
-    texts_to_go = rows.select("raw", "c1", "c2").join(few(kept, kept.count()), KEYS)
+    n, listed = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    texts_to_go = rows.select("raw", "c1", "c2").join(few(kept, n, 40 + 48 * listed / max(1, n)), KEYS)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -286,38 +289,60 @@ def surroundings(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, Dat
     return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, place long, left binary, right binary"), own, any_hot
 
 
+def maximal(left: np.ndarray, left_size: np.ndarray, lcp: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bytes from the anchor on, bytes before it, members) of each maximal repeat among suffixes in order.
+
+    An interval's members differ in their next byte or end there. Ordered by what stands to
+    their left, they form a tree of intervals again: in each of these the members differ in
+    the byte before, and it is a repeat of its own unless an inner interval of the suffixes
+    has all of its members.
+    """
+    for prefix, a, b in intervals(lcp.tolist()):
+        if prefix < length - left.shape[1]:
+            continue
+        members = a + np.lexsort(left[a : b + 1].T[::-1])
+        back = common(left[members], left_size[members])
+        # Members with nothing in common to their left are one interval too, if the prefix alone is long enough.
+        tree = [*intervals(back.tolist()), *([(0, 0, b - a)] if prefix >= length and not back.all() else [])]
+        for reach, i, j in tree:
+            some = members[i : j + 1]
+            if reach + prefix >= length and lcp[some.min() : some.max()].min() == prefix:
+                yield prefix, reach, np.sort(some)
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
     """Maximal repeats around each anchor with all their occurrences: (repeat, c1, c2, start, size).
 
     c1 and c2 name the text (see ``texts``); ``size`` is the repeat's number of bytes, as far as
-    it reaches within ``length`` bytes of the anchor. Hot anchors are left to ``covers``.
+    it reaches within ``length`` bytes of the anchor. A repeat's members differ in the byte
+    before it and in the byte after it, unless it reaches that far or ends with its text. Around
+    hot anchors, whose suffixes aren't gathered, each string of ``length`` bytes that occurs
+    twice is given with all its occurrences, without being extended.
     """
-    around, _, _ = surroundings(texts(docs, id_col, text_col), length, hot)
+    around, _, any_hot = surroundings(texts(docs, id_col, text_col), length, hot, thin=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             h, c1, c2, place = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "place"))
-            rows = []
-            for prefix, members, ext in scan(h, t.column("left").to_pylist(), t.column("right").to_pylist(), length):
-                reach = int(ext.min())
-                rows += [(f"{int(h[m]) % (1 << 64):016x}:{prefix}:{reach}:{members.min()}", int(c1[m]), int(c2[m]), int(place[m]) - reach, reach + prefix) for m in members]
+            r, r_size = matrix(t.column("right").to_pylist(), length)
+            f, f_size = matrix(t.column("left").to_pylist(), length - GRAM)
+            lcp, rows = common(r, r_size), []
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
+                for prefix, reach, members in maximal(f[a:b], f_size[a:b], lcp[a : b - 1], length):
+                    name = f"{int(h[a]) % (1 << 64):016x}:{prefix}:{reach}:{members[0]}"
+                    rows += [(name, int(c1[m]), int(c2[m]), int(place[m]) - reach, reach + prefix) for m in a + members]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(5)], names=["repeat", "c1", "c2", "start", "size"])
 
-    return arrow_map(by_anchor(around), run, "repeat string, c1 long, c2 long, start long, size long")
-
+    out = arrow_map(by_anchor(around), run, "repeat string, c1 long, c2 long, start long, size long")
+    if not any_hot:
+        return out
+    more = repeated_windows(around, length)
+    return out.unionByName(more.select(F.concat_ws(":", F.lit("w"), "w1", "w2").alias("repeat"), "c1", "c2", "start", F.lit(length).cast("long").alias("size")).distinct())
 
-def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
-    """(c1, c2, start, stop): bytes covered by strings of ``length`` bytes that occur elsewhere too."""
 
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
-            ll, rr = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-            for prefix, members, ext in scan(t.column("h").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length):
-                ll[members] = np.maximum(ll[members], ext)
-                rr[members] = np.maximum(rr[members], prefix)
-            at = np.flatnonzero(rr)
-            c1, c2, place = (t.column(c).to_numpy()[at] for c in ("c1", "c2", "place"))
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(place - ll[at]), pa.array(place + rr[at])], names=["c1", "c2", "start", "stop"])
+def repeated_windows(around: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, c1, c2, start): the strings of ``length`` bytes around hot anchors that occur at two places, with all of these."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -340,13 +365,29 @@ def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
                         h.append(mix((s[length:] - s[:n]) * inverse[k][:n]).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, c1)), pa.array(np.full(n, c2)), pa.array(place - len(left) + np.arange(n))], names=["w1", "w2", "c1", "c2", "start"])
 
-    out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long")
-    if not any_hot:
-        return out
     each = arrow_map(around.where("hot"), windows, "w1 long, w2 long, c1 long, c2 long, start long")
     one = F.struct("c1", "c2", "start")
     twice = each.groupBy("w1", "w2").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("w1", "w2")
-    more = each.join(twice, ["w1", "w2"], "left_semi").select("c1", "c2", "start", (F.col("start") + length).alias("stop"))
+    return each.join(twice, ["w1", "w2"], "left_semi")
+
+
+def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
+    """(c1, c2, start, stop): bytes covered by strings of ``length`` bytes that occur elsewhere too."""
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            ll, rr = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+            for prefix, members, ext in scan(t.column("h").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length):
+                ll[members] = np.maximum(ll[members], ext)
+                rr[members] = np.maximum(rr[members], prefix)
+            at = np.flatnonzero(rr)
+            c1, c2, place = (t.column(c).to_numpy()[at] for c in ("c1", "c2", "place"))
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(place - ll[at]), pa.array(place + rr[at])], names=["c1", "c2", "start", "stop"])
+
+    out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long")
+    if not any_hot:
+        return out
+    more = repeated_windows(around, length).select("c1", "c2", "start", (F.col("start") + length).alias("stop"))
     return out.unionByName(more)
 
 
@@ -357,7 +398,8 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans = covers(around, length, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = cut(spans.join(copies, KEYS, "full"))
-    every = rows.join(few(told, told.count()), KEYS, "left")
+    n, listed = told.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()
+    every = rows.join(few(told, n, 48 + 32 * listed / max(1, n)), KEYS, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,24 +422,3 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return arrow_map(every.select("doc_id", "raw", "spans", "copied"), run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
-
-
-def brute_force(texts: list[str | None], length: int = 400) -> list[tuple[int, int, int, str]]:
-    """For tests: (n_bytes, n_removed, n_spans, kept_sha256) of each text, from all strings of ``length`` bytes."""
-    raws = [(t or "").encode() for t in texts]
-    seen: dict[bytes, int] = {}
-    for r in raws:
-        for i in range(len(r) - length + 1):
-            seen[r[i : i + length]] = seen.get(r[i : i + length], 0) + 1
-    out = []
-    for r in raws:
-        gone = np.zeros(len(r) + 1, np.int64)
-        for i in range(len(r) - length + 1):
-            if seen[r[i : i + length]] > 1:
-                gone[i] += 1
-                gone[i + length] -= 1
-        gone = (np.cumsum(gone)[:-1] > 0) if len(r) else np.zeros(0, bool)
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        kept = np.frombuffer(r, np.uint8)[~gone].tobytes()
-        out.append((len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return out

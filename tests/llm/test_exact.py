@@ -78,6 +78,27 @@ def test_jaccard_boundaries(docs_of, monkeypatch, boundary):
     assert got == jaccard_brute(rows, 1, 85)
 
 
+def repeats_brute(texts: list[str | None], length: int = 400) -> list[tuple[int, int, int, str]]:
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text, from all strings of ``length`` bytes."""
+    raws = [(t or "").encode() for t in texts]
+    seen: dict[bytes, int] = {}
+    for r in raws:
+        for i in range(len(r) - length + 1):
+            seen[r[i : i + length]] = seen.get(r[i : i + length], 0) + 1
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 1, np.int64)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        gone = (np.cumsum(gone)[:-1] > 0) if len(r) else np.zeros(0, bool)
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        kept = np.frombuffer(r, np.uint8)[~gone].tobytes()
+        out.append((len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 @pytest.mark.parametrize("hot", [100_000, 2])
 def test_repeats(docs_of, hot):
     rng = random.Random(hot)
@@ -87,7 +108,7 @@ def test_repeats(docs_of, hot):
     rows = list(enumerate(docs))
     out = repeats.removed(docs_of(rows), hot=hot).collect()
     got = {r["doc_id"]: (r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out}
-    assert got == dict(zip(range(len(docs)), repeats.brute_force(docs), strict=True))
+    assert got == dict(zip(range(len(docs)), repeats_brute(docs), strict=True))
 
 
 def test_repeat_groups_list_all_occurrences(docs_of):
@@ -102,6 +123,49 @@ def test_repeat_groups_list_all_occurrences(docs_of):
     assert all(size >= 400 for v in by.values() for _, _, size in v)
 
 
+def test_maximal_repeats_are_those_of_brute_force(docs_of):
+    """Around each anchor: every string that occurs twice and can't be extended to either side without losing an occurrence."""
+    rng = random.Random(15)
+    core = texts(rng, 2, 300, 60, 60)
+    docs = [f"{a} {c[:cut]} {b}" for c in core for cut in (300, 260) for a, b in [("lorem ipsum " * 3, "dolor"), ("lorem ipsum " * 3, "amet sit"), ("other words", "dolor")]]
+    length = 100
+    got = {}
+    for r in repeats.groups(docs_of(list(enumerate(docs))), length=length).collect():
+        got.setdefault(r["repeat"], set()).add((r["c1"], r["start"], r["size"]))
+    names = {r["c1"]: r["doc_id"] for r in repeats.texts(docs_of(list(enumerate(docs))), "doc_id", "text").collect()}
+    found = {frozenset((names[c], at, size) for c, at, size in v) for v in got.values()}
+    want = set()
+    raws = [d.encode() for d in docs]
+    for raw in raws:
+        place, _ = repeats.anchors(raw, length)
+        for p in place.tolist():
+            spots = [(i, q) for i, x in enumerate(raws) for q in repeats.anchors(x, length)[0].tolist() if x[q : q + 32] == raw[p : p + 32]]
+            around = {(i, q): (raws[i][max(0, q - length + 32) : q][::-1], raws[i][q : q + length]) for i, q in spots}
+
+            def agree(x, y):
+                return next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+
+            for one in spots:
+                for two in spots:
+                    if one < two:
+                        back, on = agree(around[one][0], around[two][0]), agree(around[one][1], around[two][1])
+                        if back + on >= length:
+                            all_of = [s for s in spots if agree(around[one][0], around[s][0]) >= back and agree(around[one][1], around[s][1]) >= on]
+                            want.add(frozenset((i, q - back, back + on) for i, q in all_of))
+    assert found == want and len(want) > 5
+
+
+def test_groups_of_hot_anchors_and_of_one_text(docs_of):
+    line = "the same line of text again and again, number none, "
+    docs = [(1, line * 12), (2, "x " + line * 9 + "y")]
+    cold = {}
+    for r in repeats.groups(docs_of(docs), length=120).collect():
+        cold.setdefault(r["repeat"], set()).add((r["c1"], r["start"]))
+    assert max(map(len, cold.values())) > 8
+    hot = repeats.groups(docs_of(docs), length=120, hot=1).collect()
+    assert hot and all(r["size"] == 120 for r in hot)
+
+
 def test_decontaminate(spark, docs_of):
     rng = random.Random(2)
     items = [(i, t) for i, t in enumerate(texts(rng, 8, 200, 20, 40))]
