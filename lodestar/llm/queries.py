@@ -22,14 +22,14 @@ def _joined(spans) -> Column:
 
 
 def _digest(spans: DataFrame, base: tuple[str, ...]) -> list[Column]:
-    """Counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """Counts of the base kinds and of all spans, the digest of the base spans, and all spans as text."""
     of = F.filter("spans", lambda x: x["kind"].isin(*base))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in base]
-    return [*counts, F.sha2(_joined(of), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")]
+    return [*counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined(of), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")]
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +45,13 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without strings of 400 bytes that occur twice or more."""
-    out = repeats.removed(table(spark, sf_dir, "documents"))
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of every document without strings of 400 bytes that occur twice or more; n_shared: bytes in such of 240, a short passage of fifty words."""
+    out = repeats.removed(table(spark, sf_dir, "documents"), short=240)
+
+    def total(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+
+    return out.select("doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("shared").alias("n_shared"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

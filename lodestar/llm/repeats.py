@@ -24,7 +24,7 @@ searched whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +97,8 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return found, h[found]
 
 
-def thinned(raw: bytes, place: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of a text's anchors those to compare with others, and what the rest cover.
+def thinned(raw: bytes, place: np.ndarray, h: np.ndarray, length: int, short: int) -> tuple[np.ndarray, list[tuple[int, int, bool]]]:
+    """Of a text's anchors those to compare with others, and what the rest cover, by strings of ``length`` bytes and of ``short`` (True).
 
     Places with equal surroundings (as inside a run of one repeated line) cover these wholly,
     and are alike to any other text: the first one stands for all.
@@ -116,15 +116,24 @@ def thinned(raw: bytes, place: np.ndarray, h: np.ndarray, length: int) -> tuple[
         else:
             seen[around] = [p]
             keep[i] = True
-    cover: list[tuple[int, int]] = []
-    for a, b in sorted((p - len(left), p + len(right)) for (_, left, right), places in seen.items() if len(places) > 1 and len(left) + len(right) >= length for p in places):
-        if cover and a <= cover[-1][1]:
-            cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
-        else:
-            cover.append((a, b))
+    cover: list[tuple[int, int, bool]] = []
+    for least in {length, short}:
+        runs = merged((p - len(left), p + len(right)) for (_, left, right), places in seen.items() if len(places) > 1 and len(left) + len(right) >= least for p in places)
+        cover += [(a, b, least < length) for a, b in runs]
     return keep, cover
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The spans' union as runs, in order."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
     """(common prefix, first, last) of all intervals; lcp[i] is between suffixes i and i + 1. Inner ones come first."""
     stack: list[tuple[int, int]] = []
@@ -164,8 +173,8 @@ def matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([v.ljust(width, b"\0") for v in values]), np.uint8).reshape(len(values), width), size
 
 
-def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """repeats_of for every group of rows with equal heads, rows being sorted by head, then right."""
+def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """repeats_of for every group of rows with equal heads, rows being sorted by head, then right; repeats of ``least`` bytes or more."""
     if len(heads) < 2:
         return
     r, r_size = matrix(right, length)
@@ -179,10 +188,10 @@ def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int)
         differ = both[:, 0] != both[:, 1]
         back = np.where(differ.any(axis=1), differ.argmax(axis=1), f.shape[1])
         back = np.minimum(back, np.minimum(f_size[pairs], f_size[pairs + 1]))
-        for p, k in zip(pairs[good := back + lcp[pairs] >= length], back[good], strict=True):
+        for p, k in zip(pairs[good := back + lcp[pairs] >= least], back[good], strict=True):
             yield int(lcp[p]), np.array([p, p + 1]), np.array([k, k])
     for a, b in zip(starts[stops - starts > 2], stops[stops - starts > 2], strict=True):
-        for prefix, members, ext in repeats_of(f[a:b], f_size[a:b], lcp[a : b - 1], length):
+        for prefix, members, ext in repeats_of(f[a:b], f_size[a:b], lcp[a : b - 1], least):
             yield prefix, a + members, ext
 
 
@@ -228,11 +237,12 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", F.xxhash64("raw").alias("c1"), F.xxhash64("raw", F.lit(1)).alias("c2"))
 
 
-def surroundings(rows: DataFrame, length: int, hot: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool]:
+def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool]:
     """(h, hot, c1, c2, place, left, right): each shared anchor of each text with its bytes on either side.
 
     Left bytes are reversed. Copies of a text may give the same row more than once. Also
-    (c1, c2, start, stop), what texts cover by themselves, and whether any anchor is hot.
+    (c1, c2, start, stop, short), what texts cover by themselves, and whether any anchor is hot.
+    Anchors are those of all strings of ``short`` bytes, among which are those of longer ones.
     Without ``thin`` a text's places with equal surroundings are all given.
     """
 
@@ -241,13 +251,13 @@ def surroundings(rows: DataFrame, length: int, hot: int, thin: bool = True) -> t
         for b in batches:
             out = []
             for raw, *key in zip(raw_of(b, 0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if len(raw) >= length and tuple(key) not in seen:
+                if len(raw) >= short and tuple(key) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(tuple(key))
-                    place, h = anchors(raw, length)
-                    keep, cover = thinned(raw, place, h, length) if thin else (np.ones(len(h), bool), [])
-                    start, stop = (np.array([c[k] for c in cover], np.int64) for k in (0, 1))
-                    out.append((np.concatenate([h[keep].view(np.int64), start * 31 + key[0] % 1009]), np.concatenate([place[keep], start]), np.concatenate([np.full(keep.sum(), -1), stop]), *key))
+                    place, h = anchors(raw, short)
+                    keep, cover = thinned(raw, place, h, length, short) if thin else (np.ones(len(h), bool), [])
+                    start, stop, less = (np.array([c[k] for c in cover], np.int64) for k in (0, 1, 2))
+                    out.append((np.concatenate([h[keep].view(np.int64), start * 31 + key[0] % 1009]), np.concatenate([place[keep], start]), np.concatenate([np.full(keep.sum(), -1), 2 * stop + less]), *key))
             n = [len(x[0]) for x in out]
             flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*flat, *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in (3, 4))], names=["h", "place", "stop", "c1", "c2"])
@@ -285,7 +295,7 @@ def surroundings(rows: DataFrame, length: int, hot: int, thin: bool = True) -> t
                 yield made()
 
     any_hot = not kept.where(F.exists("found", lambda x: x["hot"])).isEmpty()
-    own = kept.select("c1", "c2", F.explode("found").alias("f")).where("f.stop >= 0").select("c1", "c2", F.col("f.place").alias("start"), "f.stop")
+    own = kept.select("c1", "c2", F.explode("found").alias("f")).where("f.stop >= 0").select("c1", "c2", F.col("f.place").alias("start"), F.shiftright("f.stop", 1).alias("stop"), (F.col("f.stop") % 2 == 1).alias("short"))
     return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, place long, left binary, right binary"), own, any_hot
 
 
@@ -319,7 +329,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     hot anchors, whose suffixes aren't gathered, each string of ``length`` bytes that occurs
     twice is given with all its occurrences, without being extended.
     """
-    around, _, any_hot = surroundings(texts(docs, id_col, text_col), length, hot, thin=False)
+    around, _, any_hot = surroundings(texts(docs, id_col, text_col), length, hot, length, thin=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
@@ -337,16 +347,16 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     out = arrow_map(by_anchor(around), run, "repeat string, c1 long, c2 long, start long, size long")
     if not any_hot:
         return out
-    more = repeated_windows(around, length)
+    more = repeated_windows(around, length, length)
     return out.unionByName(more.select(F.concat_ws(":", F.lit("w"), "w1", "w2").alias("repeat"), "c1", "c2", "start", F.lit(length).cast("long").alias("size")).distinct())
 
 
-def repeated_windows(around: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, c1, c2, start): the strings of ``length`` bytes around hot anchors that occur at two places, with all of these."""
+def repeated_windows(around: DataFrame, length: int, reach: int) -> DataFrame:
+    """(w1, w2, c1, c2, start): the strings of ``length`` bytes within ``reach`` bytes of hot anchors that occur at two places, with all of these."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            width = 2 * length
+            width = 2 * reach
             power = [np.ones(width, np.uint64), np.ones(width, np.uint64)]
             inverse = [np.ones(width, np.uint64), np.ones(width, np.uint64)]
             for k in (0, 1):
@@ -371,54 +381,56 @@ def repeated_windows(around: DataFrame, length: int) -> DataFrame:
     return each.join(twice, ["w1", "w2"], "left_semi")
 
 
-def covers(around: DataFrame, length: int, any_hot: bool) -> DataFrame:
-    """(c1, c2, start, stop): bytes covered by strings of ``length`` bytes that occur elsewhere too."""
+def covers(around: DataFrame, length: int, short: int, any_hot: bool) -> DataFrame:
+    """(c1, c2, start, stop, short): bytes covered by strings of ``length`` bytes that occur elsewhere too, and by those of ``short`` (True)."""
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            ll, rr = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-            for prefix, members, ext in scan(t.column("h").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length):
-                ll[members] = np.maximum(ll[members], ext)
-                rr[members] = np.maximum(rr[members], prefix)
-            at = np.flatnonzero(rr)
+            back, on = np.zeros((2, len(t)), np.int64), np.zeros((2, len(t)), np.int64)
+            for prefix, members, ext in scan(t.column("h").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length, short):
+                for k, least in enumerate((length, short)):
+                    some = ext + prefix >= least
+                    back[k, members[some]] = np.maximum(back[k, members[some]], ext[some])
+                    on[k, members[some]] = np.maximum(on[k, members[some]], prefix)
+            k, at = np.nonzero(on[: 1 + (short < length)])
             c1, c2, place = (t.column(c).to_numpy()[at] for c in ("c1", "c2", "place"))
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(place - ll[at]), pa.array(place + rr[at])], names=["c1", "c2", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(place - back[k, at]), pa.array(place + on[k, at]), pa.array(k == 1)], names=["c1", "c2", "start", "stop", "short"])
 
-    out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long")
-    if not any_hot:
-        return out
-    more = repeated_windows(around, length).select("c1", "c2", "start", (F.col("start") + length).alias("stop"))
-    return out.unionByName(more)
+    out = arrow_map(by_anchor(around), cold, "c1 long, c2 long, start long, stop long, short boolean")
+    for least in {length, short} if any_hot else ():
+        more = repeated_windows(around, least, length)
+        out = out.unionByName(more.select("c1", "c2", "start", (F.col("start") + least).alias("stop"), F.lit(least < length).alias("short")))
+    return out
 
 
-def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 100_000) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, spans array<struct<start,stop>>, kept (the remaining bytes)."""
+def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, short: int | None = None, hot: int = 100_000) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, spans array<struct<start,stop>>, kept (the remaining bytes), shared.
+
+    ``shared`` is as spans, for strings of ``short`` bytes (default: as many as ``length``), which aren't removed.
+    """
+    short = min(short or length, length)
     rows = texts(docs, id_col, text_col)
-    around, own, any_hot = surroundings(rows, length, hot)
-    spans = covers(around, length, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    around, own, any_hot = surroundings(rows, length, hot, short)
+    spans = covers(around, length, short, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop", "short")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = cut(spans.join(copies, KEYS, "full"))
     n, listed = told.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()
-    every = rows.join(few(told, n, 48 + 32 * listed / max(1, n)), KEYS, "left")
+    every = rows.join(few(told, n, 48 + 40 * listed / max(1, n)), KEYS, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
-            size, found, kept = [], [], []
+            size, found, kept, shared = [], [], [], []
             for raw, listed, copied in zip(raw_of(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                at = sorted((x["start"], x["stop"]) for x in listed or ())
-                if copied and len(raw) >= length:
-                    at = [(0, len(raw))]
-                runs: list[list[int]] = []
-                for start, stop in at:
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], stop)
-                    else:
-                        runs.append([start, stop])
+                all_of = [(0, len(raw))] if copied else []
+                runs = all_of if copied and len(raw) >= length else merged((x["start"], x["stop"]) for x in listed or () if not x["short"])
+                wide = runs if short == length else all_of if copied and len(raw) >= short else merged((x["start"], x["stop"]) for x in listed or ())
                 size.append(len(raw))
                 found.append([{"start": s, "stop": e} for s, e in runs])
+                shared.append([{"start": s, "stop": e} for s, e in wide])
                 kept.append(b"".join(raw[s:e] for s, e in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary()), pa.array(shared, span)], names=["doc_id", "n_bytes", "spans", "kept", "shared"])
 
-    return arrow_map(every.select("doc_id", "raw", "spans", "copied"), run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    spans_type = "array<struct<start:bigint,stop:bigint>>"
+    return arrow_map(every.select("doc_id", "raw", "spans", "copied"), run, f"doc_id {kind}, n_bytes long, spans {spans_type}, kept binary, shared {spans_type}")

@@ -106,7 +106,9 @@ def test_repeats(docs_of, hot):
     docs = [f"{a} {p[rng.randint(0, 60):]} {b}" for p in passage for a, b in zip(texts(rng, 6, 400), texts(rng, 6, 400), strict=True)]
     docs += texts(rng, 10, 400) + [docs[0], docs[0] + "é", "ab" * 900, " " * 1500, "x" * 399, "y" * 400, "y" * 400, None, "", passage[0] * 2]
     rows = list(enumerate(docs))
-    out = repeats.removed(docs_of(rows), hot=hot).collect()
+    out = repeats.removed(docs_of(rows), hot=hot, short=240).collect()
+    shared = {r["doc_id"]: sum(s["stop"] - s["start"] for s in r["shared"]) for r in out}
+    assert shared == dict(zip(range(len(docs)), (n for _, n, _, _ in repeats_brute(docs, 240)), strict=True))
     got = {r["doc_id"]: (r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out}
     assert got == dict(zip(range(len(docs)), repeats_brute(docs), strict=True))
 
