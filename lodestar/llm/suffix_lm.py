@@ -14,9 +14,15 @@ contexts of more than two bytes are retained. A larger tree stays a table, and i
 blocks of about ``block_rows`` rows, of which a task holds one at a time.
 
 Beside it stands a unigram baseline over word tokens, exact for a vocabulary of any size:
-the ``frequent`` most frequent words are broadcast, all others are joined.
-
-Defined cases: null and blank texts are one closing token; with nothing to learn from,
+the ``frequent`` most frequent words are broadcast, all others are joined. The score mixes the
+two word by word: a word's probability is ``share`` of what the tree gives to its bytes in their
+contexts, and 1 - ``share`` of its smoothed share of all tokens, so that a word seen often costs
+little though its letters are unusual, and an unseen one is spelled.
+
+Defined cases: an empty table gives no rows; columns beside the id and the text are ignored;
+very long texts are scored in one piece, whole; words of equal counts are broadcast together or
+not at all; ``depth`` is from 1 to 6, as a context and its next byte must fit a long;
+null and blank texts are one closing token; with nothing to learn from,
 counts are 0, every byte is equally likely, and base_score is 0 tokens' worth of log10 of
 0.1 / 0.1; repeated rows are learned from and scored each; null ids are not held out.
 """
@@ -138,6 +144,8 @@ def diverging(rows: tuple[np.ndarray, np.ndarray, np.ndarray], up: tuple[np.ndar
 def retained(docs: DataFrame, text_col: str = "text", *, depth: int = 5, p_min: float = 0.0, least: int = 16, divergence: float = 12.0) -> tuple[Tree, DataFrame]:
     """Train on all rows: the tree's contexts up to NEAR bytes, and a table (d, s, a, n) of all longer ones.
 
+    ``least`` occurrences make a context a candidate, ``divergence`` nats retain it (both fixed, at any size).
+
     The first has 256 ** NEAR contexts at most; the table grows with the corpus and stays with the executors.
     """
     grams = cut(count_grams(docs, text_col, depth))
@@ -262,8 +270,8 @@ def blocks_of(tree: Tree, far: DataFrame, block_rows: int) -> Iterator[tuple[np.
         yield mine, Block(whole(tree, far.where(ends.between(part[0], part[-1])) if part else far))
 
 
-def block_score(blocks: list, texts: list[list[bytes]], depth: int) -> np.ndarray:
-    """log10 probability of each text, from broadcast blocks; of several, only one is in memory at a time."""
+def block_logs(blocks: list, texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As Automaton.logs, from broadcast blocks; of several, only one is in memory at a time."""
     x, starts, stops = laid_out(texts, depth)
     code = np.zeros(len(x) - depth, np.uint64)
     for k in range(depth + 1):
@@ -274,8 +282,25 @@ def block_score(blocks: list, texts: list[list[bytes]], depth: int) -> np.ndarra
         mine, block = b.value if len(blocks) == 1 else b.load_from_path(b._path)
         at = np.flatnonzero(mine[(codes >> np.uint64(8)) & np.uint64(256**NEAR - 1)])
         logs[at] = block.logs(codes[at])
-    sums = np.concatenate([np.zeros(depth + 1), np.cumsum(logs[inverse])])
-    return sums[stops] - sums[starts]
+    return np.concatenate([np.zeros(depth), logs[inverse]]), starts, stops
+
+
+def of_words(logs: np.ndarray, starts: np.ndarray, stops: np.ndarray, texts: list[list[bytes]]) -> list[np.ndarray]:
+    """For each text the sums of its words' bytes, each with its space, and of the closing line break."""
+    sums, out = np.concatenate([[0.0], np.cumsum(logs)]), []
+    for words, start, stop in zip(texts, starts.tolist(), stops.tolist(), strict=True):
+        ends = np.empty(len(words) + 2, np.int64)
+        ends[0], ends[-1] = start, stop
+        ends[1:-1] = start + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        out.append(np.diff(sums[ends]))
+    return out
+
+
+class Shares(dict):
+    """log10 of words' shares, NaN for others."""
+
+    def __missing__(self, word):
+        return math.nan
 
 
 class Automaton:
@@ -301,7 +326,7 @@ class Automaton:
         up = np.array([number[(m - 1, c & ((1 << 8 * (m - 1)) - 1))] if m else 0 for m, c in order])
         own = np.array([number[(m, c)] for m, c in zip(tree.length.tolist(), tree.context.tolist(), strict=True)], np.int64)
         total, kinds = np.bincount(own, tree.count, n), np.bincount(own, minlength=n)
-        p = np.zeros((n, a), np.float64 if n < 50_000 else np.float32)
+        p = np.zeros((n, a))
         symbols = self.symbol[tree.symbol] if len(tree.symbol) else np.zeros(0, np.int64)
         for d in range(int(depth.max()) + 1):
             at = np.flatnonzero(depth == d)
@@ -332,6 +357,12 @@ class Automaton:
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
+        logs, starts, stops = self.logs(texts)
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        return sums[stops] - sums[starts]
+
+    def logs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each byte of the texts laid out, and where each text begins and stops."""
         x, starts, stops = laid_out(texts, self.depth)
         segments = -(-len(x) // SEGMENT)
         padded = np.full(segments * SEGMENT + self.depth, END, np.uint8)
@@ -343,9 +374,7 @@ class Automaton:
             if k >= self.depth:
                 np.take(self.p, at, out=out[k - self.depth])
             state = self.go[at]
-        flat = out.T.ravel()[: len(x)].astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(flat)])
-        return sums[stops] - sums[starts]
+        return out.T.ravel()[: len(x)].astype(np.float64), starts, stops
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -371,11 +400,13 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return arrow_map(docs.select(F.col(text_col).alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 250_000, dense: int = 20_000, block_rows: int = 4_000_000, **how) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 250_000, dense: int = 20_000, block_rows: int = 4_000_000, share: float = 0.5, **how) -> DataFrame:
     """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` says which rows are learned from.
     """
+    if not 1 <= how.get("depth", 5) <= 6:
+        raise ValueError("depth is from 1 to 6")
     learned = docs.where(train).select(F.col(text_col).alias("text"))
     counts = cut(count_words(learned, "text"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -400,7 +431,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sparse = shared.value
         automaton = Automaton(sparse) if sparse else None
-        logs = {w: math.log10((c + 0.1) / norm) for w, c in words.items()}
+        shares = Shares((w, math.log10((c + 0.1) / norm)) for w, c in words.items())
         for b in batches:
             texts, size = [], 0
             ids, at = b.column(0), 0
@@ -409,34 +440,34 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
                 size += len(t)
                 if size < CHUNK and i + 1 < b.num_rows:
                     continue
-                scores = automaton.score(texts) if automaton else block_score(blocks, texts, depth)
-                found, sums, rare = [], [], []
-                for ws in texts:
-                    hit = [logs[w] for w in ws if w in logs]
-                    few: dict[bytes, int] = {}
-                    if len(hit) < len(ws):
-                        for w in ws:
-                            if w not in logs:
-                                few[w] = few.get(w, 0) + 1
-                    if b"" in logs:
-                        hit.append(logs[b""])
-                    else:
-                        few[b""] = 1
-                    found.append(len(hit))
-                    sums.append(math.fsum(hit))
-                    rare.append([{"word": w, "times": k} for w, k in few.items()])
+                logs = automaton.logs(texts) if automaton else block_logs(blocks, texts, depth)
+                found, sums, scores, rare = [], [], [], []
+                for ws, tree in zip(texts, of_words(*logs, texts), strict=True):
+                    base = np.fromiter(map(shares.__getitem__, [*ws, b""]), np.float64, len(ws) + 1)
+                    new = np.isnan(base)
+                    found.append(int(len(base) - new.sum()))
+                    sums.append(float(base[~new].sum()))
+                    scores.append(float(np.log10(share * 10 ** tree[~new] + (1 - share) * 10 ** base[~new]).sum()))
+                    few: dict[bytes, list[float]] = {}
+                    for k in np.flatnonzero(new).tolist():
+                        few.setdefault(ws[k] if k < len(ws) else b"", []).append(float(tree[k]))
+                    rare.append([{"word": w, "tree": x} for w, x in few.items()])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(texts)), pa.array([len(ws) + 1 for ws in texts], pa.int64()), pa.array(found, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
+                    [ids.slice(at, len(texts)), pa.array([len(ws) + 1 for ws in texts], pa.int64()), pa.array(found, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tree", pa.list_(pa.float64()))])))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
                 at, texts, size = i + 1, [], 0
 
-    rows = arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,times:bigint>>")
+    rows = arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,tree:array<double>>>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    c = F.coalesce("c", F.lit(0))
-    rest = rare.join(counts.where(F.col("c") < floor), "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 0.1) / norm)).alias("rest"))
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tree")
+    c, times = F.coalesce("c", F.lit(0)), F.size("tree")
+    own = (c + 0.1) / norm
+    mixed = F.aggregate("tree", F.lit(0.0), lambda s, x: s + F.log10(share * F.pow(F.lit(10.0), x) + (1 - share) * own))
+    rest = rare.join(counts.where(F.col("c") < floor), "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, times).otherwise(0)).alias("more"), F.sum(times * F.log10(own)).alias("rest"), F.sum(mixed).alias("mixed"))
     out = rows.drop("rare").join(rest, "row", "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score"
-    )
+
+    def both(a: str, b: str) -> Column:
+        return (F.col(a) + F.coalesce(b, F.lit(0.0))).alias(a)
+
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), both("base_score", "rest"), both("score", "mixed"))

@@ -279,6 +279,62 @@ def test_suffix_tree_in_blocks_scores_like_the_automaton(spark, sf):
     assert all(math.isclose(a[i], b[i], rel_tol=1e-5) and math.isclose(b[i], c[i], rel_tol=1e-9) for i in a)
 
 
+def test_score_mixes_tree_and_word_shares(docs_of, spark):
+    """Recomputed word by word, with the rare words broadcast and joined."""
+    docs = docs_of([(i, f"abab abba baab w{i % 7} u{i}") for i in range(40)])
+    train, how = F.col("doc_id") % 4 != 0, {"depth": 3, "least": 4, "divergence": 2.0}
+    tree = suffix_lm.grow(docs.where(train), **how)
+    rows = {r["doc_id"]: r["text"].encode().split() for r in docs.collect()}
+    c = Counter(w for i, ws in rows.items() if i % 4 for w in [*ws, b""])
+    n, v = sum(c.values()), len(c)
+    contexts = set(zip(tree.length.tolist(), tree.context.tolist(), strict=True))
+
+    def spelled(ws):
+        x = b"\n" * 3 + b"".join(w + b" " for w in ws) + b"\n"
+        at, out = 3, []
+        for size in [*(len(w) + 1 for w in ws), 1]:
+            total = 0.0
+            for i in range(at, at + size):
+                d = max(d for d in range(4) if (d, int.from_bytes(x[i - d : i], "big")) in contexts)
+                total += math.log10(prob(tree, x[i - d : i], x[i]))
+            out.append(total)
+            at += size
+        return out
+
+    for frequent in (1000, 2):
+        for r in suffix_lm.score(docs, train, frequent=frequent, **how).collect():
+            ws = rows[r["doc_id"]]
+            want = sum(math.log10(0.5 * 10**t + 0.5 * (c[w] + 0.1) / (n + 0.1 * (v + 1))) for w, t in zip([*ws, b""], spelled(ws), strict=True))
+            assert math.isclose(r["score"], want, rel_tol=1e-4)
+
+
+def test_suffix_tree_depth(docs_of):
+    docs = docs_of([(i, "abc abd " * 9) for i in range(4)])
+    assert suffix_lm.score(docs, F.lit(True), depth=6, least=2, divergence=0.5).count() == 4
+    with pytest.raises(ValueError, match="depth"):
+        suffix_lm.score(docs, F.lit(True), depth=7)
+
+
+def test_divergence_is_recomputed(docs_of):
+    """The contexts that stay are those that a plain count of divergences retains, with their suffixes."""
+    rng = random.Random(21)
+    docs = texts(rng, 30, 12, 10, 60)
+    tree = suffix_lm.grow(docs_of(list(enumerate(docs))), depth=3, least=5, divergence=4.0)
+    n = {}
+    for t in docs:
+        x = b"\n" * 3 + b"".join(w + b" " for w in t.encode().split()) + b"\n"
+        for i in range(3, len(x)):
+            for d in range(4):
+                n.setdefault((d, x[i - d : i]), Counter())[x[i]] += 1
+    kept = set()
+    for (d, c), follow in n.items():
+        total, up = sum(follow.values()), n.get((d - 1, c[1:]))
+        if d and total >= 5 and sum(k * math.log(k / total / (up[a] / sum(up.values()))) for a, k in follow.items()) > 4.0:
+            kept |= {(k, c[d - k :]) for k in range(1, d + 1)}
+    got = {(int(k), int(c).to_bytes(int(k), "big")) for k, c in zip(tree.length, tree.context, strict=True) if k}
+    assert got == kept
+
+
 def prob(tree, context, symbol):
     rows = (tree.length == len(context)) & (tree.context == int.from_bytes(context, "big"))
     n, k = tree.count[rows].sum(), rows.sum()
