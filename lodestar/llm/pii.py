@@ -6,8 +6,9 @@ a value when it stands within ``reach`` words of it; equal surroundings, as in c
 a document, count once. Over the whole corpus, n(t, v) is the number of documents where t
 stands near v, df(t) the number of documents that hold t, and df(v) the number that hold v,
 copies counted each in all three. Then P(v | t) ~ n(t, v) / df(t), and the information that t discloses
-about v is log2(P(v | t) / P(v)) bits. A term discloses v when it occurs in at least
-``least`` distinct surroundings, P(v | t) reaches ``share`` and the information ``bits``.
+about v is log2(P(v | t) / P(v)) bits, with P(v) = df(v) / N. A term discloses v when it occurs in at least
+``least`` distinct surroundings, P(v | t) reaches ``share`` and the information ``bits``: with
+one bit, the term makes the value at least twice as likely.
 Such terms are marked wherever they occur: generalised to a placeholder, or removed when
 P(v | t) reaches ``remove_share``.
 
@@ -16,7 +17,8 @@ to ``broadcast_terms`` of them, and joined to the documents' distinct words beyo
 
 Defined cases: null text is empty and has no spans; null ids keep their row; repeated rows
 are handled each, and count as separate documents, but not as distinct surroundings; very long texts are searched
-whole in linear time.
+whole in linear time; an empty table gives no rows; a term that discloses several values is removed if any of
+them asks for it; columns not kept are ignored, and kept ones may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.checkpoints import cut
 from lodestar.llm.common import arrow_map, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -90,18 +93,26 @@ def value_of(text: str, span: Span) -> str:
     return f"{KINDS[kind]}:{raw.lower() if kind < 2 else re.sub('[^0-9]', '', raw)}"
 
 
+def nearest(text: str, end: int, most: int, back: bool) -> list[str]:
+    """The ``most`` words before a place (back), or after it, however long they are."""
+    size = 16 * most
+    while True:
+        part = text[max(0, end - size) : end] if back else text[end : end + size]
+        words = WORD.findall(part.lower())
+        # A word at the far edge may be cut: it isn't among the nearest, or the text ends there.
+        if len(words) > most or len(part) < size:
+            return (words[-most:] if back else words[:most]) if most else []
+        size *= 4
+
+
 def surroundings(text: str, spans: list[Span], reach: int, least_letters: int) -> Iterator[tuple[str, str, list[str]]]:
     """For each span its value, the words around it as one string, and those that may be terms."""
     for span in spans:
-        start, _, end = span
-        # A word is cut at most at the far end of the window of characters, which then isn't among the nearest.
-        before = WORD.findall(text[max(0, start - 40 * reach) : start].lower())[-reach:]
-        after = WORD.findall(text[end : end + 40 * reach].lower())[:reach]
-        words = before + after
+        words = nearest(text, span[0], reach, True) + nearest(text, span[2], reach, False)
         yield value_of(text, span), " ".join(words), sorted({w for w in words if len(w) >= least_letters and w.isalpha()})
 
 
-def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, least_letters: int = 4, least: int = 3, share: float = 0.5, bits: float = 4.0, remove_share: float = 0.9, broadcast_terms: int = 100_000) -> DataFrame:
+def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, least_letters: int = 4, least: int = 3, share: float = 0.5, bits: float = 1.0, remove_share: float = 0.9, broadcast_terms: int = 100_000) -> DataFrame:
     """Terms that give a value away: (term, value, n, df, p, bits, removed)."""
     read = docs.select(F.col(text_col).alias("text"))
 
@@ -120,16 +131,15 @@ def disclosing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
     seen = arrow_map(read, near, "value string, around string, terms array<string>, fresh array<string>, first long")
-    seen = seen.groupBy("value", F.xxhash64("around").alias("around"), "fresh").agg(F.first("terms").alias("terms"), F.count("*").alias("times"), F.sum("first").alias("first")).persist()
+    seen = seen.groupBy("value", F.xxhash64("around").alias("around"), "fresh").agg(F.first("terms").alias("terms"), F.count("*").alias("times"), F.sum("first").alias("first"))
+    seen = cut(seen)
     each = seen.select("value", "around", "times", "fresh", F.explode("terms").alias("term")).withColumn("here", F.when(F.array_contains("fresh", F.col("term")), F.col("times")).otherwise(0))
     each = each.groupBy("term", "value", "around").agg(F.sum("here").alias("here"))
     pairs = each.groupBy("term", "value").agg(F.count("*").alias("distinct"), F.sum("here").alias("n")).where(F.col("distinct") >= least)
-    pairs = pairs.persist()
+    pairs = cut(pairs)
     terms = pairs.select("term").distinct()
     some = terms.limit(broadcast_terms + 1).collect()
     if not some:
-        pairs.unpersist()
-        seen.unpersist()
         return docs.sparkSession.createDataFrame([], "term string, value string, n long, df long, p double, bits double, removed boolean")
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in some) if len(some) <= broadcast_terms else None)
 
@@ -162,7 +172,8 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
     Overlapping spans are replaced together, under the first one's name.
     """
     keep = keep if keep is not None else [id_col]
-    told = disclosing(docs, id_col=id_col, text_col=text_col, broadcast_terms=broadcast_terms, **how).groupBy("term").agg(F.max("removed").alias("removed")).persist()
+    told = disclosing(docs, id_col=id_col, text_col=text_col, broadcast_terms=broadcast_terms, **how).groupBy("term").agg(F.max("removed").alias("removed"))
+    told = cut(told)
     some = told.limit(broadcast_terms + 1).collect()
     few = len(some) <= broadcast_terms
     shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["removed"] for r in some} if few else None)
@@ -171,10 +182,16 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
         read = read.withColumn("_terms", F.lit(None).cast("map<string,boolean>"))
     else:
         # Too many terms to send: each text gets its own, by a join on its distinct words.
-        key = F.xxhash64("_text")
-        words = read.select(key.alias("_key"), "_text").distinct().select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("term"))
-        own = words.join(told, "term").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_terms"))
-        read = read.withColumn("_key", key).join(own, "_key", "left").drop("_key")
+        keys = [F.xxhash64("_text").alias("_k1"), F.xxhash64("_text", F.lit(1)).alias("_k2")]
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = [sorted(set(WORD.findall(t.lower()))) for t in texts_of(b, "_text")]
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(words, pa.list_(pa.string()))], names=["_k1", "_k2", "words"])
+
+        words = arrow_map(read.select("_text", *keys), distinct, "_k1 long, _k2 long, words array<string>").select("_k1", "_k2", F.explode("words").alias("term")).distinct()
+        own = words.join(told, "term").groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_terms"))
+        read = read.select("*", *keys).join(own, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = shared.value

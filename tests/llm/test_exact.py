@@ -376,6 +376,45 @@ def test_disclosing_terms(docs_of):
     assert joined == {i: r["sanitised"] for i, r in out.items()}
 
 
+def test_disclosing_terms_are_those_of_a_plain_count(docs_of):
+    """n, df, P(v | t), bits and the choice of terms, recounted; words are long, so that windows of characters would miss some."""
+    rng = random.Random(16)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice((3, 5, 60)))) for _ in range(25)]
+    values = ["one@example.com", "two@example.com", "10.1.2.3"]
+    terms = [["quorvex", "blandip"], ["zanzibar" * 9, "mirbel"], ["ostrander", "quorvex"]]
+    docs = []
+    for _ in range(120):
+        words = [rng.choice(pool) for _ in range(rng.randint(3, 30))]
+        for _ in range(rng.randint(0, 2)):
+            v = rng.randrange(3)
+            at = rng.randint(0, len(words))
+            words[at:at] = [values[v], rng.choice(terms[v])]
+        if rng.random() < 0.1:
+            words.append(rng.choice(terms[0]))
+        docs.append(" ".join(words))
+    docs += docs[:10] * 3
+    n, df, df_value, around = Counter(), Counter(), Counter(), {}
+    for t in docs:
+        places = [(m.start(), m.end(), v) for v in values for m in re.finditer(re.escape(v), t)]
+        near = set()
+        for a, b, v in places:
+            ws = re.findall(r"[^\W_]+", t[:a].lower())[-12:] + re.findall(r"[^\W_]+", t[b:].lower())[:12]
+            for w in {w for w in ws if len(w) >= 4 and w.isalpha()}:
+                near.add((w, v))
+                around.setdefault((w, v), set()).add(" ".join(ws))
+        n.update(near)
+        df.update(set(re.findall(r"[^\W_]+", t.lower())))
+        df_value.update({v for _, _, v in places})
+    want = {}
+    for (w, v), k in n.items():
+        p = min(1.0, k / df[w])
+        bits = math.log2(k / df[w] * len(docs) / df_value[v])
+        if len(around[w, v]) >= 3 and p >= 0.5 and bits >= 1.0:
+            want[w, v] = (k, df[w], round(p, 9), round(bits, 9))
+    got = {(r["term"], r["value"].partition(":")[2]): (r["n"], r["df"], round(r["p"], 9), round(r["bits"], 9)) for r in pii.disclosing(docs_of(list(enumerate(docs)))).collect()}
+    assert got == want and want
+
+
 def test_copies_disclose_nothing(docs_of):
     t = "alpha bravo charlie delta someone@host.example echo foxtrot golf hotel"
     out = pii.spans(docs_of([(i, t) for i in range(30)])).collect()
