@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestar.llm import decontaminate, hnsw, jaccard, packing, pii, quality, queries, repeats, secret_scan, suffix_lm
+from lodestar.llm import decontaminate, hnsw, jaccard, langid, packing, pii, quality, queries, repeats, secret_scan, suffix_lm
 from lodestar.tables import table
 from pyspark.sql import functions as F
 
@@ -227,6 +227,32 @@ def test_packing_round_trip(docs_of, awkward):
     assert len(windows) * 4096 - full < 0.05 * full + 2 * 4096
 
 
+def test_cuts_are_the_best_ones():
+    """Against a table of all windows, with the last window closed and open."""
+    rng = random.Random(19)
+
+    def pad(n, size):
+        return 0 if n & (n - 1) == 0 else size - n
+
+    for _ in range(300):
+        size, price = rng.choice((16, 64, 100)), rng.choice((0.0, 5.0))
+        ends = np.cumsum([rng.randint(1, size) for _ in range(rng.randint(1, 40))])
+        costs = np.array([rng.choice((0.0, 1.0, 4.0)) for _ in ends])
+        places, fees = [0, *ends.tolist()], [0.0, *costs.tolist()]
+        best = [0.0] + [math.inf] * len(ends)
+        for j in range(1, len(places)):
+            best[j] = min(best[i] + pad(places[j] - places[i], size) + price for i in range(j) if places[j] - places[i] <= size) + fees[j]
+
+        def cost(taken):
+            return sum(pad(b - a, size) + fees[places.index(b)] + price for a, b in zip([0, *taken], taken, strict=False))
+
+        taken = packing.cuts(ends, costs, size, price=price)
+        assert taken[-1] == ends[-1] and all(0 < b - a <= size for a, b in zip([0, *taken], taken, strict=False))
+        assert math.isclose(cost(taken), best[-1])
+        taken = packing.cuts(ends, costs, size, False, price)
+        assert math.isclose(cost(taken), min(best[k] for k in range(len(places)) if places[-1] - places[k] <= size)) or not taken
+
+
 def test_suffix_tree(spark, sf):
     docs = table(spark, sf, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -447,6 +473,69 @@ def test_secrets(docs_of):
     assert all(out[i] == [] for i in out if i >= 100 or i == 5)
 
 
+def base_secrets(t):
+    o = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    o += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    o += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(o)
+
+
+def test_secret_patterns(docs_of):
+    """Base spans against plain patterns, also where a text has more matches than are placed at once."""
+    rng = random.Random(17)
+    parts = ["password", "Token", "api_key", "SECRET", '"', "'", " ", "=", ":", "abc123", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "é", "\U0001f600", ".", "-", "\n"]
+    docs = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["".join(rng.choice(parts) for _ in range(6000)) for _ in range(3)]
+    kinds = secret_scan.KINDS
+    for r in secret_scan.spans(docs_of(list(enumerate(docs)))).collect():
+        assert [(s["start"], kinds.index(s["kind"]), s["end"]) for s in r["spans"] if s["kind"] != "random"] == base_secrets(docs[r["doc_id"]])
+
+
+def test_secret_ratios_are_recomputed(docs_of):
+    import base64
+
+    docs = ["some words_of-ordinary text, some again", "more words: identifier_names/and-such x1", "Qx7Kp2Zt9Wm4Rv8Lb3Ny6 is longer than what is learned from", "", None]
+    got = secret_scan.ratios(docs_of(list(enumerate(docs))), samples=40)
+    a = secret_scan.ALPHABET
+    seen = Counter(w for t in docs for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,16}(?![A-Za-z0-9+/_=-])", t or ""))
+    samples = []
+    for i in range(40):
+        raw = hashlib.sha256(str(i).encode()).hexdigest()
+        b = base64.b64encode(bytes.fromhex(raw)).decode()
+        samples.append([b, raw, b.upper(), b.translate(str.maketrans("+/=", "Ab0"))][i % 4])
+
+    def pairs(tokens):
+        n = Counter()
+        for t, weight in tokens:
+            for x, y in zip(["", *t], t, strict=False):
+                n[x, y] += weight
+        return n
+
+    models = [pairs((t, 1.0) for t in samples), pairs((f"{w}_{w}-{w}/{w}", math.log2(k + 1)) for w, k in seen.items())]
+    models.append(Counter(secret_scan.known_words()))
+    p = []
+    for m in models:
+        single = Counter({y: 0.5 for y in a})
+        for (_, y), k in m.items():
+            single[y] += k
+        classes = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_=-"]
+        mean = {y: sum(single[z] for z in c) / len(c) for c in classes for y in c}
+        share = {y: (single[y] + mean[y]) / 2 / sum(single.values()) for y in a}
+        p.append([(m[x, y] + 4 * share[y]) / (sum(m[x, z] for z in a) + 4) for x in ["", *a] for y in a])
+    want = [math.log2(r / ((o + w) / 2)) for r, o, w in zip(*p, strict=True)]
+    assert np.allclose(got, want)
+    assert not any("Qx7" in w for w in seen)
+
+
+def test_short_secrets_need_the_more_evidence(docs_of):
+    rng = random.Random(18)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (17, 19, 30) for _ in range(10)]
+    docs = [(i, f"see {k} here") for i, k in enumerate(keys)] + [(100 + i, t) for i, t in enumerate(texts(rng, 30, 300))] + [(200, "internationalizations responsibilities-and-others")]
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.spans(docs_of(docs)).collect()}
+    assert sum(bool(out[i]) for i in range(30)) >= 28 and not any(out[i] for i in out if i >= 100)
+    assert sum(bool(r["spans"]) for r in secret_scan.spans(docs_of(docs), evidence=1000.0).collect()) == 0
+
+
 def test_hnsw_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 32))
@@ -470,6 +559,79 @@ def test_statistics_count_all_words():
     assert got["upper_first"] == got["top_share"] == 0.5
 
 
+def test_trees_walk_like_one_row_at_a_time():
+    rng = np.random.default_rng(20)
+    x, y = rng.normal(size=(400, 5)), None
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.1 * rng.normal(size=400) > 0.5).astype(float)
+    forest = quality.fit(x, y, rounds=30, depth=3)
+
+    def walk(row):
+        z = forest.base
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + 2 if row[feature[k]] > cut[k] else 2 * k + 1
+            z += leaf[k - len(feature)]
+        return 1 / (1 + math.exp(-z))
+
+    assert np.allclose(forest.score(x), [walk(r) for r in x]) and ((forest.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_first_split_is_the_best_one():
+    """A tree of one level against all splits of all statistics."""
+    rng = np.random.default_rng(22)
+    x = rng.integers(0, 12, size=(80, 3)).astype(float)
+    y = (x[:, 2] > 6).astype(float)
+    y[:6] = 1 - y[:6]
+    forest = quality.fit(x, y, rounds=1, depth=1)
+    g, h = np.full(80, (y.sum() + 1) / 82) - y, np.full(80, (y.sum() + 1) / 82 * (1 - (y.sum() + 1) / 82))
+    gain = {}
+    for f in range(3):
+        for c in np.unique(x[:, f]):
+            left = x[:, f] <= c
+            if h[left].sum() >= 4 and h[~left].sum() >= 4:
+                gain[f, c] = g[left].sum() ** 2 / (h[left].sum() + 2) + g[~left].sum() ** 2 / (h[~left].sum() + 2)
+    f, c = max(gain, key=gain.get)
+    assert forest.feature[0, 0] == f and ((x[:, f] <= forest.cut[0, 0]) == (x[:, f] <= c)).all()
+
+
+def test_languages_are_scored_like_a_plain_count(docs_of, spark):
+    """Words by their log frequency, unseen ones by the longest known n-grams, recomputed without batches or memos."""
+    rng = random.Random(23)
+    docs = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 12)))) for i, a in enumerate(["abcde", "defgh"] * 40)]
+    rows = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in docs], "doc_id long, text string, lang string")
+    model = langid.train(rows.where("doc_id < 40"), top_words=30, top_grams=40)
+    counts = {(lang, n): Counter() for lang in "xy" for n in (0, 5, 4, 3, 2, 1)}
+    for i, t in docs[:40]:
+        for w in t.split():
+            counts["xy"[i % 2], 0][w] += 1
+            for n in (5, 4, 3, 2, 1):
+                counts["xy"[i % 2], n].update(f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n))
+    kept = {k: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: 40 if k[1] else 30]) for k, c in counts.items()}
+
+    def log(n, g):
+        v = len(set(kept["x", n]) | set(kept["y", n])) + 1
+        return [math.log((kept[x, n].get(g, 0) + 0.5) / (sum(kept[x, n].values()) + 0.5 * v)) for x in "xy"]
+
+    def word(w):
+        if any(w in kept[x, 0] for x in "xy"):
+            return log(0, w)
+        for n in (5, 4, 3, 2, 1):
+            known = [g for k in range(len(w) + 3 - n) if any((g := f"^{w}$"[k : k + n]) in kept[x, n] for x in "xy")]
+            if known:
+                return [sum(log(n, g)[x] for g in known) / len(known) for x in (0, 1)]
+        return [0.0, 0.0]
+
+    for r in langid.predict(rows, model, ["doc_id"]).collect():
+        ws = docs[r["doc_id"]][1].split()
+        if not ws:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        z = [sum(word(w)[x] for w in ws) * min(len(ws), langid.EVIDENCE) / len(ws) for x in (0, 1)]
+        p = 1 / (1 + math.exp(min(700, abs(z[0] - z[1])) * -1))
+        assert r["lang_pred"] == ("x" if z[0] >= z[1] else "y") and math.isclose(r["score"], p, rel_tol=1e-6)
+
+
 def test_quality_and_language_on_held_out_rows(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
     q = [r for r in queries.op6_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
