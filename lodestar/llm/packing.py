@@ -3,7 +3,7 @@
 Documents are laid end to end, in the order in which they are read. Windows of at most
 ``size`` tokens are cut at document ends, sentence ends (after a full stop, exclamation
 or question mark before a space, or a line break) or, inside longer runs without
-either, every ``step`` tokens. The cuts minimise padding plus penalties for cutting
+either, every ``step`` tokens. The cuts minimise padding (none where a window's length is a power of two) plus penalties for cutting
 documents; a monotone queue of the reachable cuts gives each transition in constant
 amortised time. Each partition packs its own rows as a stream, in stretches of about
 ``stretch`` tokens whose last window is left open for the next stretch, so memory is
@@ -13,7 +13,9 @@ Words are tokenised once for each worker's bounded memo: the vocabulary's pre-to
 never joins text across a space.
 
 Defined cases: a null or empty text has only the closing id; empty tables give no rows;
-repeated rows are packed once each; null ids are carried on.
+repeated rows are packed once each, and so are rows that share an id; null ids are carried on; very long texts are cut like others, their
+windows chosen together; of cuts that cost the same the first found is taken; columns beside
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,21 +90,45 @@ def tokens(text: str, memo: Memo) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), ends
 
 
-def cuts(ends: np.ndarray, penalties: np.ndarray, size: int, last: bool = True) -> list[int]:
+def unpadded(ends: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]]:
+    """(later place, earlier place, tokens) of all cuts that stand a power of two below size apart, by later place."""
+    places = np.concatenate([[0], ends])
+    found = []
+    for k in range(size.bit_length()):
+        if 1 << k < size:
+            i = np.searchsorted(places, places - (1 << k))
+            j = np.flatnonzero(places[i] == places - (1 << k))
+            found.append(np.stack([j, i[j], np.full(len(j), 1 << k)]))
+    every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return tuple(every[:, np.argsort(every[0], kind="stable")].tolist())
+
+
+def cuts(ends: np.ndarray, penalties: np.ndarray, size: int, last: bool = True, price: float = 0.0) -> list[int]:
     """Which of the cuts (increasing, the last being the stretch's end) to take; gaps must be at most size.
 
-    Where more is to follow (not last), the final window stays open and its padding isn't counted.
+    A window of a power of two isn't padded, all others are up to size; with the penalties of
+    the cuts taken, and ``price`` for each window, this is least. Where more is to follow (not last), the final window stays
+    open and its padding isn't counted.
     """
     at, costs = [0, *ends.tolist()], [0.0, *penalties.tolist()]
     value, back, queue = [0.0] * len(at), [0] * len(at), deque([0])
+    later, earlier, tokens = unpadded(ends, size)
+    later.append(-1)
+    spot = 0
     for j in range(1, len(at)):
         low = at[j] - size
         while at[queue[0]] < low:
             queue.popleft()
         i = queue[0]
         back[j] = i
-        # value = cost so far + position: the padding of window (i, j] is size - (at[j] - at[i])
-        v = value[j] = value[i] + size + costs[j]
+        # value = cost so far + position: the padding of window (i, j] is size - (at[j] - at[i]), or none
+        v = value[i] + size
+        while later[spot] == j:
+            if value[earlier[spot]] + tokens[spot] < v:
+                back[j] = earlier[spot]
+                v = value[back[j]] + tokens[spot]
+            spot += 1
+        v = value[j] = v + costs[j] + price
         while queue and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
@@ -118,8 +144,8 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int, last: bool = True)
 class Packer:
     """A stream of documents to pieces of windows."""
 
-    def __init__(self, size: int, sentence: float, forced: float, step: int, first: int):
-        self.size, self.sentence, self.forced, self.step, self.next = size, sentence, forced, step, first
+    def __init__(self, size: int, sentence: float, forced: float, price: float, step: int, first: int):
+        self.size, self.sentence, self.forced, self.price, self.step, self.next = size, sentence, forced, price, step, first
         self.ids, self.docs, self.ends, self.costs, self.n = [], [], [], [], 0
 
     def add(self, doc: int, ids: bytes, ends: np.ndarray) -> None:
@@ -146,7 +172,7 @@ class Packer:
         if not self.n:
             return []
         ends, costs = np.concatenate(self.ends), np.concatenate(self.costs)
-        taken = cuts(ends, costs, self.size, last)
+        taken = cuts(ends, costs, self.size, last, self.price)
         out, d, used, ids = [], 0, 0, b"".join(self.ids)
         begin = 0
         for stop in taken:
@@ -170,17 +196,18 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, sentence: float = 1.0, forced: float = 4.0, step: int = 16, stretch: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, sentence: float = 1.0, forced: float = 4.0, price: float = 1024.0, step: int = 16, stretch: int = 400_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``sentence`` and ``forced`` are what a cut inside a document costs, in padded tokens.
+    ``sentence`` and ``forced`` are what a cut inside a document costs, in padded tokens, and
+    ``price`` what each sequence costs, so that short ones that need no padding don't multiply.
     A sequence's number holds its partition in the high bits.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = words(vocabulary)
-        packer = Packer(size, sentence, forced, step, TaskContext.get().partitionId() << 36)
+        packer = Packer(size, sentence, forced, price, step, TaskContext.get().partitionId() << 36)
         ids: list = []
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
