@@ -12,7 +12,10 @@ languages * (top_words + orders * top_grams) entries.
 
 Defined cases: null or letterless text is ``und`` with score 0; without a single
 labelled row every text is ``und``; rows with null language are not learned from;
-repeated rows are scored alike; other columns are ignored.
+repeated rows are scored alike; languages equally likely go to the first by name; words and
+n-grams of equal counts are kept in their order; very long texts are read whole, and their
+score rests on the mean over all words; an empty table gives no rows; columns that aren't
+kept are ignored, and kept ones may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql.window import Window
 
 from lodestar.llm.common import Memo, arrow_map, drawn, texts_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that \w takes and that are neither letters nor decimal digits, such as fractions and Roman numerals.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 #: Words that count as evidence at most: the score's logits are means scaled to so many words.
 EVIDENCE = 20
 

@@ -65,5 +65,6 @@ def test_hnsw_edges(spark):
 
 
 def test_undetermined_language(docs_of):
-    out = langid.predict(docs_of([(1, None), (2, "123 !!"), (3, "hello there")]), langid.train(docs_of([(9, "hello there world")])), ["doc_id"])
-    assert {r["doc_id"]: r["lang_pred"] for r in out.collect()} == {1: "und", 2: "und", 3: "en"}
+    docs = [(1, None), (2, "123 !!"), (3, "hello there"), (4, "½ ² Ⅷ ①"), (5, "hello½there")]
+    out = langid.predict(docs_of(docs), langid.train(docs_of([(9, "hello there world")])), ["doc_id"])
+    assert {r["doc_id"]: r["lang_pred"] for r in out.collect()} == {1: "und", 2: "und", 3: "en", 4: "und", 5: "en"}
