@@ -19,11 +19,17 @@ a few rounds every member is compared with one of the list, a different one each
 component are not compared again. What is left after the rounds, pairs of a list in
 different components, is compared in full, so the components are exact. Of long lists' pairs
 only those go on whose parities leave room for a link: the bits in which they differ are at
-most the elements that one set has alone. Hashes have 64 bits.
+most the elements that one set has alone.
+
+Elements are 64-bit hashes of shingles. Equality of sets is told by two hashes of 64 bits: the
+first names the class, and sets of one class that differ in the second (which takes some 10^9
+different sets to happen) get names of their own. Subsets are told apart by 64 and 52 bits.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; a null id
 keeps its row, links with nothing and has a null component; rows that share an id are one
-document; columns beside the id and the text are ignored.
+document; equal sets are one class and no ties arise between them, as components are named by
+their smallest id; very long texts are hashed whole, one at a time; an empty table gives no
+rows; columns beside the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
 from lodestar.llm.common import arrow_map, components, drawn, few, sweep, texts_of
-from lodestar.llm.shingles import mix, ranked_sets, set_key, shingle_sets
+from lodestar.llm.shingles import ODD, mix, ranked_sets, set_check, set_key, shingle_sets
 
 #: Bytes of text whose shingles are hashed at once; each takes some forty bytes meanwhile.
 CHUNK = 1 << 20
@@ -53,6 +59,12 @@ ROUNDS = 2
 FEW = 4
 #: Bits by which sets of a long list are told apart before they are compared.
 PARITY = 1024
+#: Keys before each of its own that a class brings to a long list, so that two classes seldom meet more than once.
+BEFORE = 16
+#: Sets that a task remembers having listed, to list copies once.
+REMEMBERED = 200_000
+#: Bits of a subset's second hash.
+SECOND = 52
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -80,7 +92,7 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
         light = sum(c * sum(comb(n, k) for k in subset_sizes(n, percent, x)) for n, c in sizes.items() if n <= 100 * x // percent)
         return light + sum(c * prefix(n, percent) * (1 + PROBE) for n, c in sizes.items() if n > x)
 
-    return min(range(LARGEST_LIGHT + 1), key=cost)
+    return min(range(min(LARGEST_LIGHT, 63 * percent // 100) + 1), key=cost)  # sizes up to 63 fit a packed row
 
 
 def chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -105,14 +117,27 @@ def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
                 at, size = i + 1, 0
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, class) for each row of (doc_id, text)."""
+def class_of(s: np.ndarray, shared: frozenset[int]) -> int:
+    """A set's class: its key, or where different sets have the same key (shared), that mixed with its check."""
+    key = set_key(s)
+    return int(mix(np.array([key, set_check(s)], np.int64).view(np.uint64)).view(np.int64).sum()) if key in shared else key
+
+
+def classes(docs: DataFrame, k: int, shared: frozenset[int] = frozenset()) -> DataFrame:
+    """(doc_id, n_shingles, class, check) for each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in chunks(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
+            values = [pa.array([f(s) if len(s) else None for s in sets], pa.int64()) for f in (lambda s: class_of(s, shared), set_check)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *values], names=["doc_id", "n_shingles", "class", "check"])
 
-    return arrow_map(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
+    return arrow_map(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, check long")
+
+
+def subsets(mixed: np.ndarray, gone: int) -> np.ndarray:
+    """Sums of all subsets of the elements that leave ``gone`` out."""
+    left = np.array(list(combinations(range(len(mixed)), gone)), np.int64)
+    return mixed.sum() - mixed[left].sum(axis=1, dtype=np.uint64)
 
 
 def rarity(docs: DataFrame, k: int, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,8 +173,11 @@ def rarity(docs: DataFrame, k: int, rows: int = SAMPLE) -> tuple[np.ndarray, np.
     return table, e[order], c[order]
 
 
-def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
-    """What classes list: (light, key, class, packed) with subsets (light) and elements, packed being n << 32 and the size or place."""
+def postings(docs: DataFrame, k: int, percent: int, boundary: int, same: frozenset[int]) -> DataFrame:
+    """What classes list: (light, key, class, packed) with subsets (light) and elements.
+
+    packed is n << 32 and the place of an element; or n << 58, a subset's size << 52 and its second hash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +188,17 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
             keys, owners, sizes, light, places = [], [], [], [], []
             for s, rank, _ in ranked_sets(part, k, table):
                 n = len(s)
-                if not n or (key := set_key(s)) in seen:
+                if not n or (key := class_of(s, same)) in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(key)
                 if n <= limit:
-                    mixed = mix(s)
+                    mixed, again = mix(s), mix(s ^ ODD[41])
                     with np.errstate(over="ignore"):
                         for size in subset_sizes(n, percent, boundary):
-                            subsets = np.array([mixed.sum() - sum(mixed[list(gone)], np.uint64(0)) for gone in combinations(range(n), n - size)], np.uint64)
-                            keys.append(mix(subsets + np.uint64(size)))
-                            places.append(np.full(len(subsets), size))
+                            keys.append(mix(subsets(mixed, n - size) + np.uint64(size)))
+                            second = mix(subsets(again, n - size)) >> np.uint64(64 - SECOND)
+                            places.append((second | np.uint64(size << SECOND)).astype(np.int64))
                     new = len(keys) - len(owners)
                     owners += [key] * new
                     sizes += [n] * new
@@ -189,7 +217,8 @@ def postings(docs: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             place = np.concatenate([np.zeros(0, np.int64), *places])
             # n and place share a long: fewer bytes to shuffle
-            packed = np.repeat(np.array(sizes, np.int64), each) << 32 | place
+            shift = np.where(np.array(light, bool), SECOND + 6, 32)
+            packed = np.repeat(np.array(sizes, np.int64) << shift, each) | place
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(light, bool), each)), pa.array(flat), pa.array(np.repeat(np.array(owners, np.int64), each)), pa.array(packed)], names=["light", "key", "class", "packed"])
 
     return arrow_map(docs.select("doc_id", "text"), run, "light boolean, key long, class long, packed long")
@@ -209,8 +238,8 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
         def pick(x: list[np.ndarray], last: bool) -> pa.RecordBatch:
             nonlocal held, before
-            light, key, cls, _ = x
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (light[1:] != light[:-1])])
+            light, key, cls, packed = x
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (light[1:] != light[:-1]) | light[1:] & (packed[1:] != packed[:-1])])
             light, key, _, _ = x = [v[new] for v in x]
             same = (key[1:] == key[:-1]) & (light[1:] == light[:-1])
             first = before is not None and before == (light[0], key[0])
@@ -231,7 +260,12 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
     ordered = rows.repartition("light", "key").sortWithinPartitions("light", "key", "class")
     out = arrow_map(ordered, run, "light boolean, key long, class long, packed long")
-    return out.select("light", "key", "class", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+
+    def bits(first: int, n: int):
+        return F.shiftright("packed", first).bitwiseAND(F.lit((1 << n) - 1))
+
+    n, place = (F.when(F.col("light"), of_light).otherwise(of_heavy) for of_light, of_heavy in ((bits(SECOND + 6, 6), bits(32, 31)), (bits(SECOND, 6), bits(0, 32))))
+    return out.select("light", "key", "class", n.alias("n"), place.alias("place"), F.when(F.col("light"), bits(0, SECOND)).alias("second"))
 
 
 def at_least(a: str, b: str, percent: int):
@@ -246,19 +280,19 @@ def fits(percent: int):
     return (100 * small >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) >= need)
 
 
-def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
+def links(docs: DataFrame, k: int, percent: int, sized: DataFrame, same: frozenset[int] = frozenset()) -> DataFrame:
     """Pairs (a, b) of classes, enough of them to connect every component of the linked classes. sized: (class, n, rep)."""
     histogram = {r["n"]: r["count"] for r in sized.where(F.col("n") <= 100 * LARGEST_LIGHT // percent + 1).groupBy("n").count().collect()}
     more = sized.where(F.col("n") > 100 * LARGEST_LIGHT // percent + 1).limit(1).count()
     boundary = choose_boundary(histogram, percent) if histogram or more else 0
-    every = cut(shared_lists(postings(docs, k, percent, boundary)))
+    every = cut(shared_lists(postings(docs, k, percent, boundary, same)))
     # Subsets: every class with one is linked with the first of each size; sizes matter, as o(a, b) depends on them.
     found = _light(every.where("light"), percent, boundary)
-    lists = every.where("not light").drop("light").withColumn("prev", F.lag("key").over(Window.partitionBy("class").orderBy("place")))
+    lists = every.where("not light").drop("light", "second").withColumn("prev", F.lag("key").over(Window.partitionBy("class").orderBy("place")))
     # The sets of listed classes; few against all, so their ids are sent to the scan where they are few enough.
     wanted = sized.join(lists.select("class").distinct(), "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
     wanted = cut(wanted)
-    sets = cut(_sets(docs.join(few(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi"), k))
+    sets = cut(_sets(docs.join(few(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi"), k, same))
     counts = lists.groupBy("key").agg(F.count("*").alias("members"))
     long = counts.where(F.col("members") > FEW).select("key")
     other = lists.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prev").alias("prev2"))
@@ -269,8 +303,8 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame) -> DataFrame:
     pairs = short.join(other, "key").where((F.col("class") < F.col("other")) & fits(percent) & unmet)
     pairs = cut(pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct())
     found = found.unionByName(cut(_compare(pairs, sets, percent)))
-    # Along with the long lists' keys before each of its own, so that two classes meet once, at their first one in common.
-    before = F.collect_list("key").over(Window.partitionBy("class").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    # Along with the last few long lists' keys before each of its own: two classes with one of these in common have met there.
+    before = F.collect_list("key").over(Window.partitionBy("class").orderBy("place").rowsBetween(-BEFORE, -1))
     lists = cut(lists.join(long, "key", "left_semi").withColumn("before", before).drop("prev").join(sets.groupBy("class").agg(F.first("parity").alias("parity")), "class"))
     # Elements in one set alone leave their bit of the parities different, unless two share it.
     apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
@@ -310,8 +344,8 @@ def _light(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
     linked with the first class of the other; for equal sizes with the first of the same.
     Sharing the subset is the whole condition, so these links connect all that the subset links.
     """
-    first = rows.groupBy("key", "n", "place").agg(F.min("class").alias("other")).withColumnRenamed("n", "m")
-    pairs = rows.join(first, ["key", "place"]).where((F.col("class") != F.col("other")) & (F.least("n", "m") <= boundary) & (F.col("place") >= at_least("n", "m", percent)))
+    first = rows.groupBy("key", "second", "n", "place").agg(F.min("class").alias("other")).withColumnRenamed("n", "m")
+    pairs = rows.join(first, ["key", "second", "place"]).where((F.col("class") != F.col("other")) & (F.least("n", "m") <= boundary) & (F.col("place") >= at_least("n", "m", percent)))
     return cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
 
 
@@ -321,12 +355,13 @@ def parity(s: np.ndarray) -> list[int]:
     return np.packbits(slots.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, k: int, same: frozenset[int]) -> DataFrame:
+    """(class, elements, parity) of the documents that stand for their classes; rows that share an id may repeat one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for _, sets in chunks(batches, k):
-            sets = [s for s in sets if len(s) and (key := set_key(s)) not in seen and not seen.add(key)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["class", "elements", "parity"])
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s, same) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["class", "elements", "parity"])
 
     return arrow_map(docs, run, "class long, elements binary, parity array<bigint>")
 
@@ -355,11 +390,19 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(classes(docs, k))
-    # Equal sets are one class; rows that share an id tie their classes together.
-    real = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-    sized = cut(real.groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("rep")))
-    found = links(docs.where(F.col("doc_id").isNotNull()), k, percent, sized)
+    same: frozenset[int] = frozenset()
+    while True:
+        rows = cut(classes(docs, k, same))
+        # Equal sets are one class; rows that share an id tie their classes together.
+        real = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
+        sized = cut(real.groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+        # Keys of different sets: none in any corpus of less than some 10^9 sets, a few in larger ones.
+        more = {r["class"] for r in sized.where("lo <> hi").select("class").collect()}
+        if not more:
+            break
+        same |= more
+    sized = sized.drop("lo", "hi")
+    found = links(docs.where(F.col("doc_id").isNotNull()), k, percent, sized, same)
     same = real.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
     tied = real.join(same.select("doc_id", "a"), "doc_id").where("a < class").select("a", F.col("class").alias("b"))
     label = components(found.unionByName(tied)).withColumnsRenamed({"id": "class"})

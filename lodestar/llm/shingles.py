@@ -87,3 +87,9 @@ def set_key(s: np.ndarray) -> int:
     """A signed 64-bit key of a set."""
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(s ^ ODD[40]).sum() + np.uint64(len(s))], np.uint64)).astype(np.int64)[0])
+
+
+def set_check(s: np.ndarray) -> int:
+    """A second key of a set, with nothing in common with set_key."""
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([mix(s ^ ODD[42]).sum() ^ np.uint64(len(s))], np.uint64)).astype(np.int64)[0])

@@ -99,6 +99,27 @@ def repeats_brute(texts: list[str | None], length: int = 400) -> list[tuple[int,
     return out
 
 
+def test_jaccard_tells_sets_of_one_key_apart(docs_of, spark, monkeypatch):
+    """Keys of 64 bits may be shared by different sets; here a third of all sets share one."""
+    real = jaccard.set_key
+    monkeypatch.setattr(jaccard, "set_key", lambda s: real(s) // 3 * 3 if len(s) % 3 else 12345)
+    sets = [np.unique(np.array([hash((i, j)) for j in range(n)], np.int64).view(np.uint64)) for i, n in enumerate((3, 3, 6, 9, 4, 5))]
+    assert len({jaccard.class_of(s, frozenset()) for s in sets}) < len({jaccard.class_of(s, frozenset({12345})) for s in sets}) == 6
+    assert jaccard.class_of(sets[0], frozenset({12345})) == jaccard.class_of(sets[0].copy(), frozenset({12345}))
+
+
+def test_subset_keys_have_two_hashes(docs_of, monkeypatch):
+    """With a first hash of subsets that tells nothing, the second one alone keeps other sets apart."""
+    rng = random.Random(24)
+    docs = [f"{a} {b} {c}" for a, b, c in zip(*(texts(rng, 40, 300, 1, 2) for _ in range(3)), strict=True)] * 2
+    rows = list(enumerate(docs))
+    found = jaccard.postings(docs_of(rows), 1, 80, 10, frozenset()).where("light").collect()
+    second = {(r["class"], r["packed"]) for r in found}
+    assert len({r["packed"] for r in found}) > 0.9 * len({r["key"] for r in found}) and len(second) == len({(r["class"], r["key"]) for r in found})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(rows), k=1, percent=80).collect()}
+    assert got == jaccard_brute(rows, 1, 80)
+
+
 @pytest.mark.parametrize("hot", [100_000, 2])
 def test_repeats(docs_of, hot):
     rng = random.Random(hot)
