@@ -101,29 +101,43 @@ class Memo(dict):
         return value
 
 
-def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) to as few that connect the same nodes: each node with the smallest one it reaches here."""
-    up: dict = {}
+class Forest:
+    """Links as few as connect the same nodes: each node with the smallest one it reaches."""
+
+    def __init__(self):
+        self.up: dict = {}
 
-    def top(x):
-        root = x
+    def __len__(self) -> int:
+        return len(self.up)
+
+    def top(self, x):
+        root, up = x, self.up
         while up[root] != root:
             root = up[root]
         while up[x] != root:
             up[x], x = root, up[x]
         return root
 
-    kinds = None
+    def add(self, u, v) -> None:
+        self.up.setdefault(u, u)
+        self.up.setdefault(v, v)
+        x, y = self.top(u), self.top(v)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+    def links(self) -> list[tuple]:
+        return [(r, x) for x in self.up if (r := self.top(x)) != x]
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to as few that connect the same nodes."""
+    held, kinds = Forest(), None
     for b in batches:
         kinds = [f.type for f in b.schema]
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            up.setdefault(u, u)
-            up.setdefault(v, v)
-            x, y = top(u), top(v)
-            if x != y:
-                up[max(x, y)] = min(x, y)
+            held.add(u, v)
     if kinds:
-        rows = [(r, x) for x in up if (r := top(x)) != x]
+        rows = held.links()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in (0, 1)], names=["u", "v"])
 
 

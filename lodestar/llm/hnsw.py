@@ -2,20 +2,31 @@
 
 Equal vectors form one class with one representative. Representatives are dealt to shards
 of at most about ``shard_rows`` (``shards`` at least); each shard's graph is built once and
-every representative queries every shard, in blocks. The base layer's beam starts at ``ef``
-and is doubled until a recall audit passes: for ``audit`` of the shard's vectors the links
-found must be ``recall`` of those found by brute force. A query whose beam is full of links
-is repeated with a wider one, up to the whole shard, so large groups are found whole. Every
-hit's cosine is verified in double precision, and links are united to components.
+every representative queries every shard: a shard's graph comes first in its task, and the
+queries stream past it. Graphs are copied only where there are fewer shards than cores.
+
+The base layer's beam starts at 24 and is doubled until a recall audit passes: of the links
+that brute force finds between a shard's vectors and audited ones, ``recall`` must be found
+by the graph, hits of a vector on itself left out. Audited are about ``audit`` vectors drawn from all
+shards, and as many of the shard's own, in up to 8 rounds, until ``audit_links`` links have been
+checked. A beam of half the shard or more is a comparison with all of it, so every audit ends.
+A query whose beam is full of links is repeated with a wider one, up to the whole shard, so
+large groups are found whole. Every hit's cosine is verified in double precision.
+
+Links are counted where they are found (``n_links`` is what a vector's own queries found, with
+copies), and only as many go on as tie the components together.
 
 Defined cases: null, empty and zero vectors, and vectors with null or non-finite components,
 link with nothing; vectors of different lengths don't link; equal vectors always do; a null
-id keeps its row with 0 links and a null component; repeated rows count as vectors of their own.
+id keeps its row with 0 links and a null component; repeated rows count as vectors of their own;
+a cosine of just ``least`` links; an empty table gives no rows; columns beside the id and the
+vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
-from lodestar.llm.common import components
+from lodestar.llm.common import FOREST, Forest, arrow_map, components, drawn
 from lodestar.shipping import ship
 
 #: Queries that walk a graph side by side, and nodes that each of them opens in a step.
 LOCKSTEP, OPEN = 256, 4
 #: Cosines in single precision within this of the threshold are verified in double.
 SLACK = 1e-4
+#: Bytes of a graph in one row; rounds of an audit.
+PART, AUDITS = 4 << 20, 8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,7 +77,8 @@ class Graph:
         sims[:, : entry.shape[1]] = np.where(entry >= 0, np.einsum("bd,bkd->bk", q, self.x[entry]), -np.inf)
         opened = ids < 0
         seen = np.zeros((b, len(self.x)), bool)
-        np.put_along_axis(seen, np.maximum(entry, 0).astype(np.int64), entry >= 0, 1)
+        r, c = np.nonzero(entry >= 0)
+        seen[r, entry[r, c]] = True
         rows = np.arange(b)
         while len(rows):
             s = np.where(opened[rows], -np.inf, sims[rows])
@@ -193,72 +207,140 @@ class Graph:
                 rows, entry, ef = rows[full], ids[full], 2 * ef
         return np.concatenate([np.zeros(0, np.int64), *out_q]), np.concatenate([np.zeros(0, np.int64), *out_n])
 
-    def audit(self, least: float, rows: int, recall: float, seed: int = 11) -> float:
-        """Widen the beam until the links found are enough of those that brute force finds."""
-        pick = np.random.default_rng(seed).permutation(len(self.x))[:rows]
-        truth = {(int(a), int(b)) for i in range(0, len(pick), 64) for a, b in zip(*np.nonzero(self.x[pick[i : i + 64]] @ self.x.T >= least), strict=True) for a in [a + i]}
+    def links(self, q: np.ndarray, own: np.ndarray, least: float) -> set[tuple[int, int]]:
+        """(query, node) pairs by brute force; own: which node each query is itself, or -1."""
+        out = set()
+        for i in range(0, len(q), 64):
+            a, b = np.nonzero(q[i : i + 64] @ self.x.T >= least)
+            out |= {(int(u) + i, int(v)) for u, v in zip(a, b, strict=True) if own[u + i] != v}
+        return out
+
+    def audit(self, least: float, others: np.ndarray, own: np.ndarray, rows: int, links: int, recall: float, seed: int = 11) -> float:
+        """Widen the beam until the links found are enough of those that brute force finds; the share found.
+
+        others: unit vectors of any shard, and which node each of them is here, or -1.
+        """
+        order = np.random.default_rng(seed).permutation(len(self.x))
+        q, own = others.astype(np.float32), own.astype(np.int64)
+        truth = self.links(q, own, least)
+        for i in range(0, min(len(order), AUDITS * rows), rows):
+            part = order[i : i + rows]
+            truth |= {(a + len(q), b) for a, b in self.links(self.x[part], part, least)}
+            q, own = np.concatenate([q, self.x[part]]), np.concatenate([own, part])
+            if len(truth) >= links:
+                break
         while True:
-            got = {(int(a), int(b)) for a, b in zip(*self.near(self.x[pick], least), strict=True)}
-            reached = len(truth & got) / max(1, len(truth))
-            if reached >= recall or 2 * self.ef >= len(self.x):
+            got = {(int(a), int(b)) for a, b in zip(*self.near(q, least), strict=True)}
+            reached = len(truth & got) / max(1, len(truth)) if truth else 1.0
+            if reached >= recall:
                 return reached
+            if 2 * self.ef >= len(self.x):
+                raise RuntimeError(f"recall {reached} of a whole comparison")  # it can't miss
             self.ef *= 2
 
 
 def valid(v):
     """Whether a vector can link: not null or empty, all components finite, not zero."""
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 100_000, block_rows: int = 20_000, audit: int = 1024, recall: float = 0.99) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 100_000, audit: int = 1024, audit_links: int = 500, recall: float = 0.99) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ship(spark)
     id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single precision moves as it is, and is widened where cosines are worked out.
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     ok = rows.where(valid(F.col("v")) & F.col("vec_id").isNotNull())
     reps = cut(ok.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n = reps.count()
-    parts, blocks = max(shards, -(-n // shard_rows)), max(2, -(-n // block_rows))
-    reps = reps.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int"))
+    parts = max(shards, -(-n // shard_rows))
+    copies = max(1, -(-2 * spark.sparkContext.defaultParallelism // parts))
+    reps = reps.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
+    audited = reps.where(drawn("rep", min(1.0, audit / max(1, n)))).select("rep", "v").collect()
+    shared = spark.sparkContext.broadcast([(r["rep"], np.array(r["v"], np.float64)) for r in audited])
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        column = t.column("v").combine_chunks()
-        return np.asarray(column.flatten(), np.float64).reshape(len(t), -1)
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
     def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        x = matrix(t)
+        t = t.sort_by("rep").combine_chunks()
+        ids, x = t.column("rep").to_pylist(), unit(matrix(t.column("v").chunk(0)))
         graph = Graph(x)
-        reached = graph.audit(least, audit, recall)
-        blob = pickle.dumps((graph, x, t.column("rep").to_pylist()), protocol=5)
-        return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "graph": pa.array([blob], pa.large_binary() if len(blob) > 1 << 30 else pa.binary()), "recall": [reached], "ef": pa.array([graph.ef], pa.int32())})
-
-    graphs = cut(reps.select("dim", "shard", "rep", "v").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, recall double, ef int"))
-    queries = reps.select("dim", "block", "rep", "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = graphs.select("dim", "shard", "graph").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(q: pa.Table, g: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(q) and len(g):
-            graph, x, ids = pickle.loads(g.column("graph")[0].as_py())
-            x, y, mine = unit(x), unit(matrix(q)), q.column("rep").to_pylist()
-            i, j = graph.near(y.astype(np.float32), least)
-            for s in range(0, len(i), 100_000):
-                good = np.einsum("id,id->i", y[i[s : s + 100_000]], x[j[s : s + 100_000]]) >= least
-                a += [mine[k] for k in i[s : s + 100_000][good]]
-                b += [ids[k] for k in j[s : s + 100_000][good]]
-        kind = q.schema.field("rep").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
-
-    keys = ["dim", "shard", "block"]
-    hits = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, f"a {id_type}, b {id_type}")
-    links = cut(hits.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = reps.select("rep", "copies")
-    others = both.join(size.withColumnsRenamed({"rep": "b"}), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    label = components(links).withColumnsRenamed({"id": "rep"})
+        place = {r: i for i, r in enumerate(ids)}
+        others = [(place.get(r, -1), v) for r, v in shared.value if len(v) == x.shape[1]]
+        y = unit(np.array([v for _, v in others]).reshape(len(others), x.shape[1])) if others else x[:0]
+        reached = graph.audit(least, y, np.array([i for i, _ in others], np.int64), audit, audit_links, recall)
+        blob = pickle.dumps((graph, x, ids, t.column("copies").to_numpy()), protocol=5)
+        pieces = [blob[i : i + PART] for i in range(0, len(blob), PART)]
+        same = {c: pa.chunked_array([pa.repeat(t.column(c)[0], len(pieces))]) for c in ("dim", "shard")}
+        return pa.table({**same, "seq": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary()), "recall": [reached] * len(pieces)})
+
+    graphs = cut(reps.select("dim", "shard", "rep", "v", "copies").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, seq int, piece binary, recall double"))
+    worst = graphs.agg(F.min("recall")).first()[0]
+    if worst is not None and worst < recall:
+        raise RuntimeError(f"a shard's audit ended at a recall of {worst}")
+
+    def spread(limit: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(limit - 1)))
+
+    def no(kind: str, name: str):
+        return F.lit(None).cast(kind).alias(name)
+
+    # Each (shard, copy) is one task's: its graph's pieces, and then its queries.
+    first = graphs.select("dim", "shard", spread(copies).alias("copy"), "seq", "piece", no(id_type, "rep"), no(f"array<{kind}>", "v"))
+    queries = reps.select("dim", spread(parts).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(copies)).cast("int").alias("copy"), F.lit(1 << 30).alias("seq"), no("binary", "piece"), "rep", "v")
+    dealt = first.unionByName(queries).repartitionById(parts * copies, F.col("shard") * copies + F.col("copy")).sortWithinPartitions("dim", "shard", "copy", "seq")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pieces, held, forest, rep_type = None, [], None, Forest(), None
+
+        def tied() -> pa.RecordBatch:
+            rows = forest.links()
+            forest.up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], rep_type), pa.array([r[1] for r in rows], rep_type), pa.nulls(len(rows), pa.int64())], names=["a", "b", "n"])
+
+        for b in batches:
+            rep_type = b.schema.field("rep").type
+            at = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
+            query = b.column(3).to_numpy() == 1 << 30
+            change = np.flatnonzero((at[1:] != at[:-1]).any(axis=1) | (query[1:] != query[:-1])) + 1
+            for i, j in zip([0, *change], [*change, len(at)], strict=True):
+                if i == j:
+                    continue
+                if key != tuple(at[i]):
+                    key, pieces, held = tuple(at[i]), [], None
+                if not query[i]:
+                    pieces += b.column(4).slice(i, j - i).to_pylist()
+                    continue
+                if not pieces and held is None:
+                    continue  # no shard of this length
+                if held is None:
+                    held = pickle.loads(b"".join(pieces))
+                    pieces = []
+                graph, x, ids, times = held
+                y, mine = unit(matrix(b.column(6).slice(i, j - i))), b.column(5).slice(i, j - i).to_pylist()
+                u, v = graph.near(y.astype(np.float32), least)
+                others = np.zeros(len(mine), np.int64)
+                for s in range(0, len(u), 100_000):
+                    p, q = u[s : s + 100_000], v[s : s + 100_000]
+                    good = np.einsum("id,id->i", y[p], x[q]) >= least
+                    for c, d in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                        if mine[c] != ids[d]:
+                            others[c] += times[d]
+                            forest.add(mine[c], ids[d])
+                hit = np.flatnonzero(others)
+                yield pa.RecordBatch.from_arrays([pa.array([mine[k] for k in hit], rep_type), pa.nulls(len(hit), rep_type), pa.array(others[hit])], names=["a", "b", "n"])
+                if len(forest) > FOREST:
+                    yield tied()
+        if rep_type is not None:
+            yield tied()
+
+    hits = cut(arrow_map(dealt, search, f"a {id_type}, b {id_type}, n long"))
+    others = hits.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    label = components(hits.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"id": "rep"})
     told = reps.join(others, "rep", "left").join(label, "rep", "left").select(F.col("v").alias("key"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.withColumn("key", F.when(valid(F.col("v")) & F.col("vec_id").isNotNull(), F.col("v"))).join(told, "key", "left")
     component = F.coalesce("component", "vec_id")

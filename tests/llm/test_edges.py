@@ -62,6 +62,9 @@ def test_hnsw_edges(spark):
     alone = {(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11)} | {(None, 0, None, False)}
     assert got == linked | alone and out.count() == len(rows)
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    names = "vec_id long, embedding array<double>, rep long, v int, dim int, shard string, copies int, key string, n_links int, component string"
+    more = spark.createDataFrame([(i, [1.0, 0.1 * (i % 2)], 1, 2, 3, "s", 4, "k", 5, "c") for i in range(4)], names)
+    assert {tuple(r) for r in hnsw.near_duplicates(more).collect()} == {(i, 3, 0, i == 0) for i in range(4)}
 
 
 def test_undetermined_language(docs_of):

@@ -570,6 +570,23 @@ def test_hnsw_links_are_those_of_brute_force(spark):
     assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.98 * near.sum()
 
 
+def test_hnsw_audit_leaves_out_hits_on_oneself():
+    """A graph without links between nodes finds each vector itself only: its recall is none until the beam is the whole shard."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(100, 16)), 2, axis=0) + 0.01 * rng.normal(size=(200, 16))
+    graph = hnsw.Graph(x)
+    u = hnsw.unit(x)
+    assert graph.audit(0.9, u[:20], np.arange(20), 64, 50, 0.99) >= 0.99
+    for lists in graph.lists:
+        lists[:] = -1
+    graph.ef = 4
+    graph.audit(0.9, u[:0], np.zeros(0, np.int64), 64, 50, 0.99)
+    assert 2 * graph.ef >= len(x)
+    # Vectors of other shards count as well.
+    graph.ef, graph.x = 4, graph.x.copy()
+    assert (graph.audit(0.9, u + 0.001, np.full(200, -1), 64, 50, 0.99) >= 0.99) and 2 * graph.ef >= len(x)
+
+
 def test_statistics_count_all_words():
     # Every 16th of 1,600 words is one of its own; junk and capitals stand between them only.
     words = [f"word{i}" if i % 16 == 0 else "Junk" if i % 2 else f"Other{i}" for i in range(1600)]
