@@ -28,12 +28,17 @@ def drawn(id_col: str, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(DRAW)) < share * DRAW
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What a worker keeps between tasks of one operator, by name; other operators' tasks let it go.
+KEPT: dict[str, dict] = {}
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
     """mapInArrow, with the package on the executors, in batches bounded by their bytes.
 
     Where the session doesn't say how many bytes an Arrow batch may hold, it is set to
     BATCH_BYTES: whole texts in batches of Spark's own size would take much memory. Workers
-    outlive their tasks, so what a task has freed is given back to the system as it ends.
+    outlive their tasks, so what a task has freed is given back to the system as it ends, and
+    of KEPT only what goes by the name ``keeps`` survives the start of one.
     """
     spark = df.sparkSession
     ship(spark)
@@ -41,6 +46,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         try:
             yield from f(batches)
         finally:
@@ -49,6 +55,11 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def let_go(keeps: str | None) -> None:
+    for name in [k for k in KEPT if k != keeps]:
+        del KEPT[name]
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system."""
     gc.collect()

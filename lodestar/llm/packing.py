@@ -34,11 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, arrow_map, texts_of
+from lodestar.llm.common import KEPT, Memo, arrow_map, texts_of
 
 END = np.array([2], "<u4").tobytes()
-_words: dict[str, Memo] = {}
-
 
 #: A run of Latin letters, and then marks other than the apostrophe: what the pre-tokeniser cuts in just these two.
 PLAIN = re.compile(r"""([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)""")
@@ -52,13 +50,14 @@ def byte_letters() -> list[str]:
 
 
 def words(vocabulary: str) -> Memo:
-    """Text without spaces to its ids as little-endian bytes; kept between a worker's tasks.
+    """Text without spaces to its ids as little-endian bytes; kept between a worker's tasks of this operator.
 
     For the plain words of PLAIN the normaliser lowers letters and the pre-tokeniser cuts off
     the marks; doing these two here leaves the vocabulary's own model to give the ids. All
     else goes through the whole tokeniser.
     """
-    if vocabulary not in _words:
+    held = KEPT.setdefault("packing", {})
+    if vocabulary not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +68,7 @@ def words(vocabulary: str) -> Memo:
             written = p if p.isascii() else "".join([letters[b] for b in p.encode()])
             return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
-        pieces = Memo(piece, most=500_000)
+        pieces = Memo(piece, most=250_000)
 
         def chunk(c: str) -> bytes:
             if m := PLAIN.fullmatch(c):
@@ -77,8 +76,8 @@ def words(vocabulary: str) -> Memo:
                 return pieces[word.lower()] + pieces[marks] if marks else pieces[word.lower()]
             return array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
 
-        _words[vocabulary] = Memo(chunk, most=1_000_000)
-    return _words[vocabulary]
+        held[vocabulary] = Memo(chunk, most=500_000)
+    return held[vocabulary]
 
 
 def tokens(text: str, memo: Memo) -> tuple[bytes, np.ndarray]:
@@ -229,4 +228,4 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
         if packer.n:
             yield rows(packer.flush(last=True))
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", keeps="packing")
