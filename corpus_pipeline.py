@@ -2,8 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir) to a DataFrame; what it returns is written
 as Parquet in the folder that the cluster shares, and read again as the next one's docs. All
-but the last keep the columns of documents. Null ids pass through the filters; texts that are
-null have no letter, so language identification rejects them; empty tables pass as they are.
+but the last keep the columns of documents, whatever other columns these have. Null ids pass
+through the filters; texts that are null have no letter, so language identification rejects
+them; empty tables pass as they are; very long texts are handled whole. Of near duplicates the
+one with the smallest id stays; of rows that share an id, that with the first text.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     if again.isEmpty():
         return kept
-    # Rows that share an id are one document.
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    # Rows that share an id are one document: the first of them in the order of their texts stays, then in that of all columns.
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.struct("text", F.to_json(every))).alias("_row"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
