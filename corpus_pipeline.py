@@ -10,21 +10,36 @@ one with the smallest id stays; of rows that share an id, that with the first te
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.checkpoints import ensure_dir
+from lodestar.checkpoints import ensure_dir, rest
 from lodestar.llm import decontaminate, jaccard, langid, packing, pii
 from lodestar.llm.common import few
 from lodestar.llm.queries import vocabulary
 from lodestar.tables import table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A language is taken for known from this score on.
 SURE = 0.5
 
 
+def rested(stage: Stage) -> Stage:
+    """The stage, begun with what the one before has left in the executors' memory given back."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@rested
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the labelled languages; all, if no row has a label."""
     model = langid.train(docs)
@@ -34,6 +49,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where((F.col("_language_found") != "und") & (F.col("_language_score") >= SURE)).select(*docs.columns)
 
 
+@rested
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group with five-word shingles alike to 0.8 or more."""
     told = jaccard.join(docs, k=5, percent=80)
@@ -48,11 +64,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
+@rested
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+@rested
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and disclosing terms replaced in their texts; n_chars follows."""
     out = pii.spans(docs, keep=docs.columns, names=("_spans_found", "_text_sanitised"))
@@ -63,6 +81,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
+@rested
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     return packing.pack(docs, vocabulary())

@@ -18,3 +18,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there from now on."""
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def rest(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, so that heaps that a heavy stage has blown up are given back before the next one."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
