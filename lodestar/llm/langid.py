@@ -127,17 +127,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             rows.append(m.chunk(chunk))
             return len(rows) - 1
 
-        table, ids = np.zeros((1024, k + 1)), Memo(add, most=1 << 62)
+        table, ids, filled = np.zeros((1024, k + 1)), Memo(add, most=1 << 62), 0
         for b in batches:
             langs, scores = [], []
             if len(ids) > 150_000:
                 ids.clear()
                 rows.clear()
+                filled = 0
             found = [np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks)) for chunks in map(str.split, texts_of(b, source))]
             if len(rows) > len(table):
-                table = np.zeros((len(rows) + 50_000, k + 1))
-            if rows:
-                table[: len(rows)] = rows
+                table = np.concatenate([table[:filled], np.zeros((len(rows) + 50_000 - filled, k + 1))])
+            if len(rows) > filled:
+                table[filled : len(rows)] = rows[filled:]
+                filled = len(rows)
             for at in found:
                 total = table[at].sum(axis=0)
                 if not k or total[k] == 0:
