@@ -68,7 +68,7 @@ def words(vocabulary: str) -> Memo:
             written = p if p.isascii() else "".join([letters[b] for b in p.encode()])
             return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
-        pieces = Memo(piece, most=250_000)
+        pieces = Memo(piece, most=500_000)
 
         def chunk(c: str) -> bytes:
             if m := PLAIN.fullmatch(c):
@@ -76,7 +76,7 @@ def words(vocabulary: str) -> Memo:
                 return pieces[word.lower()] + pieces[marks] if marks else pieces[word.lower()]
             return array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
 
-        held[vocabulary] = Memo(chunk, most=500_000)
+        held[vocabulary] = Memo(chunk, most=1_000_000)
     return held[vocabulary]
 
 
@@ -92,11 +92,13 @@ def tokens(text: str, memo: Memo) -> tuple[bytes, np.ndarray]:
 def unpadded(ends: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]]:
     """(later place, earlier place, tokens) of all cuts that stand a power of two below size apart, by later place."""
     places = np.concatenate([[0], ends])
+    at = np.full(size + places[-1] + 1, -1)
+    at[size + places] = np.arange(len(places))
     found = []
     for k in range(size.bit_length()):
         if 1 << k < size:
-            i = np.searchsorted(places, places - (1 << k))
-            j = np.flatnonzero(places[i] == places - (1 << k))
+            i = at[size + places - (1 << k)]
+            j = np.flatnonzero(i >= 0)
             found.append(np.stack([j, i[j], np.full(len(j), 1 << k)]))
     every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     return tuple(every[:, np.argsort(every[0], kind="stable")].tolist())
