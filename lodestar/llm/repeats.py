@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.checkpoints import cut
-from lodestar.llm.common import arrow_map, few
+from lodestar.checkpoints import cut, written
+from lodestar.llm.common import arrow_map
 from lodestar.llm.shingles import BYTE, ODD, mix
 
 GRAM = 32
@@ -262,14 +262,14 @@ def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool
             flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*flat, *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in (3, 4))], names=["h", "place", "stop", "c1", "c2"])
 
-    # Written once, as the grouping and the join with it both read it; the grouping adds up before it shuffles, so a hot anchor is no hot task.
-    found = cut(arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long"))
+    # Written, as the grouping and the join with it both read it; the grouping adds up before it shuffles, and a hot anchor's rows can be split in the join.
+    found = written(arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long"))
     one = F.struct("c1", "c2", "place")
     shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n"), F.max("stop").alias("stop")).where("lo <> hi OR stop >= 0").select("h", (F.col("n") > hot).alias("hot"))
-    kept = found.join(shared.hint("merge"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
-    kept = cut(kept)
-    n, listed = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
-    texts_to_go = rows.select("raw", "c1", "c2").join(few(kept, n, 40 + 48 * listed / max(1, n)), KEYS)
+    kept = found.join(written(shared).hint("merge"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
+    kept = written(kept)
+    # What texts hold grows with them: it is never broadcast.
+    texts_to_go = rows.select("raw", "c1", "c2").join(kept.hint("merge"), KEYS)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -414,8 +414,7 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans = covers(around, length, short, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop", "short")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = cut(spans.join(copies, KEYS, "full"))
-    n, listed = told.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()
-    every = rows.join(few(told, n, 48 + 40 * listed / max(1, n)), KEYS, "left")
+    every = rows.join(told.hint("merge"), KEYS, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
