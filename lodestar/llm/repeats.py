@@ -110,7 +110,7 @@ def thinned(raw: bytes, place: np.ndarray, h: np.ndarray, length: int, short: in
     seen: dict[tuple, list[int]] = {}
     for i in np.flatnonzero(~keep):
         p = int(place[i])
-        around = (int(h[i]), raw[max(0, p - length + GRAM) : p], raw[p : p + length])
+        around = (int(h[i]), raw[max(0, p - short + GRAM) : p], raw[p : p + length])
         if around in seen:
             seen[around].append(p)
         else:
@@ -178,7 +178,7 @@ def scan(heads: np.ndarray, left: list[bytes], right: list[bytes], length: int,
     if len(heads) < 2:
         return
     r, r_size = matrix(right, length)
-    f, f_size = matrix(left, length - GRAM)
+    f, f_size = matrix(left, max([1, *map(len, left)]))
     lcp = common(r, r_size)
     starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
     stops = np.append(starts[1:], len(heads))
@@ -240,7 +240,8 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool]:
     """(h, hot, c1, c2, place, left, right): each shared anchor of each text with its bytes on either side.
 
-    Left bytes are reversed. Copies of a text may give the same row more than once. Also
+    Left bytes are reversed; ``short`` of them less the gram are enough, as the first anchor in a
+    string stands no further from its start. Copies of a text may give the same row more than once. Also
     (c1, c2, start, stop, short), what texts cover by themselves, and whether any anchor is hot.
     Anchors are those of all strings of ``short`` bytes, among which are those of longer ones.
     Without ``thin`` a text's places with equal surroundings are all given.
@@ -287,7 +288,7 @@ def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool
                 if len(seen) < 1_000_000:
                     seen.add((c1, c2))
                 place, h, is_hot, stop = (listed.values.field(k).to_pylist() for k in range(4))
-                rows += [(h[i], is_hot[i], c1, c2, p, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]) for i, p in enumerate(place) if stop[i] < 0]
+                rows += [(h[i], is_hot[i], c1, c2, p, raw[max(0, p - short + GRAM) : p][::-1], raw[p : p + length]) for i, p in enumerate(place) if stop[i] < 0]
                 if len(rows) > 5000:
                     yield made()
                     rows = []
@@ -413,7 +414,7 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     around, own, any_hot = surroundings(rows, length, hot, short)
     spans = covers(around, length, short, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop", "short")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
-    told = cut(spans.join(copies, KEYS, "full"))
+    told = written(spans.join(copies, KEYS, "full"))
     every = rows.join(told.hint("merge"), KEYS, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
