@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,18 @@ def parse_log(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(f) >= 4).select(F.substring(f[0], 1, 12).alias("hash"), f[1].alias("subject"), f[2].alias("author"), f[3].try_cast("bigint").alias("ts"))
 
 
+def parse_files(lines: DataFrame) -> DataFrame:
+    """commit_files(hash, path, ts) from the lines of a log with names: each commit's line (U+0001, hash, U+0001, time), then its paths.
+
+    lines(value, ord): a path belongs to the last commit's line before it.
+    """
+    f = F.split("value", "\x01")
+    head = F.when(F.startswith("value", F.lit("\x01")), F.struct(F.substring(f[1], 1, 12).alias("hash"), f[2].try_cast("bigint").alias("ts")))
+    # The history of one repository, at most so many commits as were asked for.
+    rows = lines.withColumn("head", F.last(head, ignorenulls=True).over(Window.orderBy("ord")))
+    return rows.where((F.trim("value") != "") & ~F.startswith("value", F.lit("\x01")) & F.col("head").isNotNull()).select("head.hash", F.col("value").alias("path"), "head.ts")
+
+
 def recent(commits: DataFrame, count: int = 10) -> DataFrame:
     return commits.orderBy(F.desc("ts"), F.desc("hash")).limit(count)
 

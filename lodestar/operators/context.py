@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.checkpoints import cut
 from lodestar.functions import text as T
 from lodestar.operators import corpus, graph, memory
 
@@ -85,7 +86,8 @@ def build(query: str, as_of: int, *, files: DataFrame, symbols: DataFrame, log:
     notes = memory.recall(log, as_of, query, limit=12)
     note = F.concat(F.lit("- ["), "kind", F.lit("] "), "text", F.lit(" (_via_ "), place, F.lit(", "), T.time_ago("created_at", as_of), F.lit(" · "), tags, F.lit(")"))
     one = section(0, "Relevant memory", notes, F.struct(-F.col("score"), -F.col("created_at"), "log_pos"), note)
-    picked = interesting(symbols, graph.page_rank(nodes, edges, iterations=15), query, max_symbols).persist()
+    picked = interesting(symbols, graph.page_rank(nodes, edges, iterations=15), query, max_symbols)
+    picked = cut(picked)
     sym = F.concat(F.lit("- "), "name", F.lit(" ("), "kind", F.lit(") — `"), "path", F.lit(":"), F.col("line").cast("string"), F.lit("`"))
     by = F.struct(-F.col("score"), "path", "ord")
     two = section(1, "Symbols", picked, by, sym)
@@ -94,7 +96,7 @@ def build(query: str, as_of: int, *, files: DataFrame, symbols: DataFrame, log:
     out = one.unionByName(two).unionByName(three)
     if targets:
         out = out.unionByName(section(3, "Impact / dependents", graph.dependents(edges, targets, max_files), F.col("path"), F.concat(F.lit("- `"), "path", F.lit("`"))))
-    first = pack(out, budget).persist()
+    first = cut(pack(out, budget))
     used = first.agg(F.max("used")).first()[0] or 0
     if used < 0.7 * budget:
         large = corpus.largest(files)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.checkpoints import cut
 from lodestar.functions import text as T
 
 
@@ -68,6 +69,64 @@ def summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("size").alias("bytes"), F.count_distinct("language").alias("languages"))
 
 
+def build(files: DataFrame) -> dict[str, DataFrame]:
+    """Every table of an index of files(path, dir, name, language, text, size, lines), lazily: what ``index_store.save`` takes.
+
+    files without their texts, postings, term statistics, symbols, imports, nodes and edges.
+    """
+    from lodestar.operators import extraction, graph, resolve
+
+    posts = postings(files)
+    symbols = extraction.declared(files)
+    imports = extraction.imported(files)
+    tokens = extraction.tokens(files).where(~F.col("kind").isin("comment", "docstring"))
+    nodes, edges = graph.build(files, symbols, resolve.imports_to_files(imports, files), resolve.references(tokens, symbols))
+    stats = term_stats(posts, files.count())
+    return {"files": files.drop("text"), "postings": posts, "terms": stats, "symbols": symbols, "imports": imports, "nodes": nodes, "edges": edges}
+
+
+def index_summary(files: DataFrame, symbols: DataFrame, edges: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """(metric, value): files, lines, bytes, distinct symbol names and edges, files of each language, and files skipped for each reason."""
+    def named(df: DataFrame, metric: str | F.Column, value: F.Column | str) -> DataFrame:
+        metric = F.lit(metric) if isinstance(metric, str) else metric
+        return df.select(metric.alias("metric"), F.col(value).cast("bigint").alias("value") if isinstance(value, str) else value.cast("bigint").alias("value"))
+
+    one = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    out = one.select(F.explode(F.create_map(*(x for c in ("files", "lines", "bytes") for x in (F.lit(c), F.col(c).cast("bigint"))))).alias("metric", "value"))
+    out = out.unionByName(named(symbols.agg(F.count_distinct("name").alias("n")), "symbols", "n")).unionByName(named(edges.agg(F.count("*").alias("n")), "edges", "n"))
+    out = out.unionByName(named(language_counts(files), F.concat(F.lit("language "), F.coalesce("language", F.lit("text"))), "files"))
+    return out if skipped is None else out.unionByName(named(skipped, F.concat(F.lit("skipped "), "reason"), "files"))
+
+
+def summary_markdown(files: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
+    """(part, place, line): lines of an index summary: figures, languages by their files, symbols by their rank."""
+    from lodestar.operators import graph
+
+    figures = index_summary(files, symbols, edges).where(~F.col("metric").startswith("language ") & (F.col("metric") != "bytes"))
+    order = F.array_position(T.strings("files", "lines", "symbols", "edges"), F.col("metric"))
+    label = F.when(F.col("metric") == "edges", "graph edges").otherwise(F.col("metric"))
+    one = figures.select(F.lit(0).alias("part"), order.cast("int").alias("place"), F.concat(F.lit("| "), label, F.lit(" | "), F.when(F.col("metric") == "lines", T.human_count("value")).otherwise(F.col("value").cast("string")), F.lit(" |")).alias("line"))
+    languages = language_counts(files).withColumn("k", F.row_number().over(Window.orderBy(F.desc("files"), "language")))  # a row a language
+    two = languages.select(F.lit(1).alias("part"), F.col("k").alias("place"), F.concat(F.lit("* "), F.coalesce("language", F.lit("text")), F.lit(": "), F.col("files").cast("string"), F.lit(" files")).alias("line"))
+    ranks = graph.page_rank(nodes, edges, iterations=15).withColumn("rank", F.round("rank", 12))
+    ranked = symbols.withColumn("id", graph.symbol_id(F.col("path"), F.col("name"), F.col("line"))).dropDuplicates(["id"]).join(ranks, "id").orderBy(F.desc("rank"), "path", "ord").limit(limit)
+    ranked = ranked.withColumn("k", F.row_number().over(Window.orderBy(F.desc("rank"), "path", "ord")))  # limited above
+    three = ranked.select(F.lit(2).alias("part"), F.col("k").alias("place"), F.concat(F.lit("* `"), "name", F.lit("` ("), "kind", F.lit(") — `"), "path", F.lit("`")).alias("line"))
+    return one.unionByName(two).unionByName(three)
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with their ``place`` in an order, from 1: sorted by ranges, and counted on from range to range."""
+    ranged = cut(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = sorted((r["_part"], r["n"], r["first"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect())  # a row a partition
+    before, offsets = 0, []
+    for part, n, first in counts:
+        offsets.append((part, before - first))
+        before += n
+    offset = rows.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    return ranged.join(F.broadcast(offset), "_part").withColumn("place", F.col("_row") + F.col("_offset") + 1).drop("_part", "_row", "_offset")
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language")
 

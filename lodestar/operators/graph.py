@@ -127,7 +127,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, normalize: bool = False, cut_every: int = 5) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, normalize: bool = False) -> DataFrame:
     """(id, rank) after a fixed number of rounds from a uniform start.
 
     A node's rank is split over all its edges out, self-loops and edges to unknown nodes
@@ -148,7 +148,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterati
         into = flows.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("into"))
         rank = rank.select("id", "dangling").join(into, "id", "left").crossJoin(F.broadcast(spread))
         rank = rank.select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("into", F.lit(0.0)) + F.col("spread") / n)).alias("rank"))
-        rank = cut(rank) if i % cut_every == 0 and i < iterations else rank
+        # Each round reads the ranks three times: uncut, plans would grow threefold a round.
+        rank = cut(rank) if i < iterations else rank
     return rank.select("id", "rank")
 
 
@@ -167,6 +168,51 @@ def dependents(edges: DataFrame, files: list[str], limit: int = 15) -> DataFrame
     return rows.groupBy("path").agg(F.min("ord").alias("first")).orderBy("first", "path").limit(limit).select("path")
 
 
+def top_ranks(nodes: DataFrame, edges: DataFrame, limit: int = 10, iterations: int = 15) -> DataFrame:
+    """(id, rank): the nodes of the highest ranks."""
+    return page_rank(nodes, edges, iterations=iterations).orderBy(F.desc(F.round("rank", 12)), "id").limit(limit)
+
+
+def largest_components(nodes: DataFrame, edges: DataFrame, limit: int = 10, names: int = 8) -> DataFrame:
+    """(component, size, members): the largest components with their first few members."""
+    label = cut(components(nodes, edges))
+    top = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(limit)
+    place = F.row_number().over(Window.partitionBy("component").orderBy("id"))
+    # A window with a bound on its ranks keeps only so many rows of a component in each task before the shuffle.
+    some = label.join(F.broadcast(top.select("component")), "component").withColumn("k", place).where(F.col("k") <= names)
+    members = some.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return top.join(members, "component").orderBy(F.desc("size"), "component")
+
+
+def symbols_of_file(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """The nodes that a file defines."""
+    mine = edges.where((F.col("type") == "define") & (F.col("src") == f"f:{path}")).select(F.col("dst").alias("id"))
+    return nodes.join(mine, "id", "left_semi")
+
+
+def by_name(nodes: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+    rows = nodes.where(F.col("name") == name)
+    return rows.where(F.col("kind") == kind) if kind else rows
+
+
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """file -> file, once for each pair, from imports_to_files(src, ord, target, dst)."""
+    rows = resolved.select(file_id(F.col("src")).alias("src"), file_id(F.col("dst")).alias("dst"), F.lit("import").alias("type"), "ord")
+    return distinct_edges(rows)
+
+
+def build(files: DataFrame, symbols: DataFrame, resolved: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an index: files and symbols; what files define, import and refer to, and what symbols contain.
+
+    nodes(id, kind, name), edges(src, dst, type); references(path, name, target, is_cross_file).
+    """
+    file_nodes = files.select(file_id(F.col("path")).alias("id"), F.lit("file").alias("kind"), F.col("path").alias("name"))
+    symbol_nodes = symbols.select(symbol_id(F.col("path"), F.col("name"), F.col("line")).alias("id"), F.lit("symbol").alias("kind"), "name").distinct()
+    refs = references.select(file_id(F.col("path")).alias("src"), F.col("target").alias("dst"), F.lit("ref").alias("type"))
+    edges = define_edges(symbols).distinct().unionByName(contains_edges(symbols).distinct()).unionByName(import_edges(resolved).select("src", "dst", "type")).unionByName(refs.distinct())
+    return file_nodes.unionByName(symbol_nodes), edges
+
+
 def define_edges(symbols: DataFrame) -> DataFrame:
     """file -> symbol."""
     return symbols.select(file_id(F.col("path")).alias("src"), symbol_id(F.col("path"), F.col("name"), F.col("line")).alias("dst"), F.lit("define").alias("type"))
@@ -200,6 +246,7 @@ def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return head.unionByName(nodes.select(F.lit(1).alias("part"), F.to_json(F.struct("id", "kind", "name")).alias("json"))).unionByName(edges.select(F.lit(2).alias("part"), F.to_json(F.struct("src", "dst", "type")).alias("json")))
 
 
+# Shapes of kinds of nodes, colours of types of edges.
 SHAPES = {"file": "box", "symbol": "ellipse", "module": "folder"}
 COLORS = {"import": "#4c8bf5", "ref": "#999999", "define": "#2ec4b6", "contains": "#7ed321"}
 

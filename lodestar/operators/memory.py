@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut
@@ -100,7 +100,11 @@ def recall(log: DataFrame, as_of: int, query: str | None = None, *, kind: str |
     base = T.recency("created_at", as_of) + 0.5 * F.col("importance")
     if words:
         low = F.lower("text")
-        rows = rows.withColumn("_words", T.split_words("text"))
+        # A word that overlaps or holds one of the query's has its letters in the text: others needn't be split.
+        maybe = F.lit(False)
+        for w in words:
+            maybe = maybe | low.contains(w)
+        rows = rows.where(maybe).withColumn("_words", T.split_words("text"))
         overlap = F.size(F.array_intersect("_words", T.strings(*words)))
         partial = sum((F.exists("_words", _holds(w)).cast("int") for w in words), F.lit(0))
         literal = sum((low.contains(w).cast("int") for w in words), F.lit(0))
@@ -142,14 +146,36 @@ def gc_flags(log: DataFrame, as_of: int, hard_cap: int = 50_000, oldest_first: b
     kept = rows.where("fate = 'kept'")
     over = kept.count() - hard_cap
     if over > 0:
-        age = F.col("created_at") if oldest_first else F.desc("created_at")
-        out = kept.orderBy("importance", age, "log_pos").limit(over).select("log_pos", F.lit(True).alias("out"))
+        out = first_rows(kept, over, oldest_first).select("log_pos", F.lit(True).alias("out"))
         rows = rows.join(out, "log_pos", "left").withColumn("fate", F.when(F.col("out"), "evicted").otherwise(F.col("fate")))
     told = rows.select("log_pos", "fate", F.when(F.col("fate") == "kept", F.coalesce("all_tags", T.strings())).alias("merged"))
     out = log.join(told, "log_pos")
     return out.select(*(F.coalesce("merged", "tags").alias("tags") if c == "tags" else c for c in log.columns), "fate")
 
 
+def first_rows(kept: DataFrame, n: int, oldest_first: bool) -> DataFrame:
+    """The first n rows by importance, age and place: whole levels of importance and whole days by their counts, and of one day as many as are left."""
+    day = F.floor(F.col("created_at") / 86400) * (1 if oldest_first else -1)
+    rows = kept.withColumn("day", day)
+    levels = sorted(rows.groupBy("importance").agg(F.count("*").alias("k")).collect(), key=lambda r: (r["importance"] is not None, r["importance"]))
+    whole = F.lit(False)
+    for r in levels:
+        level = F.col("importance").eqNullSafe(F.lit(r["importance"]))
+        if r["k"] > n:
+            break
+        whole, n = whole | level, n - r["k"]
+    else:
+        return rows.where(whole).drop("day")
+    before = F.lit(False)
+    for r in sorted(rows.where(level).groupBy("day").agg(F.count("*").alias("k")).collect(), key=lambda r: (r["day"] is not None, r["day"])):
+        if r["k"] > n:
+            break
+        before, n = F.col("day").isNull() | (F.col("day") <= F.lit(r["day"])), n - r["k"]
+    age = F.col("created_at") if oldest_first else F.desc("created_at")
+    rest = rows.where(level & F.col("day").eqNullSafe(F.lit(r["day"]))).orderBy(age, "log_pos").limit(n)
+    return rows.where(whole | level & before).unionByName(rest).drop("day")
+
+
 def gc(log: DataFrame, as_of: int, **how) -> DataFrame:
     """The entries that stay."""
     return gc_flags(log, as_of, **how).where("fate = 'kept'").drop("fate")
@@ -214,6 +240,32 @@ def markdown(log: DataFrame, as_of: int, kind: str | None = None, tag: str | Non
     return body.select(order.cast("int").alias("section_ord"), "kind", "body")
 
 
+def footer(log: DataFrame, kind: str | None = None, tag: str | None = None) -> DataFrame:
+    """The last row of a Markdown export: (section_ord, kind, body) with the number of entries."""
+    total = filters(log, kind, tag).agg(F.count("*").alias("n"))
+    return total.select(F.lit(len(T.KINDS) + 1).alias("section_ord"), F.lit("total").alias("kind"), F.concat(F.lit("---\n_Total: "), "n", F.lit(" entries._")).alias("body"))
+
+
+def to_json(log: DataFrame) -> DataFrame:
+    """(log_pos, json): every entry of the log, expired ones too."""
+    return log.select("log_pos", F.to_json(F.struct(*(c for c in log.columns if c != "log_pos"))).alias("json"))
+
+
+#: What an answer shows of an entry.
+SHOWN = ("id", "kind", "text", "tags", "file", "line", "created_at", "importance")
+
+
+def recall_with_files(log: DataFrame, as_of: int, query: str, found: DataFrame | None = None, limit: int = 10, **how) -> DataFrame:
+    """One answer of notes and, where there is a query, of files: (source, place, id, score), each source by its own order."""
+    notes = recall(log, as_of, query or None, limit=limit, **how)
+    order = Window.orderBy(F.desc("score"), F.desc("created_at"), "log_pos")  # at most limit rows
+    out = notes.select(F.lit("memory").alias("source"), F.row_number().over(order).alias("place"), F.col("id"), "score")
+    if found is None or not query:
+        return out
+    files = found.limit(limit).select(F.lit("file").alias("source"), F.row_number().over(Window.orderBy(F.desc("score"), "path")).alias("place"), F.col("path").alias("id"), "score")
+    return out.unionByName(files)
+
+
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The log from JSON lines; a line that is no JSON object is an error (or dropped, if not strict)."""
     rows = spark.read.schema(SCHEMA).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)

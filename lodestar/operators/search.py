@@ -23,17 +23,39 @@ def filtered(files: DataFrame, language: str | None = None, path_prefix: str | N
 def content_scores(files: DataFrame, words: list[str]) -> DataFrame:
     """(path, content): the sum of idf * tf over the distinct query words.
 
-    Only the query words' counts are kept of each text, and each file's number of words;
-    document frequencies count all files, filtered or not.
+    Only texts that hold a query word's letters are split into words, and of these only the
+    query words' counts and the number of words are kept; document frequencies count all files,
+    filtered or not.
     """
-    found = T.split_words("text")
-    counted = files.select("path", found.alias("w")).select("path", F.size("w").alias("total"), *(F.size(F.filter("w", _equals(w))).alias(f"n{i}") for i, w in enumerate(words)))
-    stats = counted.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    found, low = T.split_words("text"), F.lower("text")
+    maybe = F.lit(False)
+    for w in words:
+        maybe = maybe | low.contains(w)
+    counted = files.where(maybe).select("path", found.alias("w")).select("path", F.size("w").alias("total"), *(F.size(F.filter("w", _equals(w))).alias(f"n{i}") for i, w in enumerate(words)))
+    stats = counted.agg(*(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+    joined = counted.crossJoin(F.broadcast(stats.crossJoin(files.agg(F.count("*").alias("n")))))  # one row
     score = sum((F.when(F.col(f"n{i}") > 0, F.log(1.0 + F.col("n") / (1.0 + F.col(f"df{i}"))) * F.col(f"n{i}") / F.col("total")).otherwise(0.0) for i in range(len(words))), F.lit(0.0))
     return joined.select("path", score.alias("content")).where("content > 0")
 
 
+def stored_scores(posts: DataFrame, stats: DataFrame, words: list[str]) -> DataFrame:
+    """content_scores from an index: posts(path, term, tf) and stats(term, idf) of all files. Only the query words' postings are read."""
+    wanted = stats.where(F.col("term").isin(*words)).select("term", "idf")  # one row a word
+    return posts.where(F.col("term").isin(*words)).join(F.broadcast(wanted), "term").groupBy("path").agg(F.sum(F.col("idf") * F.col("tf")).alias("content"))
+
+
+def details(results: DataFrame, posts: DataFrame, symbols: DataFrame, query: str, most: int = 12) -> DataFrame:
+    """Results with ``matches``, the query's words that each file holds in the query's order, and the names of its first ``most`` symbols."""
+    words = list(dict.fromkeys(T.split_words_py(query)))
+    few = F.broadcast(results.select("path"))  # limited by the search
+    held = posts.where(F.col("term").isin(*words)).join(few, "path").groupBy("path").agg(F.collect_set("term").alias("_held"))
+    named = symbols.join(few, "path").withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).where(F.col("_k") <= most)
+    named = named.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "name"))), lambda x: x["name"]).alias("symbols"))
+    out = results.join(held, "path", "left").join(named, "path", "left")
+    matches = F.filter(T.strings(*words), lambda w: F.array_contains(F.coalesce("_held", T.strings()), w))
+    return out.select(*results.columns, matches.alias("matches"), F.coalesce("symbols", T.strings()).alias("symbols"))
+
+
 def _equals(word: str):
     return lambda x: x == word
 
@@ -72,8 +94,11 @@ def fuzzy_scores(files: DataFrame, words: list[str], max_scan: int | None = None
     return rows.select("path", (shared * 0.4).alias("fuzzy")).where("fuzzy > 0")
 
 
-def search(files: DataFrame, query: str, limit: int = 10, *, symbols: DataFrame | None = None, signals: tuple[str, ...] = ("content", "path", "symbol", "fuzzy"), max_scan: int | None = None, **filters) -> DataFrame:
-    """(path, score, content, path_score, symbol, fuzzy), best first; the first files in walk order for an empty query."""
+def search(files: DataFrame, query: str, limit: int = 10, *, symbols: DataFrame | None = None, signals: tuple[str, ...] = ("content", "path", "symbol", "fuzzy"), max_scan: int | None = None, index: tuple[DataFrame, DataFrame] | None = None, **filters) -> DataFrame:
+    """(path, score, content, path_score, symbol, fuzzy), best first; the first files in walk order for an empty query.
+
+    index: stored (postings, term statistics), so that texts aren't split anew for their content.
+    """
     words = T.split_words_py(query)
     kept = filtered(files, **filters)
     if not words:
@@ -81,7 +106,7 @@ def search(files: DataFrame, query: str, limit: int = 10, *, symbols: DataFrame
     distinct = list(dict.fromkeys(words))
     rows = kept.select("path", (path_score(F.col("path"), words) if "path" in signals else F.lit(0.0)).alias("path_score"))
     # Document frequencies are those of all files; the join keeps the filtered ones.
-    rows = rows.join(content_scores(files, distinct), "path", "left") if "content" in signals else rows.withColumn("content", F.lit(0.0))
+    rows = rows.join(stored_scores(*index, distinct) if index else content_scores(files, distinct), "path", "left") if "content" in signals else rows.withColumn("content", F.lit(0.0))
     rows = rows.join(symbol_scores(symbols, words), "path", "left") if symbols is not None and "symbol" in signals else rows.withColumn("symbol", F.lit(0.0))
     rows = rows.join(fuzzy_scores(kept, words, max_scan), "path", "left") if "fuzzy" in signals else rows.withColumn("fuzzy", F.lit(0.0))
     rows = rows.na.fill(0.0, ["content", "symbol", "fuzzy"])

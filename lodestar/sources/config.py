@@ -11,6 +11,7 @@ from lodestar.functions.text import TTL_DAYS
 
 @dataclass
 class Config:
+    store_dir: str = ".lodestar"
     index_depth: int = 12
     max_file_bytes: int = 1_000_000
     memory_hard_cap: int = 50_000
@@ -20,6 +21,9 @@ class Config:
     include_hidden: bool = False
     ignore_patterns: list[str] = field(default_factory=list)
     autocategorize: bool = True
+    shared: bool = True
+    web_host: str = "127.0.0.1"
+    web_port: int = 8765
     ttl_days: dict[str, int] = field(default_factory=lambda: dict(TTL_DAYS))
 
     @classmethod

@@ -68,7 +68,9 @@ def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
             stream.close()
         rows.append((r["path"], bytearray(data)))
     few = spark.createDataFrame(rows, "path string, content binary")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # The bound on the length reaches the scan: larger files aren't read at all.
+    most = paths.where(~odd).agg(F.max("size")).first()[0] or 0
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most)
     rel = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
     many = raw.select(rel.alias("path"), "content").join(paths.where(~odd).select("path"), "path", "left_semi")
     return many.unionByName(few)
@@ -105,6 +107,17 @@ def scan(spark: SparkSession, root: str, *, max_bytes: int = 1_000_000, max_dept
     return kept.withColumn("lines", line_count("text")), skipped
 
 
+def git_files(spark: SparkSession, root: str, count: int = 500) -> DataFrame:
+    """(value, ord): the lines of a history with the names of changed files, for commits.parse_files; none without a history."""
+    import subprocess
+
+    try:
+        out = subprocess.run(["git", "-C", root, "log", f"-{count}", "--name-only", "--pretty=%x01%H%x01%at"], capture_output=True, text=True, timeout=60, check=True).stdout
+    except (OSError, subprocess.SubprocessError):
+        out = ""
+    return spark.createDataFrame(list(enumerate(out.splitlines())), "ord int, value string")
+
+
 def git_log(spark: SparkSession, root: str, count: int = 500) -> DataFrame:
     """The lines of a repository's history for commits.parse_log; none where there is no history."""
     import subprocess
