@@ -47,7 +47,7 @@ def stored_scores(posts: DataFrame, stats: DataFrame, words: list[str]) -> DataF
 def details(results: DataFrame, posts: DataFrame, symbols: DataFrame, query: str, most: int = 12) -> DataFrame:
     """Results with ``matches``, the query's words that each file holds in the query's order, and the names of its first ``most`` symbols."""
     words = list(dict.fromkeys(T.split_words_py(query)))
-    few = F.broadcast(results.select("path"))  # limited by the search
+    few = F.broadcast(results.select("path").distinct())  # limited by the search
     held = posts.where(F.col("term").isin(*words)).join(few, "path").groupBy("path").agg(F.collect_set("term").alias("_held"))
     named = symbols.join(few, "path").withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).where(F.col("_k") <= most)
     named = named.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "name"))), lambda x: x["name"]).alias("symbols"))

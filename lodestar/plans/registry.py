@@ -139,11 +139,10 @@ def human_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", T.human_bytes(s).alias("size"), T.human_count(s).alias("n"))
 
 
-@query(f"WITH {S.FILES} SELECT path, CAST(row_number() OVER (ORDER BY d1, d2, doc_id) AS INT) AS place FROM files WHERE d1 IN ('src1', 'src2', 'src10')")
+@query(f"WITH {S.FILES} SELECT path, CAST(row_number() OVER (ORDER BY d1, d2, doc_id) AS INT) AS place FROM files ")
 def natural_sort(spark, d):
-    # The order is a report's: one row for each file of three folders.
-    files = files_of(spark, d).where(F.col("path").rlike("^src(1|2|10)/"))
-    return files.select("path", F.row_number().over(Window.orderBy(F.element_at("dir", 1), F.element_at("dir", 2), T.natural_key("name"))).alias("place"))
+    rows = files_of(spark, d).select("path", "dir", T.natural_key("name").alias("key"))
+    return corpus.placed(rows, F.element_at("dir", 1), F.element_at("dir", 2), "key").select("path", F.col("place").cast("int").alias("place"))
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -218,15 +217,12 @@ def mem_autocategorize(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.autocategorize("text").alias("kind"))
 
 
-@query("SELECT event_id, list_distinct([lower(event_type), CAST(user_id AS VARCHAR)]) AS _t, NULL AS tags FROM events LIMIT 0")
+@query("SELECT event_id, concat(lower(event_type), ',', user_id) AS tags FROM events")
 def mem_tags(spark, d):
     e = table(spark, d, "events").select("event_id", T.normalize_tags(F.array(F.concat("event_type", F.lit(", "), F.upper("event_type")), F.col("user_id").cast("string"))).alias("t"))
     return e.select("event_id", F.array_join("t", ",").alias("tags"))
 
 
-ORACLES["mem_tags"] = "SELECT event_id, concat(lower(event_type), ',', user_id) AS tags FROM events"
-
-
 @query(f"WITH {S.MEMORY}, k AS (SELECT unnest([{S.quoted(S.KIND_LIST)}]) AS kind) SELECT k.kind, CAST(count(m.id) AS BIGINT) AS n FROM k LEFT JOIN memory m ON m.kind = k.kind GROUP BY k.kind UNION ALL SELECT 'total', count(*) FROM memory")
 def mem_stats(spark, d):
     return memory.stats(log_of(spark, d))
@@ -300,10 +296,11 @@ _where = "CASE WHEN file IS NOT NULL THEN concat(' · `', file, '@', line, '`')
 
 
 @query(
-    f"WITH {S.MEMORY} SELECT CAST(list_position([{S.quoted(S.KIND_LIST)}], kind) AS INT) AS section_ord, kind, string_agg(concat('- **', substr(id, 1, 8), '** (', {S.ago('created_at')}, ')', {_where}, ' `#', tags[1], '` `#', tags[2], '`', chr(10), '  ', text), chr(10) ORDER BY created_at DESC, log_pos) AS body FROM memory WHERE list_contains(tags, 'src3') GROUP BY kind"
+    f"WITH {S.MEMORY} SELECT CAST(list_position([{S.quoted(S.KIND_LIST)}], kind) AS INT) AS section_ord, kind, string_agg(concat('- **', substr(id, 1, 8), '** (', {S.ago('created_at')}, ')', {_where}, ' `#', tags[1], '` `#', tags[2], '`', chr(10), '  ', text), chr(10) ORDER BY created_at DESC, log_pos) AS body FROM memory GROUP BY kind UNION ALL SELECT 8, 'total', concat('---', chr(10), '_Total: ', count(*), ' entries._') FROM memory"
 )
 def memory_markdown(spark, d):
-    return memory.markdown(log_of(spark, d), S.AS_OF, tag="src3")
+    log = log_of(spark, d)
+    return memory.markdown(log, S.AS_OF).unionByName(memory.footer(log))
 
 
 # --- graph ----------------------------------------------------------------------------------
@@ -392,9 +389,12 @@ def refs_first_decl(spark, d):
     return resolve.references(tokens, symbols, max_edges=None)
 
 
-@query(f"WITH {S.KEYS} SELECT to_json({{'src': src, 'dst': dst, 'type': type}}) AS json FROM edges")
+@query(
+    f"WITH {S.KEYS} SELECT 0 AS part, to_json({{'nodes': (SELECT count(*) FROM nodes), 'edges': (SELECT count(*) FROM edges), 'files': (SELECT count(*) FROM nodes), 'symbols': 0}}) AS json "
+    "UNION ALL SELECT 1, to_json({'id': id, 'kind': 'file', 'name': name}) FROM nodes UNION ALL SELECT 2, to_json({'src': src, 'dst': dst, 'type': type}) FROM edges"
+)
 def graph_json(spark, d):
-    return graph.to_json(*keys_of(spark, d)).where("part = 2").select("json")
+    return graph.to_json(*keys_of(spark, d))
 
 
 @query(
@@ -445,12 +445,14 @@ _step = "lambda a, x: CASE WHEN a.used + x.tokens <= 8000 OR len(a.kept) = 0 THE
 
 
 @query(
-    f"WITH s AS (SELECT CAST(doc_id AS BIGINT) AS section_ord, {S.tokens('text')} AS tokens FROM documents), o AS (SELECT list({{'section_ord': section_ord, 'tokens': tokens}} ORDER BY section_ord) AS l FROM (SELECT * FROM s ORDER BY section_ord LIMIT 40)), "
+    f"WITH r AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS section_ord FROM ({S.search(QUERY, 40, ('content',))})), s AS (SELECT section_ord, {S.tokens('text')} AS tokens FROM r JOIN (WITH {S.FILES} SELECT path, text FROM files) USING (path)), o AS (SELECT list({{'section_ord': section_ord, 'tokens': tokens}} ORDER BY section_ord) AS l FROM s), "
     f"f AS (SELECT list_reduce(l, {_step}, {{'used': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}}) AS r FROM o) SELECT unnest(r.kept) AS section_ord, r.used AS used FROM f"
 )
 def context_pack(spark, d):
-    # The forty best sections are the pack's input, as a search would give them.
-    sections = table(spark, d, "documents").orderBy("doc_id").limit(40).select(F.col("doc_id").alias("section_ord"), F.lit("t").alias("title"), F.col("text").alias("body"))
+    # The forty best files of a search are the pack's sections.
+    files = files_of(spark, d)
+    found = search.search(files, QUERY, 40, signals=("content",)).withColumn("section_ord", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    sections = files.join(F.broadcast(found.select("path", "section_ord")), "path").select("section_ord", F.col("path").alias("title"), F.col("text").alias("body"))
     return context.pack(sections, 8000).select("section_ord", "used")
 
 
