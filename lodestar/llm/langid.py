@@ -36,11 +36,17 @@ from lodestar.llm.common import Memo, arrow_map, drawn, texts_of
 
 #: Characters that \w takes and that are neither letters nor decimal digits, such as fractions and Roman numerals.
 NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS, NUMERAL = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMERALS}]")
 #: Words that count as evidence at most: the score's logits are means scaled to so many words.
 EVIDENCE = 20
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    low = text.lower()
+    return LETTERS.findall(low if low.isascii() else NUMERAL.sub(" ", low))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -62,7 +68,7 @@ class Model:
 
     def chunk(self, chunk: str) -> tuple[float, ...]:
         """Log-likelihoods of the words in a piece of text without white space, then their number."""
-        found = LETTERS.findall(chunk.lower())
+        found = words_of(chunk)
         if len(found) == 1:
             return (*self.word(found[0]), 1.0)
         return (*(sum(c) for c in zip(*map(self.word, found), strict=True)), float(len(found))) if found else (0.0,) * (len(self.langs) + 1)
@@ -83,7 +89,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         seen: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(texts_of(b, "text"), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in seen.items():
             grams = [Counter() for _ in orders]
             for w, c in words.items():
