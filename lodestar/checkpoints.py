@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables in the shared folder that nothing will read again, and the files that the jobs before have shuffled.
+
+    Only folders below the checkpoint folder are removed, whatever else a table may read.
+    Spark removes shuffled files when the driver's JVM finds that nothing refers to them any
+    more, which a driver with memory to spare may not look for in hours.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf, top = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), spark.sparkContext.getCheckpointDir()
+        of = jvm.org.apache.hadoop.fs.Path
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = of(folder)
+            if top and path.toUri().getPath().startswith(of(top).toUri().getPath() + "/"):
+                path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def rest(spark: SparkSession) -> None:
     """Have the executors collect their garbage, so that heaps that a heavy stage has blown up are given back before the next one."""
     n = 2 * spark.sparkContext.defaultParallelism

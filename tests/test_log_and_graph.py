@@ -1,9 +1,11 @@
 """The memory log, graphs, context packs, stores and streams, on small tables."""
 
 import json
+from pathlib import Path
 
 import pytest
 
+from lodestar.checkpoints import discard, written
 from lodestar.functions import text as T
 from lodestar.operators import commits, context, graph, memory
 from lodestar.sources import config, index_store
@@ -202,3 +204,13 @@ def test_streams(spark, tmp_path):
     assert spark.table("tail").count() == 4
     memory_stream.without_tail_duplicates(tagged, 2).writeStream.format("memory").queryName("tail2").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("tail2").count() == 3
+
+
+def test_discarded_tables_and_no_others_are_removed(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "kept"))
+    mine, other = written(spark.range(7)), spark.read.parquet(str(tmp_path / "kept"))
+    folder = Path(mine.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.is_dir() and mine.count() == 7
+    discard(mine, other, written(spark.range(0)))
+    assert not folder.exists() and other.count() == 5
+    discard()
