@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,20 +21,31 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Spark's setting that has the files an execution has shuffled removed as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """As cut, but as a Parquet table in that folder, which takes less room for many rows of a few numbers."""
+    """As cut, but as a Parquet table in that folder, which takes less room for many rows of a few numbers.
+
+    Once it is written nothing reads what was shuffled for it, so these files go at once;
+    otherwise Spark keeps them until the driver's JVM happens to collect its garbage.
+    """
     ensure_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables in the shared folder that nothing will read again, and the files that the jobs before have shuffled.
+    """Remove tables in the shared folder that nothing will read again.
 
     Only folders below the checkpoint folder are removed, whatever else a table may read.
-    Spark removes shuffled files when the driver's JVM finds that nothing refers to them any
-    more, which a driver with memory to spare may not look for in hours.
     """
     for table in tables:
         spark = table.sparkSession
@@ -45,9 +55,6 @@ def discard(*tables: DataFrame) -> None:
             path = of(folder)
             if top and path.toUri().getPath().startswith(of(top).toUri().getPath() + "/"):
                 path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def rest(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from lodestar.checkpoints import discard, written
+from lodestar.checkpoints import CLEANUP, discard, written
 from lodestar.functions import text as T
 from lodestar.operators import commits, context, graph, memory
 from lodestar.sources import config, index_store
@@ -214,3 +214,15 @@ def test_discarded_tables_and_no_others_are_removed(spark, tmp_path):
     discard(mine, other, written(spark.range(0)))
     assert not folder.exists() and other.count() == 5
     discard()
+
+
+def test_writing_a_table_leaves_the_session_as_it_was(spark):
+    was = spark.conf.get(CLEANUP, None)
+    table = written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7 and spark.conf.get(CLEANUP, None) == was
+    spark.conf.set(CLEANUP, "true")
+    try:
+        written(spark.range(3))
+        assert spark.conf.get(CLEANUP) == "true"
+    finally:
+        spark.conf.unset(CLEANUP)
