@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.checkpoints import cut, written
+from lodestar.checkpoints import discard, written
 from lodestar.llm.common import arrow_map
 from lodestar.llm.shingles import BYTE, ODD, mix
 
@@ -237,12 +237,13 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", F.xxhash64("raw").alias("c1"), F.xxhash64("raw", F.lit(1)).alias("c2"))
 
 
-def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool]:
+def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool = True) -> tuple[DataFrame, DataFrame, bool, DataFrame]:
     """(h, hot, c1, c2, place, left, right): each shared anchor of each text with its bytes on either side.
 
     Left bytes are reversed; ``short`` of them less the gram are enough, as the first anchor in a
     string stands no further from its start. Copies of a text may give the same row more than once. Also
-    (c1, c2, start, stop, short), what texts cover by themselves, and whether any anchor is hot.
+    (c1, c2, start, stop, short), what texts cover by themselves, whether any anchor is hot, and
+    the written table of what texts hold, from which the first two are made.
     Anchors are those of all strings of ``short`` bytes, among which are those of longer ones.
     Without ``thin`` a text's places with equal surroundings are all given.
     """
@@ -267,8 +268,10 @@ def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool
     found = written(arrow_map(rows.select("raw", "c1", "c2"), first, "h long, place long, stop long, c1 long, c2 long"))
     one = F.struct("c1", "c2", "place")
     shared = found.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n"), F.max("stop").alias("stop")).where("lo <> hi OR stop >= 0").select("h", (F.col("n") > hot).alias("hot"))
-    kept = found.join(written(shared).hint("merge"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
+    shared = written(shared)
+    kept = found.join(shared.hint("merge"), "h").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "h", "hot", "stop")).alias("found"))
     kept = written(kept)
+    discard(found, shared)
     # What texts hold grows with them: it is never broadcast.
     texts_to_go = rows.select("raw", "c1", "c2").join(kept.hint("merge"), KEYS)
 
@@ -297,7 +300,7 @@ def surroundings(rows: DataFrame, length: int, hot: int, short: int, thin: bool
 
     any_hot = not kept.where(F.exists("found", lambda x: x["hot"])).isEmpty()
     own = kept.select("c1", "c2", F.explode("found").alias("f")).where("f.stop >= 0").select("c1", "c2", F.col("f.place").alias("start"), F.shiftright("f.stop", 1).alias("stop"), (F.col("f.stop") % 2 == 1).alias("short"))
-    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, place long, left binary, right binary"), own, any_hot
+    return arrow_map(texts_to_go.select("c1", "c2", "raw", "found"), around, "h long, hot boolean, c1 long, c2 long, place long, left binary, right binary"), own, any_hot, kept
 
 
 def maximal(left: np.ndarray, left_size: np.ndarray, lcp: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -330,7 +333,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     hot anchors, whose suffixes aren't gathered, each string of ``length`` bytes that occurs
     twice is given with all its occurrences, without being extended.
     """
-    around, _, any_hot = surroundings(texts(docs, id_col, text_col), length, hot, length, thin=False)
+    around, _, any_hot, _ = surroundings(texts(docs, id_col, text_col), length, hot, length, thin=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
@@ -411,10 +414,11 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     short = min(short or length, length)
     rows = texts(docs, id_col, text_col)
-    around, own, any_hot = surroundings(rows, length, hot, short)
+    around, own, any_hot, kept = surroundings(rows, length, hot, short)
     spans = covers(around, length, short, any_hot).unionByName(own).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop", "short")).alias("spans"))
     copies = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, F.lit(True).alias("copied"))
     told = written(spans.join(copies, KEYS, "full"))
+    discard(kept)
     every = rows.join(told.hint("merge"), KEYS, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
