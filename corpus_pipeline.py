@@ -11,13 +11,12 @@ one with the smallest id stays; of rows that share an id, that with the first te
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.checkpoints import ensure_dir, rest
+from lodestar.checkpoints import discard, rest, written
 from lodestar.llm import decontaminate, jaccard, langid, packing, pii
 from lodestar.llm.common import few
 from lodestar.llm.queries import vocabulary
@@ -99,11 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that all stages make of the documents."""
-    docs = table(spark, sf_dir, "documents")
-    ensure_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """The pieces that all stages make of the documents; what a stage has left goes once the next one is written."""
+    docs, done = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        discard(*done)
+        done = [docs]
     return docs
