@@ -21,7 +21,7 @@ little though its letters are unusual, and an unseen one is spelled.
 
 Defined cases: an empty table gives no rows; columns beside the id and the text are ignored;
 very long texts are scored in one piece, whole; words of equal counts are broadcast together or
-not at all; ``depth`` is from 1 to 6, as a context and its next byte must fit a long;
+not at all, and a context that diverges by just ``divergence`` isn't retained; ``depth`` is from 1 to 6, as a context and its next byte must fit a long;
 null and blank texts are one closing token; with nothing to learn from,
 counts are 0, every byte is equally likely, and base_score is 0 tokens' worth of log10 of
 0.1 / 0.1; repeated rows are learned from and scored each; null ids are not held out.
@@ -80,8 +80,8 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_grams(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(code long, c long): how often each byte follows each ``depth`` bytes, over all texts."""
+def count_grams(docs: DataFrame, text_col: str, depth: int, most: int = 6_000_000) -> DataFrame:
+    """(code long, c long): how often each byte follows each ``depth`` bytes, over all texts; a task holds about ``most`` codes at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -92,8 +92,12 @@ def count_grams(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
             x, starts, _ = laid_out(held, depth)
             parts.append(np.unique(grams_of(x, starts, depth), return_counts=True))
             held.clear()
-            if sum(len(p[0]) for p in parts) > 6_000_000:
-                parts[:] = [merge(parts)]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            codes, counts = merge(parts)
+            parts.clear()
+            for i in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000].astype(np.int64))], names=["code", "c"])
 
         for b in batches:
             for t in texts_of(b, "text"):
@@ -102,12 +106,15 @@ def count_grams(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
                 if size >= CHUNK:
                     take()
                     size = 0
+                    if sum(len(p[0]) for p in parts) > most:
+                        parts[:] = [merge(parts)]
+                        # Mostly different ones: they are added up after the shuffle.
+                        if len(parts[0][0]) > most // 2:
+                            yield from rows()
         if held:
             take()
         if parts:
-            codes, counts = merge(parts)
-            for i in range(0, len(codes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000].astype(np.int64))], names=["code", "c"])
+            yield from rows()
 
     return arrow_map(docs.select(F.col(text_col).alias("text")), run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
