@@ -15,7 +15,9 @@ Items are the stated query set: they are collected in blocks of at most
 
 Defined cases: null or blank texts and items match nothing; repeated items each give
 their rows; repeated documents too; an item shorter than 1 / rate bytes must occur
-exactly; very long documents are matched whole. Ids may be null; they are carried on.
+exactly; very long documents are matched whole. Ids may be null; they are carried on. Of
+places that match equally well the one that ends first is given; empty tables of either kind
+give no rows; columns beside the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ to ``broadcast_terms`` of them, and joined to the documents' distinct words beyo
 Defined cases: null text is empty and has no spans; null ids keep their row; repeated rows
 are handled each, and count as separate documents, but not as distinct surroundings; very long texts are searched
 whole in linear time; an empty table gives no rows; a term that discloses several values is removed if any of
-them asks for it; columns not kept are ignored, and kept ones may have any name.
+them asks for it; shares and bits equal to a threshold reach it; spans of one start are given in the order of their kinds; columns not kept are ignored, and kept ones may have any name.
 """
 
 from __future__ import annotations

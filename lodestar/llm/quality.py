@@ -9,7 +9,10 @@ and walked for whole batches at once.
 Defined cases: null and empty texts have the statistics of an empty text and a score
 like any other; without labelled rows every score is 0.5, with labels of one kind only
 it is that kind's smoothed share; a document with several labels counts once for each;
-null labels are not learned from.
+null labels are not learned from; very long texts are measured whole; an empty table gives no
+rows; repeated rows are scored each, and alike; of splits that gain the same the first by
+statistic and then by bin is taken, and a statistic equal to a cut goes left; columns beside
+those kept are ignored, and kept ones may have any name.
 """
 
 from __future__ import annotations
