@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -283,13 +284,17 @@ def block_logs(blocks: list, texts: list[list[bytes]], depth: int) -> tuple[np.n
     code = np.zeros(len(x) - depth, np.uint64)
     for k in range(depth + 1):
         code = (code << np.uint64(8)) | x[k : len(x) - depth + k]
-    codes, inverse = np.unique(code, return_inverse=True)
-    logs = np.zeros(len(codes))
+    # Told apart by hashing, as only the different ones, which are few, are worth sorting.
+    of, codes = pd.factorize(code)
+    order = np.argsort(codes)
+    codes, logs = codes[order], np.zeros(len(codes))
     for b in blocks:
         mine, block = b.value if len(blocks) == 1 else b.load_from_path(b._path)
         at = np.flatnonzero(mine[(codes >> np.uint64(8)) & np.uint64(256**NEAR - 1)])
         logs[at] = block.logs(codes[at])
-    return np.concatenate([np.zeros(depth), logs[inverse]]), starts, stops
+    every = np.empty(len(codes))
+    every[order] = logs
+    return np.concatenate([np.zeros(depth), every[of]]), starts, stops
 
 
 def of_words(logs: np.ndarray, starts: np.ndarray, stops: np.ndarray, texts: list[list[bytes]]) -> list[np.ndarray]:
