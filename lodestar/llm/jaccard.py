@@ -16,10 +16,13 @@ listed against elements listed and the probing of their lists.
 
 Inverted lists of more than a few members are scanned without forming all their pairs: in
 a few rounds every member is compared with one of the list, a different one each round; members already in one
-component are not compared again. What is left after the rounds, pairs of a list in
-different components, is compared in full, so the components are exact. Of long lists' pairs
-only those go on whose parities leave room for a link: the bits in which they differ are at
-most the elements that one set has alone.
+component are not compared again. Of long lists' pairs only those go on whose parities leave
+room for a link: the bits in which they differ are at most the elements that one set has alone.
+What is left after the rounds, such pairs of a list in different components, is looked
+through in blocks, and every member hands on its nearest few by parities: those that link unite
+their components, whose other pairs need no comparison. Members with more pairs left hand on more
+of them the next time, until none has, so the components are exact and what is handed on follows
+the lists' lengths; only pairs that parities can't tell apart and that don't link are all compared.
 
 Elements are 64-bit hashes of shingles. Equality of sets is told by two hashes of 64 bits: the
 first names the class, and sets of one class that differ in the second (which takes some 10^9
@@ -59,6 +62,10 @@ ROUNDS = 2
 FEW = 4
 #: Bits by which sets of a long list are told apart before they are compared.
 PARITY = 1024
+#: Of a long list's member, the pairs compared in the first pass over what the rounds have left; how many times as many in each next one; members of a block.
+NEAREST, MORE, BLOCK = 2, 8, 4096
+#: Pairs of a block looked through at once.
+PAIRS = 1 << 18
 #: Keys before each of its own that a class brings to a long list, so that two classes seldom meet more than once.
 BEFORE = 16
 #: Sets that a task remembers having listed, to list copies once.
@@ -310,33 +317,111 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame, same: frozens
     apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     near = fits(percent) & (apart <= F.col("n") + F.col("m") - 2 * at_least("n", "m", percent))
     sweep(docs.sparkSession)
-    turn = 0 if not lists.isEmpty() else ROUNDS + 1
-    while turn <= ROUNDS:
+    turn, most, tried = 0 if not lists.isEmpty() else None, NEAREST, None
+    while turn is not None:
         label = components(found).withColumnsRenamed({"id": "class"})
         rows = lists.join(label, "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-        spread = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rows = cut(rows.join(spread, "key", "left_semi"))
+        spread = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+        rows = cut(rows.join(spread, "key"))
         if rows.isEmpty():
             break
         if turn < ROUNDS:
             order = F.xxhash64("class", F.lit(turn))
             head = rows.groupBy("key").agg(F.min_by(F.struct("class", "n", "place", "label", "parity"), order).alias("h")).select("key", F.col("h.class").alias("other"), F.col("h.n").alias("m"), F.col("h.place").alias("spot"), F.col("h.label").alias("label2"), F.col("h.parity").alias("parity2"))
-        else:
-            head = rows.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("label2"), F.col("parity").alias("parity2"), F.col("before").alias("before2"))
-        pairs = rows.join(head, "key").where((F.col("label") != F.col("label2")) & near)
-        if turn == ROUNDS:
-            pairs = pairs.where((F.col("class") < F.col("other")) & ~F.arrays_overlap("before", "before2"))
-        pairs = cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
-        if pairs.isEmpty():
+            pairs = rows.join(head, "key").where((F.col("label") != F.col("label2")) & near)
+            pairs = cut(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
             # One member of each list may have no pair that fits where others do: on to all pairs that are left.
-            turn = ROUNDS if turn < ROUNDS else ROUNDS + 1
-            continue
-        found = found.unionByName(cut(_compare(pairs, sets, percent)))
-        turn += 1
+            turn = ROUNDS if pairs.isEmpty() else turn + 1
+        else:
+            picked = cut(nearest(rows, percent, most).groupBy("a", "b").agg(F.max("more").alias("more")))
+            # Once no member has more pairs than it has handed on, all are compared.
+            turn, most = turn if not picked.where("more").isEmpty() else None, most * MORE
+            pairs = picked.select("a", "b")
+            if tried is not None:
+                pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            found = found.unionByName(cut(_compare(pairs, sets, percent)))
         sweep(docs.sparkSession)
     return found
 
 
+def nearest(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b, more) of lists' members in different components, for each member the ``most`` nearest by parities.
+
+    Only pairs that fit, may link and first meet in the list count; more: one of the two has further ones there.
+    Lists of more than BLOCK members are dealt out as pairs of blocks, so that a task holds two blocks at most.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own, i, j = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")
+    if rows.agg(F.max("members")).first()[0] > BLOCK:
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("class", F.lit("block")), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        own, i, j = F.col("own"), F.least("own", "with"), F.greatest("own", "with")
+    dealt = rows.select("key", i.alias("i"), j.alias("j"), own.alias("own"), "class", "n", "place", "label", "before", "parity")
+
+    def pick(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the group of pairs, the smaller one first, and more, of each."""
+        key, i, j, own, _, n, place, label, before, parities = x
+        size, met = len(key), np.fromiter(map(len, before), np.int64, len(before))
+        # A member's own key is none of those before it, so it can fill the rest.
+        keys = np.full((size, max(1, int(met.max()))), key[0])
+        keys[np.arange(keys.shape[1]) < met[:, None]] = np.concatenate([np.zeros(0, np.int64), *before])
+        bits, across = np.stack(parities).view(np.uint64), i[0] != j[0]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        step = max(1, PAIRS // size)
+        for at in range(0, size, step):
+            part = slice(at, at + step)
+            need = -(-percent * (n[part, None] + n) // (100 + percent))
+            fit = (label[part, None] != label) & (100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n)) & (np.minimum((n - place)[part, None], n - place) >= need)
+            if across:
+                fit &= own[part, None] != own
+            a, b = np.nonzero(fit)
+            need, a = need[a, b], a + at
+            apart = np.zeros(len(a), np.int64)
+            for w in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[a, w] ^ bits[b, w])
+            near = apart <= n[a] + n[b] - 2 * need
+            a, b, apart = a[near], b[near], apart[near]
+            again = np.zeros(len(a), bool)
+            for w in range(keys.shape[1]):
+                again |= (w < met[a]) & (keys[b] == keys[a, w][:, None]).any(axis=1)
+            a, b, apart = a[~again], b[~again], apart[~again]
+            if len(a):
+                order = np.lexsort((b, apart, a))
+                a, b = a[order], b[order]
+                first = np.searchsorted(a, a)
+                more = np.searchsorted(a, a, "right") - first > most
+                kept = np.arange(len(a)) - first < most
+                found.append((a[kept], b[kept], more[kept]))
+        a, b, more = (np.concatenate(v) for v in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b), more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last group, of which more may come
+
+        def picked(x: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                one = [v[lo:hi] for v in x]
+                a, b, more = pick(one)
+                parts.append((one[4][a], one[4][b], more))
+            a, b, more = (np.concatenate(v) for v in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+
+        for batch in batches:
+            if batch.num_rows:
+                x = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]
+                x = x if held is None else [np.concatenate([h, v]) for h, v in zip(held, x, strict=True)]
+                new = np.flatnonzero(np.any([v[1:] != v[:-1] for v in x[:3]], axis=0)) + 1
+                edges = np.concatenate([[0], new])
+                yield picked(x, edges)
+                held = [v[edges[-1] :] for v in x]
+        if held is not None:
+            yield picked(held, np.array([0, len(held[0])]))
+
+    return arrow_map(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class"), run, "a long, b long, more boolean")
+
+
 def _light(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
     """Links of classes that share a subset of at least o(a, b) elements.
 

@@ -78,6 +78,61 @@ def test_jaccard_boundaries(docs_of, monkeypatch, boundary):
     assert got == jaccard_brute(rows, 1, 85)
 
 
+def edited(rng, base, edits):
+    """The words of base, the given number of them replaced by new ones."""
+    out = list(base)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """What each comparison of the Jaccard join was given and found to link."""
+    seen, real = [], jaccard._compare
+
+    def spy(pairs, sets, percent):
+        out = jaccard.cut(real(pairs, sets, percent))
+        seen.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_compare", spy)
+    return seen
+
+
+def test_jaccard_links_follow_group_size(docs_of, monkeypatch, compared):
+    """Copies that the rounds leave apart are linked by a few pairs each, not by all pairs of the group."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(100)]
+    found = {}
+    for n in (40, 80):
+        compared.clear()
+        rows = list(enumerate(edited(rng, base, 1 + i % 2) for i in range(n)))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(rows), k=1, percent=80).collect()}
+        assert got == jaccard_brute(rows, 1, 80) == {i: (100, 0) for i in range(n)}
+        found[n] = sum(given for given, _ in compared), sum(linked for _, linked in compared)
+    # All pairs: 780 of 40, 3160 of 80.
+    assert all(x <= 5 * n for n in found for x in found[n]), found
+
+
+@pytest.mark.parametrize(("rounds", "nearest", "block"), [(0, 1, 4096), (0, 1, 7), (2, 2, 16)])
+def test_jaccard_passes_are_exact(docs_of, monkeypatch, compared, rounds, nearest, block):
+    """Pairs that parities can't tell from links, and links found in later passes and between blocks."""
+    for name, value in (("ROUNDS", rounds), ("NEAREST", nearest), ("MORE", 2), ("BLOCK", block), ("PAIRS", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(32)
+    docs = []
+    for edits in ([26] * 60, [18, 26] * 12, range(0, 39, 3)):  # two with 44 edits in all link, those with 52 seem to by parities
+        base = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        docs += [edited(rng, base, e) for e in edits]
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(rows), k=1, percent=80).collect()}
+    assert got == jaccard_brute(rows, 1, 80)
+    assert len({c for _, c in got.values()}) > 50 and (rounds or len(compared) >= 4)
+
+
 def repeats_brute(texts: list[str | None], length: int = 400) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) of each text, from all strings of ``length`` bytes."""
     raws = [(t or "").encode() for t in texts]
