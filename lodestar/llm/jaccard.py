@@ -333,13 +333,15 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame, same: frozens
             # One member of each list may have no pair that fits where others do: on to all pairs that are left.
             turn = ROUNDS if pairs.isEmpty() else turn + 1
         else:
-            picked = cut(nearest(rows, percent, most).groupBy("a", "b").agg(F.max("more").alias("more")))
-            # Once no member has more pairs than it has handed on, all are compared.
-            turn, most = turn if not picked.where("more").isEmpty() else None, most * MORE
-            pairs = picked.select("a", "b")
-            if tried is not None:
-                pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+            picked = cut(nearest(rows, percent, most))
+            pairs = picked.select("a", "b").distinct()
+            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.unionByName(pairs)
+            # Only lists with members that have more pairs than they have handed on are looked through again; without any, all pairs are compared.
+            left = cut(picked.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct())
+            n = left.count()
+            lists = lists.join(few(left, n), "key", "left_semi")
+            turn, most = turn if n else None, most * MORE
         if not pairs.isEmpty():
             found = found.unionByName(cut(_compare(pairs, sets, percent)))
         sweep(docs.sparkSession)
@@ -349,7 +351,7 @@ def links(docs: DataFrame, k: int, percent: int, sized: DataFrame, same: frozens
 def nearest(rows: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b, more) of lists' members in different components, for each member the ``most`` nearest by parities.
 
-    Only pairs that fit, may link and first meet in the list count; more: one of the two has further ones there.
+    Only pairs that fit, may link and first meet in the list count; more: the list's key where one of the two has further ones there, else null.
     Lists of more than BLOCK members are dealt out as pairs of blocks, so that a task holds two blocks at most.
     """
     blocks = F.ceil(F.col("members") / BLOCK)
@@ -400,13 +402,13 @@ def nearest(rows: DataFrame, percent: int, most: int) -> DataFrame:
         held: list[np.ndarray] | None = None  # the last group, of which more may come
 
         def picked(x: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 one = [v[lo:hi] for v in x]
                 a, b, more = pick(one)
-                parts.append((one[4][a], one[4][b], more))
-            a, b, more = (np.concatenate(v) for v in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+                parts.append((one[4][a], one[4][b], more, np.full(len(a), one[0][0])))
+            a, b, more, key = (np.concatenate(v) for v in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(key, mask=~more)], names=["a", "b", "more"])
 
         for batch in batches:
             if batch.num_rows:
@@ -419,7 +421,7 @@ def nearest(rows: DataFrame, percent: int, most: int) -> DataFrame:
         if held is not None:
             yield picked(held, np.array([0, len(held[0])]))
 
-    return arrow_map(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class"), run, "a long, b long, more boolean")
+    return arrow_map(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class"), run, "a long, b long, more long")
 
 
 def _light(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
