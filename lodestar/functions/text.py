@@ -56,9 +56,17 @@ def split_words_py(text: str) -> list[str]:
 
 def char_ngrams(words: Column | str, n: int) -> Column:
     """Character n-grams of words joined together; short ones are padded with spaces."""
-    joined = F.array_join(col(words), "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - n + 1, F.lit(1))), lambda i: F.rpad(joined.substr(i, F.lit(n)), n, " "))
-    return F.when(F.size(col(words)) == 0, strings()).otherwise(grams)
+    return F.when(F.size(col(words)) == 0, strings()).otherwise(grams_of_text(F.rpad(F.array_join(col(words), ""), F.greatest(F.length(F.array_join(col(words), "")), F.lit(n)), F.lit(" ")), n))
+
+
+def grams_of_text(text: Column | str, n: int) -> Column:
+    """Character n-grams of a text, none of a shorter one: in one pass, as to cut each out by its place would walk to it from the start."""
+    return F.regexp_extract_all(col(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
+def gram_pieces(text: Column | str, n: int, size: int = 64) -> Column:
+    """Overlapping pieces of a text that hold each of its n-grams once, so that no row holds all grams of a long text."""
+    return F.regexp_extract_all(col(text), F.lit(f"(?s)(?=(.{{1,{size + n - 1}}})).{{1,{size}}}"), F.lit(1))
 
 
 def short_hash(text: Column | str, length: int = 8) -> Column:
@@ -67,8 +75,9 @@ def short_hash(text: Column | str, length: int = 8) -> Column:
 
 def fingerprint(text: Column | str) -> Column:
     """A signature of a text's bag of words; of the text itself where it has none."""
-    words = split_words(text)
-    return F.when(F.size(words) == 0, short_hash(text, 16)).otherwise(short_hash(F.array_join(F.array_sort(words), "\x01"), 16))
+    # The first of the two that isn't empty: a condition would have the words split twice.
+    told = F.filter(F.array(F.array_join(F.array_sort(split_words(text)), "\x01"), col(text)), lambda x: x != "")
+    return F.when(col(text).isNotNull(), short_hash(F.coalesce(F.get(told, F.lit(0)), F.lit("")), 16))
 
 
 def estimate_tokens(text: Column | str) -> Column:

@@ -114,8 +114,12 @@ _joined = f"array_to_string({S.words('text')}, '')"
 
 @query(f"WITH j AS (SELECT doc_id, {_joined} AS t, len({S.words('text')}) AS n FROM documents) SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, rpad(substr(t, unnest(range(1, greatest(length(t) - 2, 1) + 1)), 3), 3, ' ') AS g FROM j WHERE n > 0) GROUP BY ALL")
 def trigrams(spark, d):
-    docs = spread(table(spark, d, "documents")).select("doc_id", T.split_words("text").alias("w"))
-    return docs.select("doc_id", F.explode(T.char_ngrams("w", 3)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.split_words("text"), "").alias("t"))
+    padded = docs.select("doc_id", F.when(F.col("t") == "", "").otherwise(F.rpad("t", F.greatest(F.length("t"), F.lit(3)), F.lit(" "))).alias("t"))
+    pieces = padded.select("doc_id", F.explode(T.gram_pieces("t", 3)).alias("p"))
+    # Pieces are short, so that a gram is cut out by its place at once.
+    places = pieces.where(F.length("p") > 2).select("doc_id", "p", F.explode(F.sequence(F.lit(1), F.length("p") - 2)).alias("i"))
+    return places.select("doc_id", F.substr("p", "i", F.lit(3)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, {S.tokens('text')} AS tokens, {S.lines('text')} AS lines FROM documents")
