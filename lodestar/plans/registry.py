@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 from lodestar.checkpoints import ensure_dir
 from lodestar.functions import text as T
@@ -32,14 +33,27 @@ def query(oracle: str | None = None):
     return add
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores: a small table is one row group, which one task would read and tokenise alone."""
+#: Rows of a task: few up to so many partitions as a shuffle writes without sorting, then more.
+FEW_ROWS, UNSORTED, MANY_ROWS = 2_000, 200, 20_000
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores, and over more partitions as a table grows: a file may be one row group, which one task would read and tokenise alone.
+
+    Dealt by the columns ``by``, or by all that aren't texts: to deal rows in turn Spark would
+    first sort all rows of a file in one task, with its texts in memory.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < 2 else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    rows = df.select().count()  # from the files' footers
+    n = max(cores, min(UNSORTED, rows // FEW_ROWS), rows // MANY_ROWS)
+    keys = by or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType | DatetimeType)]
+    return df.repartition(n, *keys)
 
 
 def files_of(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.from_documents(spread(table(spark, d, "documents")))
+    return spread(corpus.from_documents(table(spark, d, "documents")), "path")
 
 
 def symbols_of(spark: SparkSession, d: str) -> DataFrame:
