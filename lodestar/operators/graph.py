@@ -160,12 +160,13 @@ def subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 220) -> tuple[
     return top, inside.select("src", "dst", "type").distinct()
 
 
-def dependents(edges: DataFrame, files: list[str], limit: int = 15) -> DataFrame:
-    """(path): files that import, or refer to symbols of, the given files, which are themselves left out."""
+def dependents(edges: DataFrame, files: list[str], limit: int | None = 15) -> DataFrame:
+    """(path): files that import, or refer to symbols of, the given files, which are themselves left out: the first ``limit``, or all."""
     to_file = F.when(F.col("dst").startswith("s:"), F.regexp_replace("dst", "^s:(.*):[^:]*@[0-9]+$", "f:$1")).otherwise(F.col("dst"))
     rows = edges.where(F.col("type").isin("import", "ref") & F.col("src").startswith("f:")).select(F.substr("src", F.lit(3)).alias("path"), F.substr(to_file, F.lit(3)).alias("target"), "ord")
     rows = rows.where(F.col("target").isin(*files) & ~F.col("path").isin(*files))
-    return rows.groupBy("path").agg(F.min("ord").alias("first")).orderBy("first", "path").limit(limit).select("path")
+    rows = rows.groupBy("path").agg(F.min("ord").alias("first"))
+    return (rows if limit is None else rows.orderBy("first", "path").limit(limit)).select("path")
 
 
 def top_ranks(nodes: DataFrame, edges: DataFrame, limit: int = 10, iterations: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Extensions tried for a relative import, and those that a language's imports may end in.
@@ -19,10 +19,15 @@ ENDINGS = {
 }
 
 
+def place_of(path: Column) -> Column:
+    """A struct that orders paths as a walk does, a folder's files before its subfolders."""
+    parts = F.split(path, "/")
+    return F.struct(F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name"))
+
+
 def walk_rank(files: DataFrame) -> DataFrame:
-    """(path, place): a struct that orders paths as a walk does, a folder's files before its subfolders."""
-    parts = F.split("path", "/")
-    return files.select("path", F.struct(F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name")).alias("place"))
+    """(path, place) of files."""
+    return files.select("path", place_of(F.col("path")).alias("place"))
 
 
 def normal(path):
@@ -80,19 +85,29 @@ def imports_to_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return best.where("src <> dst")
 
 
-def references(tokens: DataFrame, symbols: DataFrame, max_edges: int | None = 40_000) -> DataFrame:
-    """(path, name, target, is_cross_file): calls bound to the first declaration of their name, once for each file and declaration.
-
-    tokens(path, pos, kind, value, line) are the significant ones, symbols(path, ord, name, line).
-    A call on its own declaration's line isn't one. Edges beyond max_edges go, in walk order.
-    """
+def calls_of(tokens: DataFrame) -> DataFrame:
+    """(path, pos, name, line): identifiers before an opening bracket, of the significant tokens(path, pos, kind, value, line)."""
     nxt = F.lead(F.struct("kind", "value")).over(Window.partitionBy("path").orderBy("pos"))
-    calls = tokens.withColumn("next", nxt).where((F.col("kind") == "ident") & (F.col("next.kind") == "punct") & (F.col("next.value") == "(")).select("path", "pos", F.col("value").alias("name"), "line")
+    return tokens.withColumn("next", nxt).where((F.col("kind") == "ident") & (F.col("next.kind") == "punct") & (F.col("next.value") == "(")).select("path", "pos", F.col("value").alias("name"), "line")
+
+
+def bound(calls: DataFrame, symbols: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """references, of calls(path, pos, name, line)."""
     calls = calls.join(symbols.select("path", "name", "line").distinct(), ["path", "name", "line"], "left_anti")
-    places = walk_rank(symbols.select("path").distinct())
-    first = symbols.join(places, "path").groupBy("name").agg(F.min_by(F.struct("path", "name", "line"), F.struct("place", "ord")).alias("d"))
-    bound = calls.join(first, "name").groupBy("path", "name", F.col("d.path").alias("to"), F.col("d.line").alias("to_line")).agg(F.min("pos").alias("pos"))
-    out = bound.select("path", "name", F.concat(F.lit("s:"), "to", F.lit(":"), "name", F.lit("@"), "to_line").alias("target"), (F.col("path") != F.col("to")).alias("is_cross_file"), "pos")
+    places = symbols.withColumn("place", place_of(F.col("path")))
+    first = places.groupBy("name").agg(F.min_by(F.struct("path", "name", "line"), F.struct("place", "ord")).alias("d"))
+    out = calls.join(first, "name").groupBy("path", "name", F.col("d.path").alias("to"), F.col("d.line").alias("to_line")).agg(F.min("pos").alias("pos"))
+    out = out.select("path", "name", F.concat(F.lit("s:"), "to", F.lit(":"), "name", F.lit("@"), "to_line").alias("target"), (F.col("path") != F.col("to")).alias("is_cross_file"), "pos")
     if max_edges is not None:
-        out = out.join(walk_rank(out.select("path").distinct()), "path").orderBy("place", "pos", "name").limit(max_edges)
+        out = out.orderBy(place_of(F.col("path")), "pos", "name").limit(max_edges)
     return out.select("path", "name", "target", "is_cross_file")
+
+
+def references(tokens: DataFrame, symbols: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """(path, name, target, is_cross_file): calls bound to the first declaration of their name, once for each file and declaration.
+
+    tokens(path, pos, kind, value, line) are the significant ones, symbols(path, ord, name, line).
+    A call on its own declaration's line isn't one. All edges stay; on demand only the first
+    max_edges in walk order do.
+    """
+    return bound(calls_of(tokens), symbols, max_edges)

@@ -180,7 +180,7 @@ def graph_lookups(spark, d):
 def graph_ref_dependents(spark, d):
     """Dependents by references alone: a symbol's file stands for it."""
     refs = built(spark, d)["edges"].where("type = 'ref'").withColumn("ord", F.lit(0))
-    return graph.dependents(refs, ["lib/box3.py", "lib/box5.py"])
+    return graph.dependents(refs, ["lib/box3.py", "lib/box5.py"], limit=None)
 
 
 @query(f"WITH {S.FILES}, {S.TERMS}, {S.POSTINGS}, {S.STATS} SELECT path, round(CAST(sum(idf * tf) AS DOUBLE), 6) AS content FROM postings JOIN stats USING (term) WHERE term IN ({S.quoted(T.split_words_py(QUERY))}) GROUP BY path")

@@ -3,6 +3,7 @@
 import time
 
 from lodestar.functions import text as T
+from lodestar.operators import graph, resolve
 from pyspark.sql import functions as F
 
 
@@ -18,3 +19,18 @@ def test_pieces_hold_each_ngram_once(spark):
     for text in ("", "ab", "abc", "abcdefghijklmnopqrstuvwxyz", "a\U0001f600\u00e9b\nc" * 5):
         rows = spark.createDataFrame([(text,)], "t string").select(F.explode(T.gram_pieces("t", 3, 7)).alias("p")).select(F.explode(T.grams_of_text("p", 3)).alias("g")).collect()
         assert sorted(r["g"] for r in rows) == sorted(text[i : i + 3] for i in range(len(text) - 2))
+
+
+def test_references_have_no_cap(spark):
+    n = 40_100
+    files = spark.range(n).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("g"), "id").alias("name"))
+    symbols = files.select(F.concat(F.lit("d/"), "path").alias("path"), F.lit(0).alias("ord"), "name", F.lit(1).alias("line"))
+    ident = files.select("path", F.lit(0).alias("pos"), F.lit("ident").alias("kind"), F.col("name").alias("value"), F.lit(7).alias("line"))
+    tokens = ident.unionByName(ident.select("path", F.lit(1).alias("pos"), F.lit("punct").alias("kind"), F.lit("(").alias("value"), "line"))
+    assert resolve.references(tokens, symbols).count() == n
+    assert resolve.references(tokens, symbols, max_edges=5).count() == 5
+
+
+def test_dependents_have_no_cap(spark):
+    edges = spark.range(40).select(F.concat(F.lit("f:u"), "id").alias("src"), F.lit("s:b:x@1").alias("dst"), F.lit("ref").alias("type"), F.lit(0).alias("ord"))
+    assert graph.dependents(edges, ["b"], limit=None).count() == 40 and graph.dependents(edges, ["b"]).count() == 15
