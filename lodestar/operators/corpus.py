@@ -7,10 +7,12 @@ order of (dir, name): a folder's files stand before those of its subfolders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.checkpoints import cut
+from lodestar.checkpoints import cut, written
 from lodestar.functions import text as T
 
 
@@ -69,20 +71,20 @@ def summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("size").alias("bytes"), F.count_distinct("language").alias("languages"))
 
 
-def build(files: DataFrame) -> dict[str, DataFrame]:
-    """Every table of an index of files(path, dir, name, language, text, size, lines), lazily: what ``index_store.save`` takes.
+def build(files: DataFrame) -> dict[str, DataFrame | Callable]:
+    """Every table of an index of files(path, dir, name, language, text, size, lines): what ``index_store.save`` takes.
 
     files without their texts, postings, term statistics, symbols, imports, nodes and edges.
+    Files are lexed once, at once; the rest is lazy, and term statistics are counted from the
+    saved postings.
     """
     from lodestar.operators import extraction, graph, resolve
 
     posts = postings(files)
-    symbols = extraction.declared(files)
-    imports = extraction.imported(files)
-    tokens = extraction.tokens(files).where(~F.col("kind").isin("comment", "docstring"))
-    nodes, edges = graph.build(files, symbols, resolve.imports_to_files(imports, files), resolve.references(tokens, symbols))
-    stats = term_stats(posts, files.count())
-    return {"files": files.drop("text"), "postings": posts, "terms": stats, "symbols": symbols, "imports": imports, "nodes": nodes, "edges": edges}
+    symbols, imports, calls = extraction.parts(written(extraction.parsed(files)))
+    nodes, edges = graph.build(files, symbols, resolve.imports_to_files(imports, files), resolve.bound(calls, symbols))
+    n = files.count()
+    return {"files": files.drop("text"), "postings": posts, "terms": lambda saved: term_stats(saved("postings"), n), "symbols": symbols, "imports": imports, "nodes": nodes, "edges": edges}
 
 
 def index_summary(files: DataFrame, symbols: DataFrame, edges: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

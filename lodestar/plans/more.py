@@ -187,8 +187,8 @@ def graph_ref_dependents(spark, d):
 def search_postings(spark, d):
     """Content scores from postings that were saved and loaded."""
     files, folder = files_of(spark, d), folder_of(spark)
-    posts = corpus.postings(files)
-    index_store.save({"postings": posts, "terms": corpus.term_stats(posts, files.count())}, folder)
+    n = files.count()
+    index_store.save({"postings": corpus.postings(files), "terms": lambda saved: corpus.term_stats(saved("postings"), n)}, folder)
     index = index_store.load(spark, folder)
     return search.stored_scores(index["postings"], index["terms"], T.split_words_py(QUERY)).select("path", F.round("content", 6).alias("content"))
 

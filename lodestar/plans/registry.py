@@ -47,7 +47,8 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     if len(df.inputFiles()) >= cores:
         return df
     rows = df.select().count()  # from the files' footers
-    n = max(cores, min(UNSORTED, rows // FEW_ROWS), rows // MANY_ROWS)
+    n = max(min(UNSORTED - cores, rows // FEW_ROWS), rows // MANY_ROWS)
+    n = (n // cores + 1) * cores  # whole rounds of tasks
     keys = by or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType | DatetimeType)]
     return df.repartition(n, *keys)
 

@@ -21,3 +21,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
     sc._lodestar_shipped = True
+
+
+#: Spark's bound on the bytes of a batch that Python gets, and what is put there where the session doesn't say.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches bounded by their bytes: whole texts in batches of Spark's own number of rows would take much memory."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))

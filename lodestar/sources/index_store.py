@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ class IndexCorrupt(Exception):
     pass
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table, then the mark that the index is whole, in a folder beside the old index; then this takes the old one's place."""
-    spark = next(iter(tables.values())).sparkSession
+def save(tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], path: str) -> None:
+    """Every table, then the mark that the index is whole, in a folder beside the old index; then this takes the old one's place.
+
+    A table may be a function of a reader of those saved before it, which aren't computed again for it.
+    """
+    spark = next(df for df in tables.values() if isinstance(df, DataFrame)).sparkSession
     for name, df in tables.items():
+        df = df if isinstance(df, DataFrame) else df(lambda of: spark.read.parquet(f"{path}.new/{of}"))
         df.write.mode("overwrite").parquet(f"{path}.new/{name}")
     meta = spark.range(1).select(F.lit(FORMAT_VERSION).alias("format_version"), F.array(*map(F.lit, sorted(tables))).alias("tables"))
     meta.coalesce(1).write.mode("overwrite").json(f"{path}.new/_meta")

@@ -1,9 +1,14 @@
 """Work and memory that grow with the input only, and queries whole at more rows than the smallest tables have."""
 
 import time
+from itertools import chain, repeat
 
+import pyarrow as pa
+import pytest
 from lodestar.functions import text as T
-from lodestar.operators import graph, resolve
+from lodestar.operators import corpus, extraction, graph, lexer, resolve, symbols
+from lodestar.plans.registry import spread
+from lodestar.sources import index_store
 from pyspark.sql import functions as F
 
 
@@ -34,3 +39,53 @@ def test_references_have_no_cap(spark):
 def test_dependents_have_no_cap(spark):
     edges = spark.range(40).select(F.concat(F.lit("f:u"), "id").alias("src"), F.lit("s:b:x@1").alias("dst"), F.lit("ref").alias("type"), F.lit(0).alias("ord"))
     assert graph.dependents(edges, ["b"], limit=None).count() == 40 and graph.dependents(edges, ["b"]).count() == 15
+
+
+def test_partitions_grow_with_a_table(spark, tmp_path):
+    spark.range(60_000).withColumn("text", F.lit("a")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    one = spread(spark.read.parquet(f"{tmp_path}/t"))
+    n = one.rdd.getNumPartitions()
+    assert n > max(spark.sparkContext.defaultParallelism, 30) - 1 and n % spark.sparkContext.defaultParallelism == 0
+    assert one.count() == 60_000 and max(r["n"] for r in one.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 6_000
+
+
+def test_tokens_are_handed_on_as_they_are_found():
+    # A text without end: a list of its tokens would never be done.
+    endless = ((i, t.value) for i in repeat(0) for t in lexer.tokens("a b c", "python"))
+    fields = pa.schema([("i", pa.int32()), ("v", pa.string())])
+    assert next(extraction.batched(endless, fields)).num_rows == extraction.ROWS
+    assert [t.value for _, t in zip(range(2), lexer.tokens("a b " * 5, None), strict=False)] == ["a", "b"]
+    assert list(extraction.batched(iter(()), fields)) == []
+    assert sum(b.num_rows for b in extraction.batched(chain([(1, "x")] * 12_001), fields)) == 12_001
+
+
+@pytest.mark.parametrize(
+    ("text", "language", "want"),
+    [
+        ("a\\'b' 'x\\\\' `q", "ruby", ["a", "\\", "'b'", "'x\\\\'", "`", "q"]),
+        ('"a\nb" "c\\', "go", ['"a', "b", '" "', "c", "\\"]),
+        ("/* a /* b */ c */ d /*/ e", "rust", ["/* a /* b */ c */", "d", "/*/ e"]),
+        ("/* a /* b */ c", "c", ["/* a /* b */", "c"]),
+        ("&'a str 'b' 'cd'", "rust", ["&", "'a", "str", "'b'", "'c", "d", "' "[:1]]),
+        ("1.5e3x 0x1F_ 9__ a\u00b2 \u00e9", "python", ["1.5e3x", "0x1F_", "9__", "a\u00b2", "\u00e9"]),
+    ],
+)
+def test_lexer_ends(text, language, want):
+    found = lexer.lex(text, language)
+    assert [t.value for t in found] == want
+    assert all(text[t.offset :].startswith(t.value) for t in found)
+
+
+def test_calls():
+    assert symbols.calls(lexer.lex("f(g (x), # note\nh\n# other\n(y)) + z", "python")) == [(0, "f", 1), (2, "g", 1), (8, "h", 2)]
+
+
+def test_an_index_lexes_its_files_once(spark, monkeypatch, tmp_path):
+    rows = spark.createDataFrame([("a.py", "def f():\n    pass\n"), ("b.py", "from a import f\nf()\n")], "path string, text string")
+    files = corpus.with_places(rows.select("path", F.lit("python").alias("language"), "text"))
+    for name in ("tokens", "declared", "imported"):
+        monkeypatch.setattr(extraction, name, lambda *_: pytest.fail("lexed again"))
+    index_store.save(corpus.build(files), f"{tmp_path}/index")
+    index = index_store.load(spark, f"{tmp_path}/index")
+    assert {(r["src"], r["dst"], r["type"]) for r in index["edges"].collect()} == {("f:a.py", "s:a.py:f@1", "define"), ("f:b.py", "f:a.py", "import"), ("f:b.py", "s:a.py:f@1", "ref")}
+    assert {r["term"]: r["df"] for r in index["terms"].select("term", "df").collect()} == {r["term"]: r["df"] for r in corpus.term_stats(corpus.postings(files), 2).select("term", "df").collect()}
