@@ -6,7 +6,7 @@ import subprocess
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.checkpoints import cut, ensure_dir
@@ -425,10 +425,15 @@ def stream_tail_dedupe(spark, d):
     return out.select(F.col("log").cast("bigint").alias("log"), F.col("id").cast("bigint").alias("first"), "fingerprint")
 
 
+def epoch_of(ts: str) -> Column:
+    """Seconds of the epoch to the nearest whole one, halves to the even one, as SQL casts them."""
+    return F.bround(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})") / F.lit(1e6)).cast("bigint")
+
+
 @query("WITH m AS (SELECT CAST(max(epoch(ts)) AS BIGINT) AS last FROM events) SELECT event_id FROM events, m WHERE CAST(epoch(ts) AS BIGINT) >= last - 86400")
 def stream_late(spark, d):
     """Entries that come after the watermark has passed them are dropped: a second batch holds all events, a first one the last day's."""
-    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("t").alias("text"), F.lit("note").alias("kind"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("bigint").alias("created_at"))
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("t").alias("text"), F.lit("note").alias("kind"), epoch_of("ts").alias("created_at"))
     last = events.agg(F.max("created_at")).first()[0]
     folder = folder_of(spark)
     events.where(F.col("created_at") >= last - 86400).coalesce(1).write.json(f"{folder}/in/a")
