@@ -57,6 +57,9 @@ def snippet_block(files: DataFrame, places: DataFrame, max_chars: int = 3000, sp
     """One row (body): snippets of places(ord, path, line) in order, one a path, as far as they fit."""
     first = places.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).where("k = 1")
     rows = first.join(files.select("path", "text"), "path").select("ord", snippet("text", "path", F.greatest(F.col("line") - 1, F.lit(1)), span).alias("t")).where("t <> ''").withColumn("cost", F.length("t"))
+    # What is left of the budget never grows: of places with one cost, those that fit are the first ones, and no more than the budget holds.
+    rank = F.row_number().over(Window.partitionBy("cost").orderBy("ord", "t"))
+    rows = rows.where(F.col("cost") <= max_chars).withColumn("k", rank).where(F.col("k") <= max_chars).where(F.col("k") * F.col("cost") <= max_chars)
     one = rows.agg(F.array_sort(F.collect_list(F.struct("ord", "t", "cost"))).alias("s"))
     kept = one.select(admit(F.col("s"), "cost", max_chars, first_always=False).alias("p"))
     return kept.select(F.array_join(F.transform("p.kept", lambda x: x["t"]), "\n").alias("body")).where("body <> ''")
