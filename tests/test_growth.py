@@ -6,7 +6,8 @@ from itertools import chain, repeat
 import pyarrow as pa
 import pytest
 from lodestar.functions import text as T
-from lodestar.operators import corpus, extraction, graph, lexer, resolve, symbols
+from lodestar.operators import context, corpus, extraction, graph, lexer, memory, resolve, symbols
+from lodestar.plans.more import epoch_of
 from lodestar.plans.registry import spread
 from lodestar.sources import index_store
 from pyspark.sql import functions as F
@@ -89,3 +90,33 @@ def test_an_index_lexes_its_files_once(spark, monkeypatch, tmp_path):
     index = index_store.load(spark, f"{tmp_path}/index")
     assert {(r["src"], r["dst"], r["type"]) for r in index["edges"].collect()} == {("f:a.py", "s:a.py:f@1", "define"), ("f:b.py", "f:a.py", "import"), ("f:b.py", "s:a.py:f@1", "ref")}
     assert {r["term"]: r["df"] for r in index["terms"].select("term", "df").collect()} == {r["term"]: r["df"] for r in corpus.term_stats(corpus.postings(files), 2).select("term", "df").collect()}
+
+
+def test_seconds_are_rounded_as_sql_rounds_them(spark):
+    times = ["2024-01-30 23:59:25.26", "2024-01-29 23:59:24.7", "2024-01-29 23:59:24.5", "2024-01-29 23:59:25.5", "2024-01-29 23:59:25.499999"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = [r["s"] for r in rows.select("i", epoch_of("ts").alias("s")).orderBy("i").collect()]
+    assert got == [1706659165, 1706572765, 1706572764, 1706572766, 1706572765]
+
+
+def test_snippets_that_fit_are_found_without_holding_all(spark):
+    lengths = [(i * 7919) % 61 + 3 for i in range(600)]
+    files = spark.createDataFrame([(f"{i:03}", "x" * n) for i, n in enumerate(lengths)], "path string, text string")
+    places = files.select(F.col("path").cast("int").alias("ord"), "path", F.lit(1).alias("line"))
+    used, want = 0, []
+    for i, n in enumerate(lengths):
+        t = f"{i:03}#L1\n" + "x" * n
+        if used + len(t) <= 300:
+            used, want = used + len(t), [*want, t]
+    body = context.snippet_block(files, places, max_chars=300)
+    assert body.first()["body"] == "\n".join(want)
+    plan = body._jdf.queryExecution().optimizedPlan().toString()
+    assert "partition by" in plan.lower() or "windowspecdefinition(cost" in plan
+
+
+def test_markdown_joins_days_in_order(spark):
+    ages = [0, 5, 5, 86_400, 86_401, 3 * 86_400, 400 * 86_400]
+    log = spark.createDataFrame([(i, f"{i:08}", "note", f"t{i}" if i != 5 else None, [], None, None, 1_700_000_000 - a) for i, a in enumerate(ages)], "log_pos long, id string, kind string, text string, tags array<string>, file string, line int, created_at long")
+    body = memory.markdown(log, 1_700_000_000).first()["body"]
+    assert [x[4:12] for x in body.split("\n") if x.startswith("- ")] == ["00000000", "00000001", "00000002", "00000003", "00000004", "00000006"]
+    assert "\n\n" not in body
