@@ -76,7 +76,7 @@ def short_hash(text: Column | str, length: int = 8) -> Column:
 def fingerprint(text: Column | str) -> Column:
     """A signature of a text's bag of words; of the text itself where it has none."""
     # The first of the two that isn't empty: a condition would have the words split twice.
-    told = F.filter(F.array(F.array_join(F.array_sort(split_words(text)), "\x01"), col(text)), lambda x: x != "")
+    told = F.filter(F.array(F.array_join(F.sort_array(split_words(text)), "\x01"), col(text)), lambda x: x != "")
     return F.when(col(text).isNotNull(), short_hash(F.coalesce(F.get(told, F.lit(0)), F.lit("")), 16))
 
 

@@ -1,5 +1,6 @@
 """Work and memory that grow with the input only, and queries whole at more rows than the smallest tables have."""
 
+import hashlib
 import time
 from itertools import chain, repeat
 
@@ -120,3 +121,11 @@ def test_markdown_joins_days_in_order(spark):
     body = memory.markdown(log, 1_700_000_000).first()["body"]
     assert [x[4:12] for x in body.split("\n") if x.startswith("- ")] == ["00000000", "00000001", "00000002", "00000003", "00000004", "00000006"]
     assert "\n\n" not in body
+
+
+def test_a_fingerprint_splits_its_text_once(spark):
+    rows = spark.createDataFrame([("red blue",), ("?!",), ("",), (None,)], "text string").select(T.fingerprint("text").alias("f"))
+    words = hashlib.sha1(b"blue\x01red").hexdigest()[:16]
+    assert [r["f"] for r in rows.collect()] == [words, hashlib.sha1(b"?!").hexdigest()[:16], hashlib.sha1(b"").hexdigest()[:16], None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.TOKEN) == 1
