@@ -208,8 +208,8 @@ SELECT path, score, symbol, concat_ws(',', CASE WHEN list_contains(w, 'blog') TH
 )
 def search_details(spark, d):
     """Content, path and symbol signals over pages, with what matched and which symbols a result has."""
-    pages = spread(table(spark, d, "pages")).withColumn("url", F.concat_ws("/", F.regexp_replace("url", "[?#].*$", ""), "page_id"))
-    files, symbols = corpus.from_pages(pages), corpus.html_symbols(pages)
+    pages = table(spark, d, "pages").withColumn("url", F.concat_ws("/", F.regexp_replace("url", "[?#].*$", ""), "page_id"))
+    files, symbols = spread(corpus.from_pages(pages), "path"), corpus.html_symbols(spread(pages))
     posts = cut(corpus.postings(files))
     found = search.search(files, SIGNALS, 30, symbols=symbols, signals=("content", "path", "symbol"), index=(posts, corpus.term_stats(posts, files.count())))
     out = search.details(found, posts, symbols, SIGNALS)
